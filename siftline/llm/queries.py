@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe_count, secret_tests, source_mix
+from siftline.llm import bpe_count, html_text, knn_quality, secret_tests, source_mix
 from siftline.llm.support import table
 
 TOKEN_LIMIT = 512
 
 
+def remainder(identifier: str, of: int) -> Column:
+    """crc32 of an identifier as text, modulo a number; null has none."""
+    return F.crc32(F.col(identifier).cast("string")) % of
+
+
+def op2_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    model = knn_quality.train(docs, table(spark, sf_dir, "labels"), learn=~held_out)
+    return knn_quality.score(docs, model).withColumn("held_out", held_out)
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_tests.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -55,7 +71,7 @@ FROM c
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_secret_scans, op9_token_counts, op10_source_mix)}
+    return {f.__name__: f for f in (op2_quality_votes, op4_html_text, op8_secret_scans, op9_token_counts, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
