@@ -6,10 +6,12 @@ batches of texts as one byte array, so a task spends its time in numpy and not i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -112,12 +114,14 @@ class Words:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Everything in ASCII but letters and digits, for words without punctuation.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def words_of(texts: Texts) -> Words:
-    inside = ~_SPACE[texts.data]
+def words_of(texts: Texts, space: np.ndarray = _SPACE) -> Words:
+    inside = ~space[texts.data]
     # A word also ends where its text ends.
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -145,3 +149,14 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
         h = pair(h, words.hashes[k : len(owner) - n + 1 + k])
     same = owner[: len(owner) - n + 1] == owner[n - 1 :]
     return h[same], owner[: len(owner) - n + 1][same]
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `most` bytes of one text column; a longer text has a slice to itself."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + most, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
