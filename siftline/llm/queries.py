@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe_count, cgk_leaks, html_text, knn_quality, secret_tests, source_mix
+from siftline.llm import bpe_count, cgk_leaks, html_text, jaccard_join, knn_quality, secret_tests, source_mix
 from siftline.llm.support import table
 
 TOKEN_LIMIT = 512
@@ -31,6 +31,10 @@ def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cgk_leaks.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf_dir, "documents"), jaccard_join.Rule(words=3, num=90, den=100))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_tests.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -75,7 +79,7 @@ FROM c
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_votes, op4_html_text, op5_benchmark_leaks, op8_secret_scans, op9_token_counts, op10_source_mix)}
+    return {f.__name__: f for f in (op2_quality_votes, op4_html_text, op5_benchmark_leaks, op7_jaccard_join, op8_secret_scans, op9_token_counts, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
