@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe_count, cgk_leaks, html_text, jaccard_join, knn_quality, secret_tests, source_mix
+from siftline.llm import bpe_count, cgk_leaks, html_text, jaccard_join, knn_quality, mih_topk, secret_tests, source_mix
 from siftline.llm.support import table
 
 TOKEN_LIMIT = 512
@@ -31,6 +31,11 @@ def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cgk_leaks.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", mih_topk.sign_code(F.col("embedding")).alias("code"))
+    return mih_topk.nearest(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(table(spark, sf_dir, "documents"), jaccard_join.Rule(words=3, num=90, den=100))
 
@@ -56,6 +61,17 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+OP6_SQL = """
+WITH c AS (
+  SELECT DISTINCT vec_id, list_sum(list_transform(embedding[1:64], lambda x, i: CASE WHEN x > 0 THEN 1::HUGEINT << (i - 1)::INT ELSE 0::HUGEINT END))::HUGEINT AS code
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+r AS (
+  SELECT q.vec_id AS query_id, c.vec_id, bit_count(xor(q.code, c.code))::INT AS distance,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY bit_count(xor(q.code, c.code)), c.vec_id) AS rank
+  FROM c q JOIN c ON q.vec_id % 100 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, distance FROM r WHERE rank <= 10
+"""
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -79,8 +95,8 @@ FROM c
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_votes, op4_html_text, op5_benchmark_leaks, op7_jaccard_join, op8_secret_scans, op9_token_counts, op10_source_mix)}
+    return {f.__name__: f for f in (op2_quality_votes, op4_html_text, op5_benchmark_leaks, op6_hamming_topk, op7_jaccard_join, op8_secret_scans, op9_token_counts, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_source_mix": OP10_SQL}
+    return {"op6_hamming_topk": OP6_SQL, "op10_source_mix": OP10_SQL}
