@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe_count, cgk_leaks, html_text, jaccard_join, knn_quality, lm_score, mih_topk, secret_tests, source_mix
+from siftline.llm import bpe_count, cgk_leaks, html_text, jaccard_join, knn_quality, lm_score, mih_topk, rlbwt_dedup, secret_tests, source_mix
 from siftline.llm.support import table
 
 TOKEN_LIMIT = 512
@@ -32,6 +32,10 @@ def op2_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_quality.score(docs, model).withColumn("held_out", held_out)
 
 
+def op3_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlbwt_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -104,7 +108,7 @@ FROM c
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_score, op2_quality_votes, op4_html_text, op5_benchmark_leaks, op6_hamming_topk, op7_jaccard_join, op8_secret_scans, op9_token_counts, op10_source_mix)}
+    return {f.__name__: f for f in (op1_lm_score, op2_quality_votes, op3_repeat_removal, op4_html_text, op5_benchmark_leaks, op6_hamming_topk, op7_jaccard_join, op8_secret_scans, op9_token_counts, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
