@@ -151,7 +151,7 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return h[same], owner[: len(owner) - n + 1][same]
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of one text column; a longer text has a slice to itself."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     upto = np.concatenate([[0], np.cumsum(sizes)])

@@ -18,7 +18,7 @@ from siftline.llm.bytewords import slices
 from siftline.llm.support import written
 
 #: Bytes of text in a pack, about.
-PACK_BYTES = 8 << 20
+PACK_BYTES = 4 << 20
 
 
 def packed(rows: pa.RecordBatch | pa.Table) -> bytes:

@@ -20,14 +20,16 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.bytewords import Texts, mix, texts_of
+from siftline.llm.bytewords import Texts, texts_of
 from siftline.llm.packs import bucket_bounds, decode, encode, packs_of, squeezed, unpacked, unsqueezed
 from siftline.llm.support import parts_of, written
 
-#: Bytes of a string that counts as repeated, and of an anchor's gram.
-LONG, GRAM = 200, 16
+#: Bytes of a string that counts as repeated, and of an anchor's gram, a power of two.
+LONG, GRAM = 200, 32
 #: Window starts whose anchors are sought at once, and bytes of strings indexed at once, whole anchors at a time.
 STRETCH, INDEXED = 1 << 20, 1 << 20
+#: Buckets of anchors for each part of an exchange; each is a group of its own, so more of them need less memory.
+PER_PART = 8
 #: Never a byte of UTF-8 text.
 _SEPARATOR = 0xFF
 
@@ -61,13 +63,21 @@ def anchored(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             b = min(a + STRETCH, int(bounds[hi]) - LONG + 1)  # window starts a..b-1
             piece = data[a : b + LONG - 1]
             n = len(piece) - GRAM + 1
-            w = words8(piece, n + 8)
-            gram = mix(w[:n] * np.uint64(0x9E3779B97F4A7C15) + w[8 : n + 8] * np.uint64(0xC2B2AE3D27D4EB4F))
+            gram = words8(piece, len(piece) - 7)
+            width = 8
+            while width < GRAM:  # two halves make one twice as wide
+                gram = gram[:-width] * np.uint64(0x9E3779B97F4A7C15) + gram[width:] * np.uint64(0xC2B2AE3D27D4EB4F)
+                gram ^= gram >> np.uint64(31)
+                width *= 2
+            gram *= np.uint64(0xBF58476D1CE4E5B9)
+            gram ^= gram >> np.uint64(29)
+            gram *= np.uint64(0x94D049BB133111EB)
             least = _sliding_least((gram & np.uint64(0xFFFFFFFF << 32)) | np.arange(n, dtype=np.uint64), LONG - GRAM + 1)
             at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            starts = np.arange(a, b)
-            owner = np.searchsorted(bounds, starts, "right") - 1
-            whole = starts + LONG <= bounds[owner + 1]
+            whole = np.ones(b - a, bool)
+            at_end = bounds[1:][(bounds[1:] > a) & (bounds[1:] < b + LONG)].tolist()
+            for end in at_end:  # windows that begin here would reach beyond their text
+                whole[max(0, end - LONG + 1 - a) : end - a] = False
             new = np.ones(b - a, bool)
             new[1:] = (at[1:] != at[:-1]) | ~whole[:-1]
             new &= whole
@@ -105,23 +115,33 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cut = np.flatnonzero(text[k:] == _SEPARATOR)
         near[cut] = True
         key[cut] &= np.uint64((1 << 64) - (1 << (56 - 8 * k)))
+    order = np.argsort(key, kind="stable")
+    sorted_ = key[order]
+    new = np.ones(n, bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    new |= near[order]
+    # A rank is the place at which a group of suffixes that begin alike starts; only such groups are sorted further.
+    rank = np.empty(n + 1, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank[n] = -1
+    last = np.ones(n, bool)
+    last[:-1] = new[1:]
+    open_ = np.flatnonzero(~(new & last))
     depth = 8
-    while True:
-        order = np.argsort(key, kind="stable") if depth == 8 else np.argsort(key)
-        sorted_ = key[order]
-        new = np.ones(n, bool)
-        new[1:] = sorted_[1:] != sorted_[:-1]
-        if depth == 8:
-            new |= near[order]
-        label = np.cumsum(new).astype(np.uint64)
-        rank = np.empty(n, np.uint64)
-        rank[order] = label
-        if label[-1] == n:
-            return order, rank.astype(np.int64) - 1
-        after = np.zeros(n, np.uint64)
-        after[: max(0, n - depth)] = rank[depth:]
-        key = rank << np.uint64(32) | after
+    while len(open_):
+        mine = order[open_]
+        key = rank[mine] << 32 | (rank[np.minimum(mine + depth, n)] + 1)
+        by = np.argsort(key)
+        key, mine = key[by], mine[by]
+        order[open_] = mine
+        new = np.ones(len(open_), bool)
+        new[1:] = key[1:] != key[:-1]
+        rank[mine] = open_[np.maximum.accumulate(np.where(new, np.arange(len(open_)), 0))]
+        last = np.ones(len(open_), bool)
+        last[:-1] = new[1:]
+        open_ = open_[~(new & last)]
         depth *= 2
+    return order, rank[:n]
 
 
 def _matched(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -149,7 +169,7 @@ def matching_statistics(text: np.ndarray) -> np.ndarray:
     change = (bwt[1:] != bwt[:-1]) | (bwt[1:] == _SEPARATOR)
     places = np.arange(n)
     ends = np.flatnonzero(text == _SEPARATOR)
-    left = ends[np.searchsorted(ends, places)] - places
+    left = np.repeat(ends, np.diff(ends, prepend=-1)) - places
     words = words8(np.concatenate([text, np.zeros(LONG + 16, np.uint8)]), n + LONG + 8)
     out = np.zeros(n, np.int64)
     for side in (-1, 1):
@@ -168,7 +188,7 @@ def matching_statistics(text: np.ndarray) -> np.ndarray:
         value = np.zeros(len(j), np.int64)
         value[inside] = np.minimum(_matched(words, j[inside], order[beside[inside]]), left[j[inside]])
         # Stream from each sample towards the text's beginning: one byte more at each step.
-        next_ = np.searchsorted(j, places)
+        next_ = np.repeat(np.arange(len(j)), np.diff(j, prepend=-1))
         out = np.maximum(out, value[next_] + (j[next_] - places))
     return out
 
@@ -204,7 +224,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...]
     """
     slim = docs.select(*(F.col(k) for k in keep), F.col(text).alias("text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    buckets = parts_of(docs.sparkSession)
+    buckets = PER_PART * parts_of(docs.sparkSession)
     packs = packs_of(slim).drop("grp")
 
     def ask(batches):
