@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siftline.sources import decode, extract, ignore
 from siftline.sources.corpus import extension_of, file_name_of
@@ -91,7 +92,7 @@ def read(files: DataFrame) -> DataFrame:
     """
     name = file_name_of(F.col("relative_path"))
     files = files.withColumn("file_name", name).withColumn("extension", extension_of(name))
-    schema = files.schema.add("text", "string").add("encoding", "string")
+    schema = StructType(list(files.schema)).add("text", "string").add("encoding", "string")
     at = files.columns.index("walk_error")
 
     def content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
