@@ -182,9 +182,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
 
 def reject_poor(docs: DataFrame, labels: DataFrame, *, learn: Column) -> DataFrame:
     """docs without the rows that the classifier rejects; their columns stay as they are."""
-    model = train(docs, labels, learn=learn)
-    keep = tuple(docs.columns)
-    texts = docs.select("*", F.col("text").alias("__copy"))
-    return score(texts, model, "__copy", keep).where(F.col("predicted") == 1).select(*keep)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, learn=learn))
+    at = docs.columns.index("text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(lo, BLOCK)
+                yield part.filter(pa.array(scores(shared.value, features(texts_of(part.column(at)))) >= ACCEPT))
 
+    return docs.mapInArrow(run, docs.schema)

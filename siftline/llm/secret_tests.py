@@ -167,6 +167,9 @@ def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
 
 def mask_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every secret of its texts masked; other columns, null texts and the number of rows stay."""
-    out = scan(docs, text, tuple(docs.columns))
+    names = docs.columns
+    plain = docs.toDF(*(f"__column{i}" for i in range(len(names))))  # as docs may have columns named like scan's own
+    own = plain.columns[names.index(text)]
+    out = scan(plain, own, tuple(plain.columns))
     every = F.array_sort(F.concat("base", "added"))
-    return out.withColumn(text, masked(F.col(text), every)).select(*docs.columns)
+    return out.withColumn(own, masked(F.col(own), every)).select(*plain.columns).toDF(*names)
