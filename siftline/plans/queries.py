@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from siftline.functions import folding
 from siftline.operators import aggregate, context, evidence, records, replace, search, view
 from siftline.operators import predicates as p
 from siftline.sinks import rows as sinks
-from siftline.sources import corpus, decode, grep_output
+from siftline.sources import corpus, decode, extract, grep_output, ignore
 from siftline.spec import SearchSpec
 
 QUERIES: dict = {}
@@ -377,6 +378,52 @@ def folded_text(spark, sf_dir):
     return lines.select("relative_path", "line_number", folding.fold_column(F.col("line"), SearchSpec("x", diacritic_sensitive=False)).alias("folded"))
 
 
+RULES = {"": "*.PNG\nvendor/\n/en/src3\n", "en": "!1*.PNG\n"}
+
+
+@query(
+    f"""WITH {SKIPS} SELECT concat_ws('/', lang, folder, file_name) AS relative_path, folder = 'vendor' OR (lang = 'en' AND folder = 'src3') OR (file_name LIKE '%.PNG' AND NOT (lang = 'en' AND file_name LIKE '1%')) AS ignored FROM v"""
+)
+def ignore_rules(spark, sf_dir):
+    @F.pandas_udf("boolean")
+    def hidden(paths: pd.Series) -> pd.Series:
+        known = ignore.ignored_in(paths.tolist(), RULES)
+        return paths.map(known)
+
+    return varied(spark, sf_dir).select("relative_path", hidden("relative_path").alias("ignored"))
+
+
+@query("SELECT doc_id, md5(text) AS text_md5, CASE doc_id % 3 WHEN 0 THEN 'UTF-16 LE' WHEN 1 THEN 'UTF-16 BE' ELSE 'UTF-8' END AS encoding FROM documents WHERE text IS NOT NULL")
+def decode_text(spark, sf_dir):
+    @F.pandas_udf("struct<text:string,encoding:string>")
+    def decoded(content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([decode.decoded(c) for c in content], columns=["text", "encoding"])
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    k, text = F.col("doc_id") % 3, F.col("text")
+    little = F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))
+    big = F.concat(F.unhex(F.lit("FEFF")), F.encode(text, "UTF-16BE"))
+    out = d.select("doc_id", decoded(F.when(k == 0, little).when(k == 1, big).otherwise(F.encode(text, "UTF-8"))).alias("t"))
+    return out.select("doc_id", F.md5("t.text").alias("text_md5"), "t.encoding")
+
+
+@query("SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+def docs_extract(spark, sf_dir):
+    @F.pandas_udf("string")
+    def plain(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: extract.extracted("rtf", c))
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where(~F.rlike("text", F.lit("[^\\x00-\\x7F]")))
+    body = F.regexp_replace(F.regexp_replace("text", F.lit(r"([\\{}])"), F.lit(r"\\$1")), F.lit("\n"), F.lit(r"\\par "))
+    rtf = F.concat(F.lit(r"{\rtf1{\fonttbl{\f0 Arial;}}"), body, F.lit("}")).cast("binary")
+    return d.select("doc_id", F.md5(plain(rtf)).alias("text_md5"))
+
+
+@query(f"WITH {ROWS} SELECT to_json({{'path': full_path, 'line': line_number, 'column': column_number, 'match': match_preview_before || match_preview_match || match_preview_after}})::VARCHAR AS row FROM r")
+def view_json(spark, sf_dir):
+    return sinks.view_json(hits(spark, sf_dir))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: files that hold a term, with their counts and first matches."""
     return file_aggregate(spark, sf_dir)
