@@ -13,8 +13,8 @@ from siftline.spec import MAX_FILE_BYTES, SIZE_TOLERANCE_KB, UNIT_KB, SearchSpec
 #: Directories of systems and tools, file types that are not text, and those of them that can be searched.
 SYSTEM_NAMES = ("bin", "dev", ".git", "node_modules", "obj", "proc", "sys", "vendor")
 BINARY_TYPES = (
-    "7z", "a", "avi", "bin", "bmp", "bz2", "class", "dll", "dmg", "doc", "docx", "exe", "flac", "gif", "gz", "ico", "iso", "jar", "jpeg", "jpg",
-    "mkv", "mov", "mp3", "mp4", "o", "pdf", "png", "pptx", "rar", "rtf", "so", "tar", "wav", "webp", "xlsx", "xz", "zip",
+    "7z", "avi", "bin", "bmp", "cache", "dll", "doc", "docx", "exe", "flac", "gif", "gz", "ico", "idx", "jpeg", "jpg", "lock", "mkv", "mp3", "mp4",
+    "obj", "ogg", "pack", "pdb", "pdf", "png", "ppt", "pptx", "rar", "rtf", "svg", "tar", "wav", "webp", "xls", "xlsx", "zip",
 )
 SEARCHABLE_TYPES = ("docx", "odp", "ods", "odt", "pdf", "pptx", "rtf", "xlsx", "zip")
 

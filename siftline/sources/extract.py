@@ -13,9 +13,9 @@ from xml.parsers import expat
 MOST_ENTRIES, MOST_ENTRY_BYTES, MOST_TEXT_BYTES, PDF_SECONDS = 1024, 4 << 20, 16 << 20, 30
 #: Entries that hold the text of each type, and types of text inside archives.
 ENTRIES = {"docx": ("word/document.xml",), "xlsx": ("xl/sharedStrings.xml", "xl/comments1.xml"), "odt": ("content.xml",), "ods": ("content.xml",), "odp": ("content.xml",)}
-TEXT_TYPES = frozenset("bat c cfg conf cpp cs css csv go h html ini java js json log md php ps1 py rb rs sh sql toml ts txt xml yaml yml".split())
+TEXT_TYPES = frozenset("bash c conf cpp css csv fish go h hpp htm html ini java js json log md py rs sh toml ts tsv txt xml yaml yml zsh".split())
 #: Rich-text groups that hold no text.
-_NO_TEXT = frozenset("author colortbl fonttbl footer footnote generator header info pict stylesheet themedata xmlnstbl".split())
+_NO_TEXT = frozenset("colortbl fonttbl footer header info object pict stylesheet".split())
 
 
 class ExtractError(Exception):
