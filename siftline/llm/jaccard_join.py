@@ -19,17 +19,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siftline.llm.bytewords import Texts, mix, pair, shingles, slices, texts_of, words_of
-from siftline.llm.components import components
+from siftline.llm.components import Links, components
 from siftline.llm.support import parts_of, written
 
 #: Parts beyond those that two similar sets can differ in; parts that are empty are left out while they are no more.
 SPARE = 3
-#: Classes of a block that one task may hold, documents multiplied at once, and bytes of them in a pass over large blocks.
-TASK_CLASSES, AT_ONCE, PASS_BYTES = 256, 64, 16 << 20
+#: Classes of a block that one task may hold, documents multiplied at once, and bytes of those that a pass over large
+#: blocks multiplies with all rows.
+TASK_CLASSES, AT_ONCE, PASS_BYTES = 512, 64, 24 << 20
 
 
 @dataclass(frozen=True)
@@ -199,9 +201,9 @@ def block_components(sets: list[np.ndarray], rule: Rule) -> np.ndarray:
 def _large_links(sets: DataFrame, rule: Rule) -> DataFrame:
     """(u, v) links of classes that connect the components of large blocks; sets has block, cls, grams.
 
-    A round multiplies up to AT_ONCE classes of each block, those outside its largest component, with all of the block.
-    They are chosen by a hash below a threshold, so no block is ordered or gathered; blocks whose turn does not fit in
-    PASS_BYTES wait for the next round.
+    If all classes together fit in PASS_BYTES, one round multiplies each with its block.  Else the first round takes about
+    AT_ONCE classes of each block, and later ones those outside the block's largest component, PASS_BYTES of them over all
+    blocks.  They are chosen by a hash below a threshold, so no block is ordered or gathered.
     """
     spark = sets.sparkSession
     links = spark.createDataFrame([], "u binary, v binary")
@@ -216,14 +218,15 @@ def _large_links(sets: DataFrame, rule: Rule) -> DataFrame:
         open_ = open_ if turns == 1 else open_.where(F.col("root") != F.col("largest"))
         open_ = open_.select("block", "cls", "bytes")
         per_block = open_.groupBy("block").agg(F.count("*").alias("n"), F.sum("bytes").alias("all"))
-        cost = F.ceil(F.col("all") * F.least(F.lit(1.0), AT_ONCE / F.col("n")))
-        upto = F.sum("cost").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
-        turn = per_block.withColumn("cost", cost).withColumn("upto", upto).where((F.col("upto") <= PASS_BYTES) | (F.col("upto") == F.col("cost"))).select("block", "n")
-        chosen = written(open_.join(turn, "block").where((F.col("n") <= AT_ONCE) | (draw < AT_ONCE / F.col("n"))).select("block", "cls"), "pivots")
+        there = per_block.agg(F.count("*"), F.sum("all")).first()
+        if not there[0]:
+            return links
+        everything = turns == 1 and there[1] <= PASS_BYTES
+        share = F.lit(min(1.0, PASS_BYTES / there[1]))
+        part = F.least(share, AT_ONCE / F.col("n")) if turns == 1 and not everything else share
+        chosen = written(open_.join(per_block, "block").where(draw < part).select("block", "cls"), "pivots")
         rows = sets.join(F.broadcast(chosen), ["block", "cls"]).select("block", "cls", "grams").collect()
         if not rows:
-            if turn.isEmpty():
-                return links
             continue  # no hash was below the threshold
         by: dict = {}
         for r in rows:
@@ -231,9 +234,8 @@ def _large_links(sets: DataFrame, rule: Rule) -> DataFrame:
         shared = spark.sparkContext.broadcast(by)
 
         def link(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            seen = set()
             for batch in batches:
-                out = []
+                seen, out = set(), []
                 block, cls = np.array(batch.column("block").to_pylist()), batch.column("cls").to_pylist()
                 for b in np.unique(block).tolist():
                     if b not in shared.value:
@@ -242,44 +244,34 @@ def _large_links(sets: DataFrame, rule: Rule) -> DataFrame:
                     mine = np.flatnonzero(block == b)
                     grams = texts_of(batch.column("grams").take(pa.array(mine)))
                     values, begin = np.frombuffer(grams.data.tobytes(), "<u8"), grams.bounds // 8
-                    both = rule.linked(overlaps(values, begin, list(pivots)), np.diff(begin)[:, None], np.array([len(p) for p in pivots])[None, :])
-                    for i, near in zip(mine.tolist(), both):
-                        at = np.flatnonzero(near)
-                        if len(at):
-                            out.append((cls[i], names[at[0]]))
-                            new = {(names[at[0]], names[j]) for j in at[1:]} - seen
-                            out.extend(new)
-                            seen |= new
+                    linked_to: dict[int, int] = {}
+                    for lo in range(0, len(pivots), AT_ONCE):
+                        some = list(pivots[lo : lo + AT_ONCE])
+                        both = rule.linked(overlaps(values, begin, some), np.diff(begin)[:, None], np.array([len(p) for p in some])[None, :])
+                        for i, j in zip(*(x.tolist() for x in np.nonzero(both))):
+                            if i not in linked_to:
+                                linked_to[i] = lo + j
+                                out.append((cls[mine[i]], names[lo + j]))
+                            elif (pair_ := (names[linked_to[i]], names[lo + j])) not in seen:
+                                seen.add(pair_)
+                                out.append(pair_)
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in range(2)], names=["u", "v"])
 
         found = sets.select("block", "cls", "grams").mapInArrow(link, "u binary, v binary")
         links = written(links.unionByName(found.where(F.col("u") != F.col("v"))).distinct(), "links")
+        if everything:
+            return links
         roots = components(links)
         state = state.drop("root").join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         done = chosen.select("cls", F.lit(True).alias("now"))
         state = written(state.join(done, "cls", "left").select("block", "cls", "root", "bytes", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")), "blocks")
 
 
-def linked(docs: DataFrame, rule: Rule, identifier: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row: component_id is the least identifier reachable by links.
-
-    Null and empty texts, and those of white space, have 0 n-grams and stand alone.  Repeated rows have equal sets and so
-    link.  A null identifier is never the least one, unless there is no other.  An empty table gives no rows.  Columns of
-    docs beside the two are not read.
-    """
-    spark = docs.sparkSession
-    slim = docs.select(F.col(identifier).alias("doc_id"), F.col(text).alias("text"))
-    id_type = slim.schema["doc_id"].dataType
-    n = rule.words
-
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1):
-                sets = sets_of(texts_of(part.column(1)), n)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets.sizes, pa.int64()), _bytes(classes_of(sets))], names=["doc_id", "n_shingles", "cls"])
-
-    rows = slim.mapInArrow(classes, slim.select("doc_id").schema.add("n_shingles", "long").add("cls", "binary"))
-    rows = written(rows, "classes")
+def _lookup(slim: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Of (doc_id, text): (doc_id, n_shingles, cls) of every row, and (cls, component_id, best_cls) of the classes in
+    components of more than one row: the component's least identifier and the class that has it."""
+    spark, n = slim.sparkSession, rule.words
+    rows = written(_classified(slim, rule, "text").drop("text"), "classes")
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,8 +284,9 @@ def linked(docs: DataFrame, rule: Rule, identifier: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(name[whose[keep]].view(np.int64))], names=["sig", "node"])
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by signature and node: a link of every node to the least one with its signature."""
-        sig, least = None, None
+        """Of rows sorted by signature and node: nodes with a signature in common, as stars."""
+        sig, least, links = None, None, Links()
+        out = lambda x: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in x], names=["u", "v"])
         for batch in batches:
             s, x = (batch.column(k).to_numpy() for k in range(2))
             if not len(s):
@@ -305,8 +298,8 @@ def linked(docs: DataFrame, rule: Rule, identifier: str = "doc_id", text: str =
             if s[0] == sig:
                 low[: int(np.argmax(new[1:])) + 1 if new[1:].any() else len(s)] = least
             sig, least = s[-1], low[-1]
-            pairs = np.unique(np.stack([x, low], 1)[x != low], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(2)], names=["u", "v"])
+            yield from map(out, links.add(x[x != low], low[x != low]))
+        yield out(links.flat())
 
     signs = slim.select("text").mapInArrow(signed, "sig long, node long").repartition(parts_of(spark), "sig").sortWithinPartitions("sig", "node")
     blocks = written(components(signs.mapInArrow(stars, "u long, v long")), "candidates")
@@ -342,23 +335,50 @@ def linked(docs: DataFrame, rule: Rule, identifier: str = "doc_id", text: str =
     across = written(across, "components")
 
     known = by_class.join(across.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    best = known.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("all"))
+    # The least identifier of each component, null ones last, and the class that has it.
+    best = known.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "cls")).alias("best"), F.sum("copies").alias("all"))
     # Classes that share their component with no other row need no lookup.
-    lookup = written(known.join(best.where("all > 1"), "root").select("cls", "component_id"), "lookup")
-    out = rows.join(lookup, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id")).cast(id_type).alias("component_id"))
+    lookup = written(known.join(best.where("all > 1"), "root").select("cls", F.col("best.least").alias("component_id"), F.col("best.cls").alias("best_cls")), "lookup")
+    return rows, lookup
+
+
+def _classified(docs: DataFrame, rule: Rule, text: str) -> DataFrame:
+    """docs with n_shingles and cls; the names of docs must not clash."""
+    at, n = docs.columns.index(text), rule.words
+    schema = StructType(list(docs.schema)).add("n_shingles", "long").add("cls", "binary")
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at):
+                sets = sets_of(texts_of(part.column(at)), n)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sets.sizes, pa.int64()), _bytes(classes_of(sets))], names=schema.names)
+
+    return docs.mapInArrow(classes, schema)
+
+
+def linked(docs: DataFrame, rule: Rule, identifier: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row: component_id is the least identifier reachable by links.
+
+    Null and empty texts, and those of white space, have 0 n-grams and stand alone.  Repeated rows have equal sets and so
+    link.  A null identifier is never the least one, unless there is no other.  An empty table gives no rows.  Columns of
+    docs beside the two are not read.
+    """
+    rows, lookup = _lookup(docs.select(F.col(identifier).alias("doc_id"), F.col(text).alias("text")), rule)
+    found = rows.join(lookup, "cls", "left")
+    component = F.when(F.col("best_cls").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
-def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
-    """docs with one row of every component, that of the least identifier; a row without n-grams or links stays.
+def keep_one(docs: DataFrame, rule: Rule, identifier: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of every component, that of the least identifier; rows without n-grams or links all stay.
 
-    Of repeated rows with that identifier one stays, whichever; their columns are returned as they are.
+    Of rows that repeat that identifier and set one stays, whichever; their columns are returned as they are.
     """
-    found = linked(docs, rule)
     names = docs.columns
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    twice = found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    repeated = left.join(twice, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    once = left.join(twice, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    return once.unionByName(repeated.dropDuplicates(["doc_id"])).select(*names)
+    plain = docs.toDF(*(f"__column{i}" for i in range(len(names))))
+    own, body = (plain.columns[names.index(c)] for c in (identifier, text))
+    _, lookup = _lookup(plain.select(F.col(own).alias("doc_id"), F.col(body).alias("text")), rule)
+    found = _classified(plain, rule, body).join(lookup, "cls", "left")
+    alone = found.where(F.col("best_cls").isNull() | (F.col("n_shingles") == 0))
+    best = found.where((F.col("n_shingles") > 0) & (F.col("cls") == F.col("best_cls")) & F.col(own).eqNullSafe(F.col("component_id")))
+    return alone.unionByName(best.dropDuplicates(["cls"])).select(*plain.columns).toDF(*names)

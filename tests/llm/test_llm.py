@@ -63,7 +63,10 @@ def test_keys_round_trip(n):
     assert (packs.unsqueezed(packs.squeezed(np.arange(n))) == np.arange(n)).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("rounds", [False, True])
+def test_components(spark, monkeypatch, rounds):
+    if rounds:
+        monkeypatch.setattr(components, "HELD_LINKS", 10)
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)] + [(7, 7)]
     up = {}
@@ -369,6 +372,8 @@ def test_jaccard(spark, monkeypatch, rule, large):
     if large:  # every block takes the passes over tables
         monkeypatch.setattr(jaccard_join, "TASK_CLASSES", 1)
         monkeypatch.setattr(jaccard_join, "AT_ONCE", 3)
+        monkeypatch.setattr(jaccard_join, "PASS_BYTES", 20_000)
+        monkeypatch.setattr(components, "HELD_LINKS", 5)
     texts = near_texts()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.linked(table(spark, texts), jaccard_join.Rule(*rule)).collect()}
     assert [got[i] for i in range(len(texts))] == linked(texts, *rule)
