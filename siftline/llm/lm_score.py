@@ -31,6 +31,8 @@ from siftline.llm.support import parts_of, written
 COUNTED, DELETED, HELD_OUT = 0, 1, 2
 #: Rounds of expectation-maximisation, and steps per power of two in which probabilities are gathered for it.
 ROUNDS, STEPS = 60, 4
+#: Buckets of n-grams for each part of an exchange; each is a group of its own, so more of them need less memory.
+PER_PART = 4
 _END, _BEGIN = np.uint64(0x7D3A5B1C9E8F6421), np.uint64(0x1F2E3D4C5B6A7988)
 _ORDER_SALT = 0x9FB21C651E98DF25
 
@@ -74,7 +76,7 @@ def grams_of(column: pa.Array, order: int) -> Grams:
 
 def exchange(packs: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
     """Answers (pack, bucket, ord, total, counted) to every pack's n-grams, and a row of totals over the training texts."""
-    buckets = parts_of(packs.sparkSession)
+    buckets = PER_PART * parts_of(packs.sparkSession)
 
     def ask(batches):
         for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.bytewords import Texts, texts_of
+from siftline.llm.bytewords import Texts, mix, texts_of
 from siftline.llm.packs import bucket_bounds, decode, encode, packs_of, squeezed, unpacked, unsqueezed
 from siftline.llm.support import parts_of, written
 
@@ -87,7 +87,8 @@ def anchored(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 total = np.cumsum(whole)
                 ends = np.concatenate([first[1:], [b - a]])
                 last = first + (total[ends - 1] - total[first])
-                found.append((first + a, last + a, gram[at[first]]))
+                # The least hashes are low ones: mixed again, they fill all buckets evenly.
+                found.append((first + a, last + a, mix(gram[at[first]])))
         lo = hi
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
