@@ -17,7 +17,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes hashed at once: bounds the working memory of a batch, whatever its texts.
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -19,19 +19,24 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from siftline.llm.bytewords import Texts, mix, pair, shingles, slices, texts_of, words_of
 from siftline.llm.components import Links, components
-from siftline.llm.support import parts_of, written
+from siftline.llm.packs import bucket_bounds, decode, encode, squeezed, unsqueezed
+from siftline.llm.support import if_small, parts_of, settle, written
 
 #: Parts beyond those that two similar sets can differ in; parts that are empty are left out while they are no more.
 SPARE = 3
 #: Classes of a block that one task may hold, documents multiplied at once, and bytes of those that a pass over large
 #: blocks multiplies with all rows.
-TASK_CLASSES, AT_ONCE, PASS_BYTES = 512, 64, 24 << 20
+TASK_CLASSES, AT_ONCE, PASS_BYTES = 512, 64, 8 << 20
+#: Bytes of texts or sets that a task works on at once.
+SLICE = 2 << 20
+#: Bits of an n-gram's fingerprint where only whether it occurs twice matters: a collision keeps a set, and loses none.
+FINGERPRINT = 40
 
 
 @dataclass(frozen=True)
@@ -198,6 +203,107 @@ def block_components(sets: list[np.ndarray], rule: Rule) -> np.ndarray:
         at_once = AT_ONCE
 
 
+def _joinable(sets: DataFrame, rule: Rule) -> DataFrame:
+    """sets (block, cls, grams) without those that can link with no other of their block.
+
+    To link, num / den of a set's n-grams must be in another set.  Sets send their fingerprints to buckets, which count
+    for each set how many of its own occur in another set of the block.
+    """
+    buckets = 4 * parts_of(sets.sparkSession)
+    cut = np.uint64(64 - FINGERPRINT)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2, SLICE):
+                grams = texts_of(part.column(2))
+                sizes = np.diff(grams.bounds) // 8
+                values = np.frombuffer(grams.data.tobytes(), "<u8")
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                block = np.asarray(part.column(0)).view(np.uint64)
+                keys = pair(values, block[owner]) >> cut
+                order = np.argsort(keys, kind="stable")
+                keys, owner = keys[order], owner[order].astype("<u4")
+                node = np.array([int.from_bytes(c[:8], "big", signed=True) for c in part.column(1).to_pylist()], "<i8")
+                at = bucket_bounds(keys << cut, buckets)
+                out = [(b, encode(keys[at[b] : at[b + 1]]), squeezed(owner[at[b] : at[b + 1]]), node.tobytes()) for b in range(buckets) if at[b] < at[b + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[k] for r in out], pa.binary()) for k in (1, 2, 3))], names=["bucket", "keys", "owners", "nodes"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        keys = [decode(r["keys"]) for r in rows]
+        nodes = [np.frombuffer(r["nodes"], "<i8")[unsqueezed(r["owners"])] for r in rows]
+        keys, nodes = np.concatenate(keys), np.concatenate(nodes)
+        _, at = np.unique(keys, return_inverse=True)
+        many = np.bincount(at)[at] > 1
+        node, n = np.unique(nodes[many], return_counts=True)
+        return pa.table({"node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    asks = sets.select("block", "cls", "grams").mapInArrow(ask, "bucket int, keys binary, owners binary, nodes binary")
+    found = asks.groupBy("bucket").applyInArrow(answer, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    enough = F.col("n") * rule.den >= F.octet_length("grams") / 8 * rule.num
+    return sets.withColumn("node", _node()).join(if_small(written(found, "found")), "node").where(enough).select("block", "cls", "grams")
+
+
+def _node() -> Column:
+    """The name of a class among candidates: its first eight bytes."""
+    return F.conv(F.hex(F.substring("cls", 1, 8)), 16, -10).cast("long")
+
+
+def _blocks(signs: DataFrame) -> DataFrame:
+    """(node, block) of nodes that share a signature with another, from (sig, node)."""
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by signature and node: nodes with a signature in common, as stars."""
+        sig, least, links = None, None, Links()
+        out = lambda x: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in x], names=["u", "v"])
+        for batch in batches:
+            s, x = (batch.column(k).to_numpy() for k in range(2))
+            if not len(s):
+                continue
+            new = np.ones(len(s), bool)
+            new[1:] = s[1:] != s[:-1]
+            start = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
+            low = x[start]
+            if s[0] == sig:
+                low[: int(np.argmax(new[1:])) + 1 if new[1:].any() else len(s)] = least
+            sig, least = s[-1], low[-1]
+            yield from map(out, links.add(x[x != low], low[x != low]))
+        yield out(links.flat())
+    signs = signs.repartition(parts_of(signs.sparkSession), "sig").sortWithinPartitions("sig", "node")
+    out = written(components(signs.mapInArrow(stars, "u long, v long")).select(F.col("id").alias("node"), F.col("root").alias("block")), "candidates")
+    settle(out.sparkSession)
+    return out
+
+
+def _linked_in_blocks(sets: DataFrame, rule: Rule) -> DataFrame:
+    """(id, root) of the classes of sets (block, cls, grams) in blocks that a task can hold."""
+
+    def small(table: pa.Table) -> pa.Table:
+        names = table.column("cls").to_pylist()
+        roots = block_components([np.frombuffer(g, "<u8") for g in table.column("grams").to_pylist()], rule)
+        return pa.table([pa.array(names, pa.binary()), pa.array([names[r] for r in roots], pa.binary())], names=["id", "root"])
+
+    return sets.select("block", "cls", "grams").groupBy("block").applyInArrow(small, "id binary, root binary").distinct()
+
+
+def _resigned(sets: DataFrame, rule: Rule) -> DataFrame:
+    """sets (block, cls, grams) in the blocks that they form among themselves, with large; sets alone in theirs go."""
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1, SLICE):
+                grams = texts_of(part.column(1))
+                node = np.array([int.from_bytes(c[:8], "big", signed=True) for c in part.column(0).to_pylist()], np.int64)
+                whose, sig = signatures(Sets(np.frombuffer(grams.data.tobytes(), "<u8"), grams.bounds // 8), rule)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node[whose])], names=["sig", "node"])
+
+    blocks = _blocks(sets.select("cls", "grams").mapInArrow(signed, "sig long, node long"))
+    names = sets.select("cls").distinct().withColumn("node", _node()).join(blocks, "node").drop("node")
+    counts = names.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
+    names = written(names.join(counts, "block").select("cls", "block", (F.col("n") > TASK_CLASSES).alias("large")), "names")
+    return written(sets.drop("block").join(if_small(names), "cls").select("block", "large", "cls", "grams"), "grams")
+
+
 def _large_links(sets: DataFrame, rule: Rule) -> DataFrame:
     """(u, v) links of classes that connect the components of large blocks; sets has block, cls, grams.
 
@@ -259,6 +365,8 @@ def _large_links(sets: DataFrame, rule: Rule) -> DataFrame:
 
         found = sets.select("block", "cls", "grams").mapInArrow(link, "u binary, v binary")
         links = written(links.unionByName(found.where(F.col("u") != F.col("v"))).distinct(), "links")
+        shared.unpersist()
+        del rows, by
         if everything:
             return links
         roots = components(links)
@@ -270,12 +378,12 @@ def _large_links(sets: DataFrame, rule: Rule) -> DataFrame:
 def _lookup(slim: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """Of (doc_id, text): (doc_id, n_shingles, cls) of every row, and (cls, component_id, best_cls) of the classes in
     components of more than one row: the component's least identifier and the class that has it."""
-    spark, n = slim.sparkSession, rule.words
+    n = rule.words
     rows = written(_classified(slim, rule, "text").drop("text"), "classes")
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, SLICE):
                 sets = sets_of(texts_of(part.column(0)), n)
                 name = classes_of(sets)[:, 0].astype(np.uint64)
                 _, once = np.unique(name, return_index=True)
@@ -283,38 +391,19 @@ def _lookup(slim: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
                 keep = np.isin(whose, once)
                 yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(name[whose[keep]].view(np.int64))], names=["sig", "node"])
 
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by signature and node: nodes with a signature in common, as stars."""
-        sig, least, links = None, None, Links()
-        out = lambda x: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in x], names=["u", "v"])
-        for batch in batches:
-            s, x = (batch.column(k).to_numpy() for k in range(2))
-            if not len(s):
-                continue
-            new = np.ones(len(s), bool)
-            new[1:] = s[1:] != s[:-1]
-            start = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
-            low = x[start]
-            if s[0] == sig:
-                low[: int(np.argmax(new[1:])) + 1 if new[1:].any() else len(s)] = least
-            sig, least = s[-1], low[-1]
-            yield from map(out, links.add(x[x != low], low[x != low]))
-        yield out(links.flat())
-
-    signs = slim.select("text").mapInArrow(signed, "sig long, node long").repartition(parts_of(spark), "sig").sortWithinPartitions("sig", "node")
-    blocks = written(components(signs.mapInArrow(stars, "u long, v long")), "candidates")
+    blocks = _blocks(slim.select("text").mapInArrow(signed, "sig long, node long"))
 
     # A document of each class that is in a block; its set is made again from its text.
-    node = F.conv(F.hex(F.substring("cls", 1, 8)), 16, -10).cast("long")
     by_class = written(rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "by-class")
-    chosen = by_class.withColumn("node", node).join(blocks.withColumnRenamed("id", "node"), "node").select(F.col("least").alias("__id"), "cls", F.col("root").alias("block"))
+    chosen = by_class.withColumn("node", _node()).join(blocks, "node").select(F.col("least").alias("__id"), "cls", "block")
     counts = chosen.groupBy("block").count()
     chosen = chosen.join(counts.where("count > 1"), "block").withColumn("large", F.col("count") > TASK_CLASSES).drop("count")
+    chosen = if_small(written(chosen, "chosen"))
     texts = slim.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id"))).select("block", "large", "cls", "text")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 3):
+            for part in slices(batch, 3, SLICE):
                 sets = sets_of(texts_of(part.column(3)), n)
                 same = [a == bytes(b) for a, b in zip(part.column(2).to_pylist(), classes_of(sets))]
                 data = [sets.values[a:b].astype("<u8").tobytes() for a, b in zip(sets.first[:-1], sets.first[1:])]
@@ -324,15 +413,18 @@ def _lookup(slim: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     # Rows that repeat an identifier may bring a class twice: harmless, as equal sets link.
     sets = written(texts.mapInArrow(grams, "block long, large boolean, cls binary, grams binary"), "grams")
 
-    def small(table: pa.Table) -> pa.Table:
-        names = table.column("cls").to_pylist()
-        roots = block_components([np.frombuffer(g, "<u8") for g in table.column("grams").to_pylist()], rule)
-        return pa.table([pa.array(names, pa.binary()), pa.array([names[r] for r in roots], pa.binary())], names=["id", "root"])
-
-    inside = sets.where(~F.col("large")).groupBy("block").applyInArrow(small, "id binary, root binary").distinct()
+    inside = _linked_in_blocks(sets.where(~F.col("large")), rule)
     big = sets.where("large").drop("large")
-    across = inside if big.isEmpty() else inside.unionByName(components(_large_links(big, rule)))
+    across = inside
+    if not big.isEmpty():
+        # Sets that can link with none hold large blocks together; without them, most fall apart.
+        left = _resigned(_joinable(big, rule), rule)
+        across = across.unionByName(_linked_in_blocks(left.where(~F.col("large")), rule))
+        big = left.where("large").drop("large")
+        if not big.isEmpty():
+            across = across.unionByName(components(_large_links(big, rule)))
     across = written(across, "components")
+    settle(across.sparkSession)
 
     known = by_class.join(across.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     # The least identifier of each component, null ones last, and the class that has it.
@@ -349,7 +441,7 @@ def _classified(docs: DataFrame, rule: Rule, text: str) -> DataFrame:
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, SLICE):
                 sets = sets_of(texts_of(part.column(at)), n)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sets.sizes, pa.int64()), _bytes(classes_of(sets))], names=schema.names)
 
@@ -364,7 +456,7 @@ def linked(docs: DataFrame, rule: Rule, identifier: str = "doc_id", text: str =
     docs beside the two are not read.
     """
     rows, lookup = _lookup(docs.select(F.col(identifier).alias("doc_id"), F.col(text).alias("text")), rule)
-    found = rows.join(lookup, "cls", "left")
+    found = rows.join(if_small(lookup), "cls", "left")
     component = F.when(F.col("best_cls").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"))
 
@@ -378,7 +470,7 @@ def keep_one(docs: DataFrame, rule: Rule, identifier: str = "doc_id", text: str
     plain = docs.toDF(*(f"__column{i}" for i in range(len(names))))
     own, body = (plain.columns[names.index(c)] for c in (identifier, text))
     _, lookup = _lookup(plain.select(F.col(own).alias("doc_id"), F.col(body).alias("text")), rule)
-    found = _classified(plain, rule, body).join(lookup, "cls", "left")
+    found = _classified(plain, rule, body).join(if_small(lookup), "cls", "left")
     alone = found.where(F.col("best_cls").isNull() | (F.col("n_shingles") == 0))
     best = found.where((F.col("n_shingles") > 0) & (F.col("cls") == F.col("best_cls")) & F.col(own).eqNullSafe(F.col("component_id")))
     return alone.unionByName(best.dropDuplicates(["cls"])).select(*plain.columns).toDF(*names)

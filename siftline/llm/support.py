@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -27,6 +29,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """After a step with large shuffles whose result is written: their files have served.
+
+    Spark deletes files that nothing refers to when the driver collects its garbage, so the driver is asked to; else a long
+    chain of steps holds the shuffle files of all of them.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
+def if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df, a written table of narrow rows, to be broadcast if it has no more than so many; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def parts_of(spark: SparkSession) -> int:
     """Into how many parts a keyed exchange of this session is dealt."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
