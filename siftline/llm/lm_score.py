@@ -9,14 +9,15 @@ bucket are learned by expectation-maximisation on texts held out of the counts (
 the counts of all training texts.
 
 Counts are looked up in an exchange of packs: each pack of texts sends its distinct n-grams, as sorted hashes, to buckets
-by hash range, with its own counts if it is trained on; each bucket adds up and answers each pack.  Nothing is broadcast
-but the weights.
+by hash range, with its own counts if it is trained on; each bucket adds up and answers each pack.  Orders take turns, so
+that the disk holds the questions of one order at a time.  Nothing is broadcast but the weights.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm.bytewords import pair, texts_of, words_of
 from siftline.llm.packs import bucket_bounds, decode, encode, only, packs_of, squeezed, unpacked, unsqueezed
-from siftline.llm.support import parts_of, written
+from siftline.llm.support import parts_of, settle, written
 
 #: Groups of texts: counted while weights are learned; held out of the counts then; never learned from.
 COUNTED, DELETED, HELD_OUT = 0, 1, 2
@@ -48,7 +49,8 @@ class Grams:
     texts: int
 
 
-def grams_of(column: pa.Array, order: int) -> Grams:
+def grams_of(column: pa.Array, order: int, only_last: bool = False) -> Grams:
+    """only_last: keys and places of the highest order alone."""
     words = words_of(texts_of(column))
     counts = np.diff(words.first)
     n = len(counts)
@@ -68,62 +70,71 @@ def grams_of(column: pa.Array, order: int) -> Grams:
             earlier = np.concatenate([np.full(k - 1, _BEGIN), tokens])[: len(tokens)]
             earlier = np.where(since >= k - 1, earlier, _BEGIN)
             gram = pair(gram, earlier + np.uint64(k * _ORDER_SALT % (1 << 64)))
+        if only_last and k < order:
+            continue
         u, at = np.unique(gram, return_inverse=True)
         keys.append(u)
         places.append(at)
     return Grams(keys, places, np.repeat(np.arange(n), counts + 1), begins, n)
 
 
-def exchange(packs: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
-    """Answers (pack, bucket, ord, total, counted) to every pack's n-grams, and a row of totals over the training texts."""
+def _answered(packs: DataFrame, k: int) -> DataFrame:
+    """Answers to every pack's n-grams of k + 1 words, written; for single words also rows of totals, with pack -1."""
     buckets = PER_PART * parts_of(packs.sparkSession)
 
     def ask(batches):
         for batch in batches:
             for pack, grp, rows in zip(*(batch.column(c).to_pylist() for c in ("pack", "grp", "rows"))):
-                g = grams_of(unpacked(rows).column("text").combine_chunks(), order)
-                out = []
-                for k in range(order):
-                    mine = np.bincount(g.places[k], minlength=len(g.keys[k])) if grp != HELD_OUT else None
-                    bounds = bucket_bounds(g.keys[k], buckets)
-                    for b in range(buckets):
-                        lo, hi = bounds[b], bounds[b + 1]
-                        if lo < hi:
-                            out.append((b, pack, grp, k, encode(g.keys[k][lo:hi]), squeezed(mine[lo:hi]) if mine is not None else None))
-                yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "pack", "grp", "ord", "keys", "own"), r)) for r in out], schema=asked)
-
-    asked = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("grp", pa.int32()), ("ord", pa.int32()), ("keys", pa.binary()), ("own", pa.binary())])
+                g = grams_of(unpacked(rows).column("text").combine_chunks(), k + 1, only_last=True)
+                keys, out = g.keys[0], []
+                mine = np.bincount(g.places[0], minlength=len(keys)) if grp != HELD_OUT else None
+                bounds = bucket_bounds(keys, buckets)
+                for b in range(buckets):
+                    lo, hi = bounds[b], bounds[b + 1]
+                    if lo < hi:
+                        out.append((b, pack, grp, encode(keys[lo:hi]), squeezed(mine[lo:hi]) if mine is not None else None))
+                yield pa.RecordBatch.from_pylist([dict(zip(asked.names, r)) for r in out], schema=asked)
+
+    asked = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("grp", pa.int32()), ("keys", pa.binary()), ("own", pa.binary())])
 
     def answer(table: pa.Table) -> pa.Table:
-        out = []
-        for k in range(order):
-            rows = [r for r in table.to_pylist() if r["ord"] == k]
-            if not rows:
-                continue
-            keys = [decode(r["keys"]) for r in rows]
-            u, at = np.unique(np.concatenate(keys), return_inverse=True)
-            total, counted = np.zeros(len(u)), np.zeros(len(u))
-            lo = 0
-            for r, mine in zip(rows, keys):
-                if r["own"] is not None:
-                    own = unsqueezed(r["own"])
-                    total[at[lo : lo + len(mine)]] += own
-                    if r["grp"] == COUNTED:
-                        counted[at[lo : lo + len(mine)]] += own
-                lo += len(mine)
-            lo = 0
-            for r, mine in zip(rows, keys):
-                where = at[lo : lo + len(mine)]
-                out.append((r["pack"], r["bucket"], k, squeezed(total[where]), squeezed(counted[where]) if r["grp"] == DELETED else None, 0, 0, 0, 0))
-                lo += len(mine)
-            if k == 0:
-                out.append((-1, rows[0]["bucket"], 0, None, None, int(total.sum()), int((total > 0).sum()), int(counted.sum()), int((counted > 0).sum())))
+        out, rows = [], table.to_pylist()
+        keys = [decode(r["keys"]) for r in rows]
+        u, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total, counted = np.zeros(len(u)), np.zeros(len(u))
+        lo = 0
+        for r, mine in zip(rows, keys):
+            if r["own"] is not None:
+                own = unsqueezed(r["own"])
+                total[at[lo : lo + len(mine)]] += own
+                if r["grp"] == COUNTED:
+                    counted[at[lo : lo + len(mine)]] += own
+            lo += len(mine)
+        lo = 0
+        for r, mine in zip(rows, keys):
+            where = at[lo : lo + len(mine)]
+            out.append((r["pack"], r["bucket"], k, squeezed(total[where]), squeezed(counted[where]) if r["grp"] == DELETED else None, 0, 0, 0, 0))
+            lo += len(mine)
+        if k == 0:
+            out.append((-1, rows[0]["bucket"], 0, None, None, int(total.sum()), int((total > 0).sum()), int(counted.sum()), int((counted > 0).sum())))
         return pa.Table.from_pylist([dict(zip(answered.names, r)) for r in out], schema=answered)
 
     answered = pa.schema([("pack", pa.int64()), ("bucket", pa.int32()), ("ord", pa.int32()), ("total", pa.binary()), ("counted", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("n0", pa.int64()), ("v0", pa.int64())])
-    asks = packs.mapInArrow(ask, "bucket int, pack long, grp int, ord int, keys binary, own binary")
-    answers = written(asks.groupBy("bucket").applyInArrow(answer, "pack long, bucket int, ord int, total binary, counted binary, n long, v long, n0 long, v0 long"), "answers")
-    sums = answers.where("pack < 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n0", "v0")))
+    asks = packs.mapInArrow(ask, "bucket int, pack long, grp int, keys binary, own binary")
+    return written(asks.groupBy("bucket").applyInArrow(answer, "pack long, bucket int, ord int, total binary, counted binary, n long, v long, n0 long, v0 long"), "answers")
+
+
+def exchange(packs: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+    """Answers (pack, bucket, ord, total, counted) to every pack's n-grams, and a row of totals over the training texts.
+
+    One order at a time: the shuffle files of an order are released before the next one asks.
+    """
+    orders = []
+    for k in range(order):
+        orders.append(_answered(packs, k))
+        settle(packs.sparkSession)
+    answers = reduce(DataFrame.unionByName, orders)
+    sums = orders[0].where("pack < 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n0", "v0")))
     return answers.where("pack >= 0").select("pack", "bucket", "ord", "total", "counted"), sums
 
 
@@ -226,8 +237,14 @@ def score(docs: DataFrame, group: Column, *, order: int = 2, identifier: str = "
     # A cell per bucket and step of each order: bounded by their ranges, not by the corpus.
     pairs = lambda p: p.groupBy("pack").cogroup(answers.join(p.select("pack"), "pack", "left_semi").groupBy("pack"))
     cells = pairs(only(packs, DELETED)).applyInArrow(each(gathered, "counted"), "bucket long, steps array<long>, tokens long")
-    cells = [(r["bucket"], r["steps"], r["tokens"]) for r in cells.groupBy("bucket", "steps").agg(F.sum("tokens").alias("tokens")).collect()]
-    weights = learned(cells, order)
+    cells = cells.groupBy("bucket", "steps").agg(F.sum("tokens").alias("tokens")).toArrow().combine_chunks()
+    settle(docs.sparkSession)
+    of, tokens = np.asarray(cells.column("bucket")), np.asarray(cells.column("tokens"))
+    steps = np.asarray(cells.column("steps").combine_chunks().flatten()).reshape(-1, order + 1)
+    weights: dict[int, np.ndarray] = {}
+    for b in np.unique(of).tolist():  # one bucket's cells at a time are Python objects
+        weights |= learned([(b, s, t) for s, t in zip(steps[of == b].tolist(), tokens[of == b].tolist())], order)
+    del cells, of, tokens, steps
     n, v = float(sums["n"]), float(sums["v"])
 
     def scored(table, grp, g, gram, history):

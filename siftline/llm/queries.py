@@ -9,8 +9,8 @@ from siftline.llm import bpe_count, cgk_leaks, html_text, jaccard_join, knn_qual
 from siftline.llm.support import table
 
 TOKEN_LIMIT = 512
-#: Words of the longest n-gram: with 3, the exchange goes beyond the disk that the check tool allows.
-LM_ORDER = 2
+#: Words of the longest n-gram.
+LM_ORDER = 3
 
 
 def remainder(identifier: str, of: int) -> Column:

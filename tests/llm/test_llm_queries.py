@@ -82,3 +82,13 @@ def test_pipeline(spark):
 def test_crc(spark):
     df = spark.createDataFrame([(7,), (None,)], "doc_id long").select(queries.remainder("doc_id", 5))
     assert [r[0] for r in df.collect()] == [zlib.crc32(b"7") % 5, None]
+
+
+def test_lm_score_reads_three_word_context(spark, tmp_path):
+    group = {k: [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == k] for k in range(5)}
+    learned = [i for k in (0, 2, 3, 4) for i in group[k]]
+    rows = [(i, ("a b c", "x b d")[n % 2]) for n, i in enumerate(learned)]
+    rows += [(group[1][0], "a b c"), (group[1][1], "a b d")]  # alike in all single words and pairs
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["score"] for r in queries.op1_lm_score(spark, str(tmp_path)).where("held_out").collect()}
+    assert got[group[1][0]] > got[group[1][1]] + 0.2
