@@ -4,6 +4,9 @@ Every window of LONG bytes has an anchor, the least of its 16-byte grams by hash
 Anchors that occur once in the corpus end the matter for their windows.  The others' windows go to buckets by anchor, as
 strings that hold each window exactly once; a pack sends equal strings once.
 
+Anchors with too many windows for one index are dealt out again: each of their windows goes by its own digest, and meets its
+equals there.
+
 A bucket indexes its distinct strings: the Burrows-Wheeler transform of their concatenation is cut into runs, and at the
 ends of runs the text position and its match with the neighbouring suffix are sampled.  Within a run the match of
 position j is one longer than that of j + 1, so the matching statistics of all positions stream out of the samples, from
@@ -28,6 +31,8 @@ from siftline.llm.support import parts_of, written
 LONG, GRAM = 200, 32
 #: Window starts whose anchors are sought at once, and bytes of strings indexed at once, whole anchors at a time.
 STRETCH, INDEXED = 1 << 20, 1 << 20
+#: Runs of windows beyond which an anchor is dealt out by windows: their strings would be more than INDEXED bytes.
+HOT = INDEXED // (2 * LONG - GRAM)
 #: Buckets of anchors for each part of an exchange; each is a group of its own, so more of them need less memory.
 PER_PART = 8
 #: Never a byte of UTF-8 text.
@@ -107,6 +112,28 @@ def distinct_strings(texts: Texts, first: np.ndarray, last: np.ndarray, anchor:
     return at[order], place[label], count[order]
 
 
+def hot_windows(texts: Texts, first: np.ndarray, last: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct digests in order, as pairs of numbers; digest of each window of each string; windows of each digest)."""
+    if not len(at):
+        return np.empty((0, 2), np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    data, out = memoryview(texts.data.tobytes()), []
+    for i in at.tolist():
+        out += [hashlib.blake2b(data[a : a + LONG], digest_size=16).digest() for a in range(int(first[i]), int(last[i]) + 1)]
+    pairs = np.frombuffer(b"".join(out), ">u8").astype(np.uint64).reshape(-1, 2)
+    keys, place = distinct_pairs(pairs)
+    return keys, place, np.bincount(place, weights=np.repeat(count, last[at] - first[at] + 1), minlength=len(keys)).astype(np.int64)
+
+
+def distinct_pairs(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct pairs in order, place of each pair among them)."""
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (pairs[order[1:]] != pairs[order[:-1]]).any(1)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return pairs[order[new]], place
+
+
 def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(suffixes in order, rank of each), as if every separator were a sign of its own, ordered by place."""
     n = len(text)
@@ -207,21 +234,33 @@ def _rows(table: pa.Table) -> tuple[pa.Table, Texts]:
     return table, texts_of(table.column("text").combine_chunks())
 
 
+def _flags(replies: pa.Table, column: str) -> np.ndarray:
+    """The answers of all buckets in one column, in the order of the questions."""
+    some = replies.filter(pa.compute.is_valid(replies.column(column))).select(["bucket", column])
+    rows = sorted(some.to_pylist(), key=lambda r: r["bucket"])
+    return np.concatenate([np.unpackbits(np.frombuffer(pa.decompress(r[column][8:], -(-n // 8), codec="zstd", asbytes=True), np.uint8))[:n] for r in rows if (n := int.from_bytes(r[column][:8], "little"))] or [np.empty(0, np.uint8)])
+
+
+def _flagged(bits: np.ndarray) -> bytes:
+    return len(bits).to_bytes(8, "little") + pa.compress(np.packbits(bits).tobytes(), codec="zstd", asbytes=True)
+
+
 def _shared(replies: pa.Table, n: int) -> np.ndarray:
+    """Of each anchor of a pack: 0 if it occurs once, 2 if it is dealt out by windows, else 1."""
     rows = sorted(replies.to_pylist(), key=lambda r: r["bucket"])
-    got = np.concatenate([unsqueezed(r["many"]) for r in rows] or [np.empty(0, "<u4")]) > 0
+    got = np.concatenate([unsqueezed(r["many"]) for r in rows] or [np.empty(0, "<u4")])
     if len(got) != n:
         raise RuntimeError(f"{n} anchors asked for, {len(got)} answered")
     return got
 
 
-def remove_repeats(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_text: bool = False, hot: int = HOT) -> DataFrame:
     """keep columns of every row with n_bytes, n_removed, n_spans, kept_sha256, and kept, what is left, if with_text.
 
     A byte goes if a string of LONG bytes around it also starts anywhere else in any text; texts are judged as they came,
     so all copies go.  Null and empty texts have 0 bytes; shorter texts than LONG lose nothing; repeated rows repeat each
     other.  What is left of cut characters is replaced in kept, as it needn't be valid UTF-8.  Columns outside keep do not
-    matter; keep can't hold the new names.
+    matter; keep can't hold the new names.  Anchors of more than hot runs are dealt out by windows; the result is the same.
     """
     slim = docs.select(*(F.col(k) for k in keep), F.col(text).alias("text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
@@ -234,7 +273,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...]
                 _, _, anchor = anchored(_rows(unpacked(rows))[1])
                 keys, count = np.unique(anchor, return_counts=True)
                 at = bucket_bounds(keys, buckets)
-                out = [(b, pack, encode(keys[at[b] : at[b + 1]]), squeezed(np.minimum(count[at[b] : at[b + 1]], 2))) for b in range(buckets) if at[b] < at[b + 1]]
+                out = [(b, pack, encode(keys[at[b] : at[b + 1]]), squeezed(count[at[b] : at[b + 1]])) for b in range(buckets) if at[b] < at[b + 1]]
                 yield pa.RecordBatch.from_pylist([dict(zip(asked.names, r)) for r in out], schema=asked)
 
     asked = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("keys", pa.binary()), ("own", pa.binary())])
@@ -244,7 +283,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...]
         keys = [decode(r["keys"]) for r in rows]
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, weights=np.concatenate([unsqueezed(r["own"]) for r in rows]))
-        many, lo, out = (total > 1)[at], 0, []
+        many, lo, out = np.where(total > hot, 2, total > 1)[at], 0, []
         for r, mine in zip(rows, keys):
             out.append({"pack": r["pack"], "bucket": r["bucket"], "many": squeezed(many[lo : lo + len(mine)])})
             lo += len(mine)
@@ -254,31 +293,55 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...]
     shared = written(asks.groupBy("bucket").applyInArrow(answer, "pack long, bucket int, many binary"), "anchors")
 
     def repeated(rows: bytes, replies: pa.Table):
-        """The pack's runs of windows whose anchors occur more than once, and their distinct strings."""
+        """The pack's runs of windows whose anchors occur more than once, and their distinct strings: of common and of hot anchors."""
         table, texts = _rows(unpacked(rows))
         first, last, anchor = anchored(texts)
         keys, at = np.unique(anchor, return_inverse=True)
         many = _shared(replies, len(keys))[at]
-        first, last, anchor = first[many], last[many], anchor[many]
-        at, label, count = distinct_strings(texts, first, last, anchor)
-        return table, texts, first, last, anchor, at, label, count
+        found = []
+        for kind in (1, 2):
+            of = many == kind
+            runs = first[of], last[of], anchor[of]
+            found.append((*runs, *distinct_strings(texts, *runs)))
+        return table, texts, *found
 
     def cut(mine: pa.Table, replies: pa.Table) -> pa.Table:
         out = []
         for pack, rows in zip(mine.column("pack").to_pylist(), mine.column("rows").to_pylist()):
-            _, texts, first, last, anchor, at, _, count = repeated(rows, replies)
+            _, texts, (first, last, anchor, at, _, count), common = repeated(rows, replies)
             bounds = bucket_bounds(anchor[at], buckets)
             for b in range(buckets):
                 some = at[bounds[b] : bounds[b + 1]]
                 if len(some):
                     strings = [texts.data[first[i] : last[i] + LONG].tobytes() for i in some.tolist()]
                     out.append((b, pack, squeezed(np.array([len(s) for s in strings])), pa.compress(b"".join(strings), codec="zstd", asbytes=True), anchor[some].astype("<u8").tobytes(), squeezed(np.minimum(count[bounds[b] : bounds[b + 1]], 2))))
+            keys, _, count = hot_windows(texts, *common[:2], common[3], common[5])
+            bounds = bucket_bounds(keys[:, 0], buckets)
+            for b in range(buckets):
+                some = slice(bounds[b], bounds[b + 1])
+                if len(keys[some]):
+                    out.append((b, pack, None, None, keys[some].astype("<u8").tobytes(), squeezed(np.minimum(count[some], 2))))
         return pa.Table.from_pylist([dict(zip(strung.names, r)) for r in out], schema=strung)
 
     strung = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("sizes", pa.binary()), ("strings", pa.binary()), ("anchors", pa.binary()), ("own", pa.binary())])
 
+    def told(rows: list[dict]) -> list[dict]:
+        """Which digests of hot anchors' windows occur more than once."""
+        pairs = [np.frombuffer(r["anchors"], "<u8").reshape(-1, 2) for r in rows]
+        _, at = distinct_pairs(np.concatenate(pairs))
+        many = (np.bincount(at, weights=np.concatenate([unsqueezed(r["own"]) for r in rows])) > 1)[at]
+        cuts = np.split(many, np.cumsum([len(p) for p in pairs])[:-1])
+        return [{"pack": r["pack"], "bucket": r["bucket"], "marks": None, "windows": _flagged(bits)} for r, bits in zip(rows, cuts)]
+
     def index(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+        digests = table.filter(pa.compute.is_null(table.column("strings"))).to_pylist()
+        out = told(digests) if digests else []
+        rows = table.filter(pa.compute.is_valid(table.column("strings"))).to_pylist()
+        if rows:
+            out += indexed(rows)
+        return pa.Table.from_pylist(out, schema=pa.schema([("pack", pa.int64()), ("bucket", pa.int32()), ("marks", pa.binary()), ("windows", pa.binary())]))
+
+    def indexed(rows: list[dict]) -> list[dict]:
         number: dict[bytes, int] = {}
         labels, own, anchors = [], [], []
         for r in rows:
@@ -308,31 +371,36 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...]
         out = []
         for r, mine in zip(rows, labels):
             bits = np.concatenate([marks[i] for i in mine.tolist()])
-            out.append({"pack": r["pack"], "bucket": r["bucket"], "marks": len(bits).to_bytes(8, "little") + pa.compress(np.packbits(bits).tobytes(), codec="zstd", asbytes=True)})
-        return pa.Table.from_pylist(out, schema=pa.schema([("pack", pa.int64()), ("bucket", pa.int32()), ("marks", pa.binary())]))
+            out.append({"pack": r["pack"], "bucket": r["bucket"], "marks": _flagged(bits), "windows": None})
+        return out
 
     strings = packs.groupBy("pack").cogroup(shared.groupBy("pack")).applyInArrow(cut, "bucket int, pack long, sizes binary, strings binary, anchors binary, own binary")
-    marked = strings.groupBy("bucket").applyInArrow(index, "pack long, bucket int, marks binary")
-    replies = shared.select("pack", "bucket", "many", F.lit(None).cast("binary").alias("marks")).unionByName(marked.select("pack", "bucket", F.lit(None).cast("binary").alias("many"), "marks"))
+    marked = strings.groupBy("bucket").applyInArrow(index, "pack long, bucket int, marks binary, windows binary")
+    replies = shared.unionByName(marked, allowMissingColumns=True)
     replies = written(replies, "marks")
 
     def finish(mine: pa.Table, replies: pa.Table) -> pa.Table:
         out = []
         many = replies.filter(pa.compute.is_valid(replies.column("many")))
-        marks = sorted(replies.filter(pa.compute.is_valid(replies.column("marks"))).to_pylist(), key=lambda r: r["bucket"])
         for rows in mine.column("rows").to_pylist():
-            table, texts, first, last, anchor, at, label, count = repeated(rows, many)
-            bits = [np.unpackbits(np.frombuffer(pa.decompress(r["marks"][8:], -(-int.from_bytes(r["marks"][:8], "little") // 8), codec="zstd", asbytes=True), np.uint8))[: int.from_bytes(r["marks"][:8], "little")] for r in marks]
-            bits = np.concatenate(bits or [np.empty(0, np.uint8)])
-            wide = last[at] - first[at] + 1
-            if wide.sum() != len(bits):
-                raise RuntimeError(f"{wide.sum()} windows asked for, {len(bits)} answered")
-            begin = np.cumsum(wide) - wide
-            # Every run's windows, and their marks in its string.
-            n = last - first + 1
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            hit = bits[np.repeat(begin[label], n) + step] > 0
-            starts = (np.repeat(first, n) + step)[hit]
+            table, texts, seldom, common = repeated(rows, many)
+            starts = []
+            for (first, last, _, at, label, count), column in ((seldom, "marks"), (common, "windows")):
+                bits, wide = _flags(replies, column), last[at] - first[at] + 1
+                if column == "windows":
+                    keys, place, _ = hot_windows(texts, first, last, at, count)
+                    if len(keys) != len(bits):
+                        raise RuntimeError(f"{len(keys)} digests asked for, {len(bits)} answered")
+                    bits = bits[place]
+                if wide.sum() != len(bits):
+                    raise RuntimeError(f"{wide.sum()} windows asked for, {len(bits)} answered")
+                begin = np.cumsum(wide) - wide
+                # Every run's windows, and their marks in its string.
+                n = last - first + 1
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                hit = bits[np.repeat(begin[label], n) + step] > 0
+                starts.append((np.repeat(first, n) + step)[hit])
+            starts = np.concatenate(starts)
             edge = np.bincount(starts, minlength=len(texts.data) + 1) - np.bincount(starts + LONG, minlength=len(texts.data) + 1)
             gone = np.cumsum(edge[:-1]) > 0 if len(texts.data) else np.zeros(0, bool)
             bounds = texts.bounds.tolist()

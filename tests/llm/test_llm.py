@@ -226,6 +226,14 @@ def test_matching_statistics_are_exact():
             assert got[i] == best
 
 
+def test_repeats_around_hot_anchors(spark):
+    rng = random.Random(8)
+    line = prose(rng, 50)
+    texts = [f"{prose(rng, 40)} {line} {prose(rng, 40)}" for _ in range(40)] + repeating_texts()
+    got = {r.doc_id: r for r in rlbwt_dedup.remove_repeats(table(spark, texts), hot=3).collect()}
+    assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in range(len(texts))] == removed(texts)
+
+
 def test_repeats_of_an_empty_table(spark):
     assert rlbwt_dedup.remove_repeats(table(spark, [])).count() == 0
 
