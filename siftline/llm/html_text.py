@@ -2,8 +2,8 @@
 
 The standard library's parser sends its events through one pass.  Block elements cut the page into lines; each line has
 its characters, its tags and the element it lies in.  The text-to-tag ratios of the lines are smoothed by a Gaussian, and
-lines above the smoothed ratios' standard deviation are content.  The element that gathers most content characters is the
-region; its lines are the text, less those in menus, notices, forms and the like.
+lines above the smoothed ratios' standard deviation are content.  The lowest element that holds nearly all content characters,
+or the article around it, is the region; its lines are the text, less those in menus, notices, forms and the like.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ MARKS = frozenset("ad ads advert adverts advertisement banner sponsor sponsored
 #: Ends of these are implied when a like element begins.
 _ALIKE = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 _CLOSES_P = BLOCKS - {"html", "head", "body", "title", "option"}
+#: Share of the content characters that the region holds at least: less than the rest is a stray line.
+NEARLY_ALL = 0.95
 #: Reach of the smoothing, in lines.
 RADIUS = 2
 _KERNEL = np.exp(-0.5 * np.arange(-RADIUS, RADIUS + 1) ** 2)
@@ -145,13 +147,14 @@ def main_text(html: str | None) -> str:
     if not seeds:
         return ""
     mass: dict[int, int] = {}
-    named = any(kinds[r] in ("article", "main") for i in seeds for r in lines[i][2])
     for i in seeds:
-        path = lines[i][2]
-        holders = [r for r in path if kinds[r] in ("article", "main")][-1:] if named else path[-1:]
-        for r in holders:
+        for r in lines[i][2]:
             mass[r] = mass.get(r, 0) + len(lines[i][0])
-    region = max(mass, key=lambda r: (mass[r], -r))
+    # Regions that hold most of the content lie within each other, and the lowest began last.
+    region = max(r for r in mass if mass[r] >= NEARLY_ALL * mass[0])
+    path = next(lines[i][2] for i in seeds if region in lines[i][2])
+    named = [r for r in path[: path.index(region) + 1] if kinds[r] in ("article", "main")]
+    region = named[-1] if named else region
     inside = [i for i in range(len(lines)) if kept[i] and region in lines[i][2]]
     if not named:  # no element says where content begins and ends: the clustered lines do
         own = [i for i in seeds if region in lines[i][2]]

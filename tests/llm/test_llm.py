@@ -259,6 +259,17 @@ def test_main_text_without_article():
     assert html_text.main_text(page).count("\n") == 5
 
 
+@pytest.mark.parametrize("split", ["<div>{}</div>", "<section><div>{}</div></section>", "<article>{}</article>", "<article>{}<article>{}</article></article>", "<main>{}</main><div>{}</div>"])
+def test_main_text_of_split_articles(split):
+    rng = random.Random(9)
+    paragraphs = [prose(rng, 40) for _ in range(12)]
+    left = [f"<p>{p}</p>" for p in paragraphs]
+    each = split.count("{}")
+    body = "".join(split.format(*("".join(left[i + 2 * k : i + 2 * k + 2]) for k in range(each))) for i in range(0, 12, 2 * each))
+    page = f"<body><div id=menu><a>a</a><a>b</a></div>{body}<form><label>x</label></form></body>"
+    assert html_text.main_text(page).split("\n") == paragraphs
+
+
 # 5: benchmark passages
 
 
