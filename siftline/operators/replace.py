@@ -11,9 +11,6 @@ from siftline.operators.predicates import classified
 from siftline.operators.search import content_rows, path_order
 from siftline.spec import SearchSpec
 
-#: Most files of one operation, by path.
-MOST_FILES = 100_000
-
 
 def _counted(text: Column, spec: SearchSpec, replacement: str) -> tuple[Column, Column]:
     """(new text, matches), in Spark's expressions if they are exact, over the whole text."""
@@ -66,20 +63,25 @@ def expanded(template: str, m) -> str:
     return regex.sub(r"\$(?:\{([^}]*)\}|([A-Za-z0-9_]+)|(\$))", group, template)
 
 
-def replaced(files: DataFrame, spec: SearchSpec, replacement: str) -> DataFrame:
+def replaced(files: DataFrame, spec: SearchSpec, replacement: str, *, most_files: int | None = None) -> DataFrame:
     """(full_path, matches, new_text, status) of the files that the search finds.
 
     Files are found line by line, and rewritten as wholes; status is modified, unchanged (no match in the whole text, or
-    the same text), or failed for documents that can't be written back.
+    the same text), or failed for documents that can't be written back.  With most_files, only so many files are taken, first
+    by path, and every row has capped, whether there were more.
     """
     from siftline.operators.predicates import SEARCHABLE_TYPES
 
-    found = content_rows(files, spec).select("full_path").distinct().orderBy(path_order()).limit(MOST_FILES)
+    found = content_rows(files, spec).select("full_path").distinct()
+    if most_files is not None:
+        capped = found.limit(most_files + 1).agg((F.count(F.lit(1)) > most_files).alias("capped"))
+        found = found.orderBy(path_order()).limit(most_files)
     looked = classified(files, spec).where(F.col("skip_reason").isNull()).join(found, "full_path", "left_semi")
     text, n = _counted(F.col("text"), spec, replacement)
     out = looked.select("full_path", "text", F.col("extension").isin(*SEARCHABLE_TYPES).alias("document"), text.alias("new_text"), n.alias("matches"))
     status = F.when(F.coalesce("document", F.lit(False)), "failed").when((F.col("matches") == 0) | F.col("text").eqNullSafe(F.col("new_text")), "unchanged").otherwise("modified")
-    return out.select("full_path", "matches", "new_text", status.alias("status"))
+    out = out.select("full_path", "matches", "new_text", status.alias("status"))
+    return out if most_files is None else out.crossJoin(F.broadcast(capped))
 
 
 def dry_run(files: DataFrame, spec: SearchSpec) -> DataFrame:
@@ -89,9 +91,10 @@ def dry_run(files: DataFrame, spec: SearchSpec) -> DataFrame:
 
 
 def summary(outcome: DataFrame) -> DataFrame:
-    """One row: files modified, unchanged and failed, and matches replaced."""
+    """One row: files modified, unchanged and failed, and matches replaced; with a limit of files also capped."""
     of = lambda s: F.count_if(F.col("status") == s)
-    return outcome.agg(of("modified").alias("modified"), of("unchanged").alias("unchanged"), of("failed").alias("failures"), F.coalesce(F.sum(F.when(F.col("status") == "modified", F.col("matches"))), F.lit(0)).alias("matches"))
+    capped = [F.coalesce(F.bool_or("capped"), F.lit(False)).alias("capped")] if "capped" in outcome.columns else []
+    return outcome.agg(of("modified").alias("modified"), of("unchanged").alias("unchanged"), of("failed").alias("failures"), F.coalesce(F.sum(F.when(F.col("status") == "modified", F.col("matches"))), F.lit(0)).alias("matches"), *capped)
 
 
 def outside_root(path: Column, root: str) -> Column:

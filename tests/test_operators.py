@@ -105,6 +105,15 @@ def test_replace_paths(spark):
     assert [r.new_text for r in whole] == ["[S]ße [s]sse\nLic"]
 
 
+def test_replace_limits_files_only_if_asked(spark, monkeypatch):
+    monkeypatch.setattr(replace, "MOST_FILES", 1, raising=False)  # was the limit of every operation
+    f = files(spark, ("b.txt", "lic lic"), ("a.txt", "lic"))
+    spec = SearchSpec("lic")
+    assert replace.summary(replace.replaced(f, spec, "x")).collect() == [(2, 0, 0, 3)]
+    assert [tuple(r) for r in replace.summary(replace.replaced(f, spec, "x", most_files=1)).collect()] == [(1, 0, 0, 1, True)]
+    assert [tuple(r) for r in replace.summary(replace.replaced(f, spec, "x", most_files=2)).collect()] == [(2, 0, 0, 3, False)]
+
+
 def test_csv_guard(spark):
     df = spark.createDataFrame([("=1",), ('a"b',), ("a,b",), ("plain",), ("-x,y",)], "v string")
     assert [r[0] for r in df.select(sinks.csv_field(F.col("v"))).collect()] == ["'=1", '"a""b"', '"a,b"', "plain", '"\'-x,y"']
