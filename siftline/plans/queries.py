@@ -419,6 +419,18 @@ def docs_extract(spark, sf_dir):
     return d.select("doc_id", F.md5(plain(rtf)).alias("text_md5"))
 
 
+@query("SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL")
+def docs_extract_all(spark, sf_dir):
+    """docs_extract over the whole table: other characters than ASCII are written as escapes of UTF-16 units."""
+
+    @F.pandas_udf("string")
+    def plain(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: extract.extracted("rtf", extract.rich_text_of(c).encode("ascii")))
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    return d.select("doc_id", F.md5(plain("text")).alias("text_md5"))
+
+
 @query(f"WITH {ROWS} SELECT to_json({{'path': full_path, 'line': line_number, 'column': column_number, 'match': match_preview_before || match_preview_match || match_preview_after}})::VARCHAR AS row FROM r")
 def view_json(spark, sf_dir):
     return sinks.view_json(hits(spark, sf_dir))

@@ -80,7 +80,7 @@ def archive_text(content: bytes) -> str:
 
 
 def rich_text(content: bytes) -> str:
-    """Plain text of RTF: control words go, paragraphs and lines end lines, tabs stay."""
+    """Plain text of RTF: control words go, paragraphs and lines end lines, tabs stay, surrogates are joined."""
     s = content.decode("latin-1")
     out: list[str] = []
     skip = [False]
@@ -107,7 +107,24 @@ def rich_text(content: bytes) -> str:
             out.append(sign)
         elif plain:
             out.append(plain)
-    return "".join(out)
+    return "".join(out).encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
+def rich_text_of(text: str) -> str:
+    """RTF, in ASCII, whose plain text is a text: escapes of UTF-16 units stand for all other characters."""
+
+    def escaped(m: re.Match) -> str:
+        c = m[0]
+        if c == "\n":
+            return r"\par "
+        if c == "\r":
+            return r"\'0d"
+        if c < "\x80":
+            return "\\" + c
+        units = c.encode("utf-16-le", "surrogatepass")
+        return "".join(rf"\u{int.from_bytes(units[i : i + 2], 'little', signed=True)} " for i in range(0, len(units), 2))
+
+    return r"{\rtf1\uc0{\fonttbl{\f0 Arial;}}" + re.sub(r"[\\{}\r\n]|[^\x00-\x7F]", escaped, text) + "}"
 
 
 def pdf_text(content: bytes) -> str:

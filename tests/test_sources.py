@@ -46,6 +46,13 @@ def zipped(**entries):
     return b.getvalue()
 
 
+def test_rich_text_of_any_character():
+    assert extract.extracted("rtf", rb"{\rtf1\uc0 \u-10179 \u-8704 \u233 \u-10179 x}") == "\U0001f600é\ufffdx"
+    for text in ("été 日本 \U0001f600", "a\\{b}\r\n\tc\x01", "\U0010ffff\uffff1 2", ""):
+        assert extract.extracted("rtf", extract.rich_text_of(text).encode("ascii")) == text
+
+
+
 def test_extractors():
     assert extract.extracted("docx", zipped(word__document_dot_xml="<a><b>x &amp; y</b><c>z</c></a>")) == "x & y z \n"
     assert extract.extracted("docx", zipped(other="")) == ""
