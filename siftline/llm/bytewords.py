@@ -6,6 +6,7 @@ batches of texts as one byte array, so a task spends its time in numpy and not i
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,11 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-#: Bytes hashed at once: bounds the working memory of a batch, whatever its texts.
-_CHUNK = 1 << 20
+#: Longer spans are hashed one by one.
+_SHORT = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,43 +34,53 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0xD6E8FEB86659FD93) + mix(b + np.uint64(0x632BE59BD9B4E019)))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n + 1, np.uint64)
-    out[0] = 1
-    done = 1
-    while done <= n:
-        step = min(done, n + 1 - done)
-        out[done : done + step] = out[:step] * np.uint64(pow(base, done, 1 << 64))
-        done += step
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place as one number, without a copy for each; past the end there are zeros."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of data[starts:ends] in two independent halves of 64 bits; equal bytes have equal hashes at any place.
+
+    Every block of eight bytes goes through a mixer before the next one joins, so no rule of arithmetic makes different
+    spans meet.  Spans beyond _SHORT bytes take a hash function of the standard library.
+    """
+    size = ends - starts
+    n = size.astype(np.uint64)
+    out = n * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x51ED270B), n * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x2545F491)
+    eights = _eights(data)
+    alive = np.flatnonzero(size <= _SHORT)
+    done = 0
+    while len(alive):
+        some = slice(None) if len(alive) == len(size) else alive
+        block = eights[starts[some] + done] & _MASKS[np.minimum(size[some] - done, 8)]
+        out[0][some] = mix(out[0][some] ^ block)
+        out[1][some] = mix((out[1][some] + block) * np.uint64(0xD6E8FEB86659FD93))
+        done += 8
+        alive = alive[size[alive] > done]
+    for i in np.flatnonzero(size > _SHORT).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].data, digest_size=16).digest()
+        out[0][i], out[1][i] = np.frombuffer(digest, "<u8")
     return out
 
 
-_TABLES: dict[str, np.ndarray] = {}
-
-
-def _table(name: str, n: int) -> np.ndarray:
-    have = _TABLES.get(name)
-    if have is None or len(have) <= n:
-        have = _TABLES[name] = _powers(_BASE if name == "up" else _INVERSE, max(n, _CHUNK))
-    return have
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of data[starts:ends], for spans in ascending order; equal bytes give equal hashes at any place."""
-    out = np.empty(len(starts), np.uint64)
-    lo = 0
-    while lo < len(starts):
-        origin = int(starts[lo])
-        hi = max(lo + 1, int(np.searchsorted(ends, origin + _CHUNK, "right")))
-        top = int(ends[lo:hi].max())
-        up, down = _table("up", top - origin), _table("down", top - origin)
-        sums = np.empty(top - origin + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum((data[origin:top].astype(np.uint64) + np.uint64(1)) * up[: top - origin], out=sums[1:])
-        s, e = starts[lo:hi] - origin, ends[lo:hi] - origin
-        out[lo:hi] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-        lo = hi
-    return mix(out)
+def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in order, and the place of each pair among them."""
+    order = np.argsort(a, kind="stable")
+    for _ in range(2):
+        x, y = a[order], b[order]
+        alike, apart = x[1:] == x[:-1], y[1:] != y[:-1]
+        if not (alike & apart).any():
+            break
+        order = np.lexsort((b, a))  # first halves that agree are next to none
+    new = np.ones(len(a), bool)
+    new[1:] = ~alike | apart
+    place = np.empty(len(a), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return x[new], y[new], place
 
 
 @dataclass
@@ -101,11 +109,12 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> Texts:
 
 @dataclass
 class Words:
-    """Words of a batch in order: byte spans, hashes, and first[i]:first[i+1] as the words of text i."""
+    """Words of a batch in order: byte spans, both halves of their hashes, and first[i]:first[i+1] as the words of text i."""
 
     starts: np.ndarray
     ends: np.ndarray
     hashes: np.ndarray
+    more: np.ndarray
     first: np.ndarray
 
     def owner(self) -> np.ndarray:
@@ -135,20 +144,23 @@ def words_of(texts: Texts, space: np.ndarray = _SPACE) -> Words:
     before = before[(before >= 0) & (before < len(inside))]
     stops[before] |= inside[before]
     ends = np.flatnonzero(stops) + 1
-    hashes = span_hashes(_LOWER[texts.data], starts, ends)
-    return Words(starts, ends, hashes, np.searchsorted(starts, texts.bounds))
+    return Words(starts, ends, *span_hashes(_LOWER[texts.data], starts, ends), np.searchsorted(starts, texts.bounds))
 
 
-def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every n consecutive words of one text, and the owning text of each."""
+def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, in two halves, of every n consecutive words of one text, and the owning text of each."""
     owner = words.owner()
     if len(owner) < n:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h = words.hashes[: len(owner) - n + 1]
-    for k in range(1, n):
-        h = pair(h, words.hashes[k : len(owner) - n + 1 + k])
-    same = owner[: len(owner) - n + 1] == owner[n - 1 :]
-    return h[same], owner[: len(owner) - n + 1][same]
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    upto = len(owner) - n + 1
+    halves = []
+    for each in (words.hashes, words.more):
+        h = each[:upto]
+        for k in range(1, n):
+            h = pair(h, each[k : upto + k])
+        halves.append(h)
+    same = owner[:upto] == owner[n - 1 :]
+    return halves[0][same], halves[1][same], owner[:upto][same]
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.support import parts_of, written
+from siftline.llm.support import Scratch, parts_of
 
 #: Links that a task holds before it flattens them.
 HELD_LINKS = 500_000
@@ -84,14 +84,15 @@ def _flattened(edges: DataFrame, tasks: int) -> DataFrame:
     return edges.repartition(tasks).mapInArrow(run, edges.schema)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(id, root) for every node of edges (u, v), longs or binaries; root is the least node of its component and has a
     row as well.
 
     Self loops and repeated edges are welcome.  A round joins edges with a row per node; a hub's edges are spread by
     Spark's handling of skewed joins.  Each round is written, so a lost executor costs one round at most; the number of
-    rounds grows with the logarithm of the longest path.
+    rounds grows with the logarithm of the longest path.  scratch takes the tables written.
     """
+    written = (scratch or Scratch(edges.sparkSession)).write
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v"))
     e = written(_flattened(e, max(1, parts_of(edges.sparkSession) // 16)), "edges")
     if e.count() <= HELD_LINKS:  # no more than any task holds: one more share ends it

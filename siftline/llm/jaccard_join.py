@@ -7,8 +7,10 @@ document-by-n-gram incidence matrix with its transpose is accumulated for some d
 overlap is below the bound that their sizes set are discarded.
 
 Components need a link to each member, not all links within a group: once most of a block hangs together, only documents
-outside its largest component still need to be multiplied with all.  Blocks too large for a task take the same steps as
-passes over a table, with a bounded number of documents multiplied at once.
+outside its largest component still need to be multiplied with all.  Blocks too large for a task are multiplied in shares of
+bounded bytes, first with a few of their documents, then with all that are still outside.
+
+Classes are told apart by 128 bits of all their n-grams.  Within a block, n-grams are compared by 64 bits.
 """
 
 from __future__ import annotations
@@ -23,16 +25,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from siftline.llm.bytewords import Texts, mix, pair, shingles, slices, texts_of, words_of
-from siftline.llm.components import Links, components
+from siftline.llm.bytewords import Texts, distinct, mix, pair, shingles, slices, texts_of, words_of
+from siftline.llm.components import Links, components, forest
 from siftline.llm.packs import bucket_bounds, decode, encode, squeezed, unsqueezed
-from siftline.llm.support import if_small, parts_of, settle, written
+from siftline.llm.support import Scratch, if_small, parts_of, written
 
 #: Parts beyond those that two similar sets can differ in; parts that are empty are left out while they are no more.
 SPARE = 3
-#: Classes of a block that one task may hold, documents multiplied at once, and bytes of those that a pass over large
-#: blocks multiplies with all rows.
-TASK_CLASSES, AT_ONCE, PASS_BYTES = 512, 64, 8 << 20
+#: Classes and n-grams of a block, or of a share of one, that a task may hold; a single set may have more.
+TASK_CLASSES, TASK_GRAMS = 512, 1 << 19
+#: Sets multiplied at once, and turns in which so many of each large block are, before all that are left take theirs.
+AT_ONCE, TURNS = 64, 2
+#: Signatures that a task combines before it sends them.
+HELD_SIGNS = 1 << 19
 #: Bytes of texts or sets that a task works on at once.
 SLICE = 2 << 20
 #: Bits of an n-gram's fingerprint where only whether it occurs twice matters: a collision keeps a set, and loses none.
@@ -71,10 +76,12 @@ class Rule:
 
 @dataclass
 class Sets:
-    """Distinct n-gram hashes of a batch, ascending within each text: text i has values[first[i]:first[i+1]]."""
+    """Distinct n-gram hashes of a batch, ascending within each text: text i has values[first[i]:first[i+1]]; more has the
+    other halves of the hashes."""
 
     values: np.ndarray
     first: np.ndarray
+    more: np.ndarray = None
 
     @property
     def sizes(self) -> np.ndarray:
@@ -84,21 +91,21 @@ class Sets:
 def sets_of(texts: Texts, n: int) -> Sets:
     """Texts of fewer than n words have one n-gram, the whole sequence; texts without words have none."""
     words = words_of(texts)
-    h, owner = shingles(words, n)
+    h, m, owner = shingles(words, n)
     count = np.diff(words.first)
     for k in range(1, n):
         at = words.first[:-1][count == k]
         if len(at):
-            few = np.full(len(at), 0x1234567 * k, np.uint64)
+            few = [np.full(len(at), 0x1234567 * k, np.uint64) for _ in range(2)]
             for j in range(k):
-                few = pair(few, words.hashes[at + j])
-            h, owner = np.concatenate([h, few]), np.concatenate([owner, np.flatnonzero(count == k)])
+                few = [pair(f, x[at + j]) for f, x in zip(few, (words.hashes, words.more))]
+            h, m, owner = np.concatenate([h, few[0]]), np.concatenate([m, few[1]]), np.concatenate([owner, np.flatnonzero(count == k)])
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
     h, owner = h[new], owner[new]
-    return Sets(h, np.searchsorted(owner, np.arange(len(texts) + 1)))
+    return Sets(h, np.searchsorted(owner, np.arange(len(texts) + 1)), m[order[new]])
 
 
 def _sums(cell: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
@@ -112,8 +119,8 @@ def classes_of(sets: Sets) -> np.ndarray:
     """Sixteen bytes for each set, the same for equal sets; the first eight name the class among candidates."""
     owner = np.repeat(np.arange(len(sets.sizes)), sets.sizes)
     out = np.empty((len(sets.sizes), 2), ">u8")
-    for k in range(2):
-        out[:, k] = mix(_sums(owner, mix(sets.values + np.uint64(0xA24BAED4963EE407 + k)), len(sets.sizes)) + sets.sizes.astype(np.uint64))
+    for k, half in enumerate((sets.values, sets.more)):
+        out[:, k] = mix(_sums(owner, mix(half + np.uint64(0xA24BAED4963EE407 + k)), len(sets.sizes)) + sets.sizes.astype(np.uint64))
     return out
 
 
@@ -203,7 +210,7 @@ def block_components(sets: list[np.ndarray], rule: Rule) -> np.ndarray:
         at_once = AT_ONCE
 
 
-def _joinable(sets: DataFrame, rule: Rule) -> DataFrame:
+def _joinable(sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """sets (block, cls, grams) without those that can link with no other of their block.
 
     To link, num / den of a set's n-grams must be in another set.  Sets send their fingerprints to buckets, which count
@@ -241,7 +248,7 @@ def _joinable(sets: DataFrame, rule: Rule) -> DataFrame:
     asks = sets.select("block", "cls", "grams").mapInArrow(ask, "bucket int, keys binary, owners binary, nodes binary")
     found = asks.groupBy("bucket").applyInArrow(answer, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
     enough = F.col("n") * rule.den >= F.octet_length("grams") / 8 * rule.num
-    return sets.withColumn("node", _node()).join(if_small(written(found, "found")), "node").where(enough).select("block", "cls", "grams")
+    return sets.withColumn("node", _node()).join(if_small(scratch.write(found, "found")), "node").where(enough).select("block", "cls", "grams")
 
 
 def _node() -> Column:
@@ -249,15 +256,45 @@ def _node() -> Column:
     return F.conv(F.hex(F.substring("cls", 1, 8)), 16, -10).cast("long")
 
 
-def _blocks(signs: DataFrame) -> DataFrame:
-    """(node, block) of nodes that share a signature with another, from (sig, node)."""
+def _combined(sig: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """(key, node, least) rows: of each signature at hand its least node, with the signature as key, and links that connect
+    all nodes that share one here, with the node as key."""
+    order = np.lexsort((node, sig))
+    s, x = sig[order], node[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    low = x[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
+    u, v = forest(x[x != low], low[x != low])
+    least = pa.array(np.concatenate([np.zeros(int(new.sum()), np.int64), v]), mask=np.arange(int(new.sum()) + len(u)) < new.sum())
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([s[new], u])), pa.array(np.concatenate([x[new], u])), least], names=["key", "node", "least"])
+
+
+def _combining(signed: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Signatures and nodes as they come, combined HELD_SIGNS at a time: a signature that very many nodes share is sent once
+    each time."""
+    held, n = [], 0
+    for sig, node in signed:
+        held.append((sig.view(np.int64), node.view(np.int64)))
+        n += len(sig)
+        if n >= HELD_SIGNS:
+            yield _combined(*(np.concatenate([h[k] for h in held]) for k in range(2)))
+            held, n = [], 0
+    if n:
+        yield _combined(*(np.concatenate([h[k] for h in held]) for k in range(2)))
+
+
+def _blocks(signs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, block) of nodes that share a signature with another, from rows of _combining."""
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by signature and node: nodes with a signature in common, as stars."""
+        """Of rows sorted by key and node: nodes with a signature in common, as stars, and the links that came."""
         sig, least, links = None, None, Links()
         out = lambda x: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in x], names=["u", "v"])
         for batch in batches:
-            s, x = (batch.column(k).to_numpy() for k in range(2))
+            linked = np.asarray(batch.column("least").is_valid())
+            came = batch.filter(pa.array(linked))
+            yield from map(out, links.add(np.asarray(came.column("node")), np.asarray(came.column("least"))))
+            s, x = (np.asarray(batch.column(k))[~linked] for k in range(2))
             if not len(s):
                 continue
             new = np.ones(len(s), bool)
@@ -269,10 +306,16 @@ def _blocks(signs: DataFrame) -> DataFrame:
             sig, least = s[-1], low[-1]
             yield from map(out, links.add(x[x != low], low[x != low]))
         yield out(links.flat())
-    signs = signs.repartition(parts_of(signs.sparkSession), "sig").sortWithinPartitions("sig", "node")
-    out = written(components(signs.mapInArrow(stars, "u long, v long")).select(F.col("id").alias("node"), F.col("root").alias("block")), "candidates")
-    settle(out.sparkSession)
-    return out
+
+    signs = signs.repartition(parts_of(signs.sparkSession), "key").sortWithinPartitions("key", "node")
+    return scratch.write(components(signs.mapInArrow(stars, "u long, v long"), scratch).select(F.col("id").alias("node"), F.col("root").alias("block")), "candidates")
+
+
+def _sized(names: DataFrame, scratch: Scratch) -> DataFrame:
+    """names (block, n) of classes in blocks of more than one, with large: more than a task may hold."""
+    per = names.groupBy("block").agg(F.count("*").alias("__all"), F.sum("n").alias("__grams")).where("__all > 1")
+    per = if_small(scratch.write(per.select("block", ((F.col("__all") > TASK_CLASSES) | (F.col("__grams") > TASK_GRAMS)).alias("large")), "sizes"))
+    return names.join(per, "block").drop("n")
 
 
 def _linked_in_blocks(sets: DataFrame, rule: Rule) -> DataFrame:
@@ -286,119 +329,118 @@ def _linked_in_blocks(sets: DataFrame, rule: Rule) -> DataFrame:
     return sets.select("block", "cls", "grams").groupBy("block").applyInArrow(small, "id binary, root binary").distinct()
 
 
-def _resigned(sets: DataFrame, rule: Rule) -> DataFrame:
+def _resigned(sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """sets (block, cls, grams) in the blocks that they form among themselves, with large; sets alone in theirs go."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1, SLICE):
-                grams = texts_of(part.column(1))
-                node = np.array([int.from_bytes(c[:8], "big", signed=True) for c in part.column(0).to_pylist()], np.int64)
-                whose, sig = signatures(Sets(np.frombuffer(grams.data.tobytes(), "<u8"), grams.bounds // 8), rule)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node[whose])], names=["sig", "node"])
-
-    blocks = _blocks(sets.select("cls", "grams").mapInArrow(signed, "sig long, node long"))
-    names = sets.select("cls").distinct().withColumn("node", _node()).join(blocks, "node").drop("node")
-    counts = names.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
-    names = written(names.join(counts, "block").select("cls", "block", (F.col("n") > TASK_CLASSES).alias("large")), "names")
-    return written(sets.drop("block").join(if_small(names), "cls").select("block", "large", "cls", "grams"), "grams")
-
-
-def _large_links(sets: DataFrame, rule: Rule) -> DataFrame:
+        def each():
+            for batch in batches:
+                for part in slices(batch, 1, SLICE):
+                    grams = texts_of(part.column(1))
+                    node = np.array([int.from_bytes(c[:8], "big", signed=True) for c in part.column(0).to_pylist()], np.int64)
+                    whose, sig = signatures(Sets(np.frombuffer(grams.data.tobytes(), "<u8"), grams.bounds // 8), rule)
+                    yield sig, node[whose]
+
+        yield from _combining(each())
+
+    blocks = _blocks(sets.select("cls", "grams").mapInArrow(signed, "key long, node long, least long"), scratch)
+    names = sets.select("cls", (F.octet_length("grams") / 8).alias("n")).distinct().withColumn("node", _node()).join(if_small(blocks), "node").drop("node")
+    names = scratch.write(_sized(names, scratch), "names")
+    return scratch.write(sets.drop("block").join(if_small(names), "cls").select("block", "large", "cls", "grams"), "grams")
+
+
+def _shares(sets: DataFrame, name: str) -> DataFrame:
+    """Of each block, into how many shares its sets are dealt."""
+    return sets.groupBy("block").agg(F.ceil(F.sum(F.octet_length("grams")) / 8 / TASK_GRAMS).cast("int").alias(name))
+
+
+def _products(rows: DataFrame, pivots: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """(u, v) links between rows (block, share, shares, cls, grams) and the pivots of their block, enough to connect all that
+    link: the incidence matrix of a share of rows times that of a share of pivots, in a task of its own each."""
+    pivots = scratch.write(pivots, "pivots")
+    turns = if_small(scratch.write(_shares(pivots, "turns"), "turns"))
+    pivots = pivots.join(turns, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.pmod(F.xxhash64(F.lit(1), "cls"), "turns").cast("int").alias("turn"), "cls", "grams")
+    rows = rows.join(turns, "block").select("block", "share", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "cls", "grams")
+
+    def link(mine: pa.Table, others: pa.Table) -> pa.Table:
+        seen, out, linked_to = set(), [], {}
+        if mine.num_rows and others.num_rows:
+            cls, names = mine.column("cls").to_pylist(), others.column("cls").to_pylist()
+            grams = texts_of(mine.column("grams"))
+            values, begin = np.frombuffer(grams.data.tobytes(), "<u8"), grams.bounds // 8
+            sets = [np.frombuffer(g, "<u8") for g in others.column("grams").to_pylist()]
+            for lo in range(0, len(sets), AT_ONCE):
+                some = sets[lo : lo + AT_ONCE]
+                both = rule.linked(overlaps(values, begin, some), np.diff(begin)[:, None], np.array([len(p) for p in some])[None, :])
+                for i, j in zip(*(x.tolist() for x in np.nonzero(both))):
+                    if i not in linked_to:
+                        linked_to[i] = lo + j
+                        out.append((cls[i], names[lo + j]))
+                    elif (pair_ := (names[linked_to[i]], names[lo + j])) not in seen:
+                        seen.add(pair_)
+                        out.append(pair_)
+        return pa.table([pa.array([x[k] for x in out], pa.binary()) for k in range(2)], names=["u", "v"])
+
+    key = ("block", "share", "turn")
+    found = rows.groupBy(*key).cogroup(pivots.groupBy(*key)).applyInArrow(link, "u binary, v binary")
+    return found.where(F.col("u") != F.col("v")).distinct()
+
+
+def _large_links(sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """(u, v) links of classes that connect the components of large blocks; sets has block, cls, grams.
 
-    If all classes together fit in PASS_BYTES, one round multiplies each with its block.  Else the first round takes about
-    AT_ONCE classes of each block, and later ones those outside the block's largest component, PASS_BYTES of them over all
-    blocks.  They are chosen by a hash below a threshold, so no block is ordered or gathered.
+    In each of the first TURNS about AT_ONCE sets of a block, chosen by a hash, are multiplied with all of it; then those
+    that are still outside its largest component are, all of them.  No set leaves the executors.
     """
-    spark = sets.sparkSession
-    links = spark.createDataFrame([], "u binary, v binary")
-    state = written(sets.select("block", "cls", F.col("cls").alias("root"), F.octet_length("grams").alias("bytes"), F.lit(False).alias("done")), "blocks")
-    turns = 0
-    while True:
-        # Another hash each time: what is left of a block was above the threshold before.
-        turns += 1
-        draw = F.pmod(F.xxhash64("cls", F.lit(turns)), F.lit(1 << 30)) / float(1 << 30)
+    sets = sets.join(if_small(scratch.write(_shares(sets, "shares"), "shares")), "block")
+    sets = scratch.write(sets.withColumn("share", F.pmod(F.xxhash64("cls"), "shares").cast("int")), "shares")
+    links = sets.select(F.col("cls").alias("u"), F.col("cls").alias("v")).limit(0)
+    state = sets.select("block", "cls", F.col("cls").alias("root"), F.lit(False).alias("done"))
+    for turn in range(TURNS + 1):
         per = state.groupBy("block", "root").count().groupBy("block").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count("*").alias("roots"))
-        open_ = state.join(per.where("roots > 1"), "block").where(~F.col("done"))
-        open_ = open_ if turns == 1 else open_.where(F.col("root") != F.col("largest"))
-        open_ = open_.select("block", "cls", "bytes")
-        per_block = open_.groupBy("block").agg(F.count("*").alias("n"), F.sum("bytes").alias("all"))
-        there = per_block.agg(F.count("*"), F.sum("all")).first()
-        if not there[0]:
-            return links
-        everything = turns == 1 and there[1] <= PASS_BYTES
-        share = F.lit(min(1.0, PASS_BYTES / there[1]))
-        part = F.least(share, AT_ONCE / F.col("n")) if turns == 1 and not everything else share
-        chosen = written(open_.join(per_block, "block").where(draw < part).select("block", "cls"), "pivots")
-        rows = sets.join(F.broadcast(chosen), ["block", "cls"]).select("block", "cls", "grams").collect()
-        if not rows:
-            continue  # no hash was below the threshold
-        by: dict = {}
-        for r in rows:
-            by.setdefault(r["block"], []).append((bytes(r["cls"]), np.frombuffer(r["grams"], "<u8")))
-        shared = spark.sparkContext.broadcast(by)
-
-        def link(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                seen, out = set(), []
-                block, cls = np.array(batch.column("block").to_pylist()), batch.column("cls").to_pylist()
-                for b in np.unique(block).tolist():
-                    if b not in shared.value:
-                        continue
-                    names, pivots = zip(*shared.value[b])
-                    mine = np.flatnonzero(block == b)
-                    grams = texts_of(batch.column("grams").take(pa.array(mine)))
-                    values, begin = np.frombuffer(grams.data.tobytes(), "<u8"), grams.bounds // 8
-                    linked_to: dict[int, int] = {}
-                    for lo in range(0, len(pivots), AT_ONCE):
-                        some = list(pivots[lo : lo + AT_ONCE])
-                        both = rule.linked(overlaps(values, begin, some), np.diff(begin)[:, None], np.array([len(p) for p in some])[None, :])
-                        for i, j in zip(*(x.tolist() for x in np.nonzero(both))):
-                            if i not in linked_to:
-                                linked_to[i] = lo + j
-                                out.append((cls[mine[i]], names[lo + j]))
-                            elif (pair_ := (names[linked_to[i]], names[lo + j])) not in seen:
-                                seen.add(pair_)
-                                out.append(pair_)
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in range(2)], names=["u", "v"])
-
-        found = sets.select("block", "cls", "grams").mapInArrow(link, "u binary, v binary")
-        links = written(links.unionByName(found.where(F.col("u") != F.col("v"))).distinct(), "links")
-        shared.unpersist()
-        del rows, by
-        if everything:
-            return links
-        roots = components(links)
-        state = state.drop("root").join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        done = chosen.select("cls", F.lit(True).alias("now"))
-        state = written(state.join(done, "cls", "left").select("block", "cls", "root", "bytes", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")), "blocks")
+        open_ = state.join(if_small(scratch.write(per.where("roots > 1"), "largest")), "block").where(~F.col("done"))
+        open_ = open_.select("block", "cls") if turn == 0 else open_.where(F.col("root") != F.col("largest")).select("block", "cls")
+        if turn < TURNS:
+            n = if_small(scratch.write(open_.groupBy("block").count(), "open"))
+            open_ = open_.join(n, "block").where(F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30) < AT_ONCE / F.col("count"))
+        chosen = scratch.write(open_.select("cls"), "pivots")
+        if chosen.isEmpty():
+            continue
+        found = _products(sets, sets.join(if_small(chosen), "cls"), rule, scratch)
+        links = scratch.write(links.unionByName(found), "links")
+        if turn < TURNS:
+            roots = components(links, scratch).withColumnRenamed("id", "cls")
+            state = state.drop("root").join(roots, "cls", "left").join(chosen.withColumn("now", F.lit(True)), "cls", "left")
+            state = scratch.write(state.select("block", "cls", F.coalesce("root", "cls").alias("root"), (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")), "state")
+    return links
 
 
 def _lookup(slim: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """Of (doc_id, text): (doc_id, n_shingles, cls) of every row, and (cls, component_id, best_cls) of the classes in
     components of more than one row: the component's least identifier and the class that has it."""
-    n = rule.words
+    n, scratch = rule.words, Scratch(slim.sparkSession)
     rows = written(_classified(slim, rule, "text").drop("text"), "classes")
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 0, SLICE):
-                sets = sets_of(texts_of(part.column(0)), n)
-                name = classes_of(sets)[:, 0].astype(np.uint64)
-                _, once = np.unique(name, return_index=True)
-                whose, sig = signatures(sets, rule)
-                keep = np.isin(whose, once)
-                yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(name[whose[keep]].view(np.int64))], names=["sig", "node"])
+        def each():
+            for batch in batches:
+                for part in slices(batch, 0, SLICE):
+                    sets = sets_of(texts_of(part.column(0)), n)
+                    name = classes_of(sets).astype(np.uint64)
+                    place = distinct(name[:, 0], name[:, 1])[2]
+                    once = np.zeros(len(name), bool)
+                    once[np.unique(place, return_index=True)[1]] = True
+                    whose, sig = signatures(sets, rule)
+                    yield sig[once[whose]], name[whose[once[whose]], 0]
+
+        yield from _combining(each())
 
-    blocks = _blocks(slim.select("text").mapInArrow(signed, "sig long, node long"))
+    blocks = _blocks(slim.select("text").mapInArrow(signed, "key long, node long, least long"), scratch)
 
     # A document of each class that is in a block; its set is made again from its text.
-    by_class = written(rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "by-class")
-    chosen = by_class.withColumn("node", _node()).join(blocks, "node").select(F.col("least").alias("__id"), "cls", "block")
-    counts = chosen.groupBy("block").count()
-    chosen = chosen.join(counts.where("count > 1"), "block").withColumn("large", F.col("count") > TASK_CLASSES).drop("count")
-    chosen = if_small(written(chosen, "chosen"))
+    by_class = scratch.write(rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n_shingles").alias("n")), "by-class")
+    chosen = by_class.withColumn("node", _node()).join(if_small(blocks), "node").select(F.col("least").alias("__id"), "cls", "block", "n")
+    chosen = if_small(scratch.write(_sized(chosen, scratch), "chosen"))
     texts = slim.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id"))).select("block", "large", "cls", "text")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,26 +453,25 @@ def _lookup(slim: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
                 yield out.filter(pa.array(same, pa.bool_()))
 
     # Rows that repeat an identifier may bring a class twice: harmless, as equal sets link.
-    sets = written(texts.mapInArrow(grams, "block long, large boolean, cls binary, grams binary"), "grams")
+    sets = scratch.write(texts.mapInArrow(grams, "block long, large boolean, cls binary, grams binary"), "grams")
 
-    inside = _linked_in_blocks(sets.where(~F.col("large")), rule)
+    across = _linked_in_blocks(sets.where(~F.col("large")), rule)
     big = sets.where("large").drop("large")
-    across = inside
     if not big.isEmpty():
         # Sets that can link with none hold large blocks together; without them, most fall apart.
-        left = _resigned(_joinable(big, rule), rule)
+        left = _resigned(_joinable(big, rule, scratch), rule, scratch)
         across = across.unionByName(_linked_in_blocks(left.where(~F.col("large")), rule))
         big = left.where("large").drop("large")
         if not big.isEmpty():
-            across = across.unionByName(components(_large_links(big, rule)))
-    across = written(across, "components")
-    settle(across.sparkSession)
+            across = across.unionByName(components(_large_links(big, rule, scratch), scratch))
+    across = scratch.write(across, "components")
 
-    known = by_class.join(across.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    known = scratch.write(by_class.join(across.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "known")
     # The least identifier of each component, null ones last, and the class that has it.
     best = known.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "cls")).alias("best"), F.sum("copies").alias("all"))
     # Classes that share their component with no other row need no lookup.
     lookup = written(known.join(best.where("all > 1"), "root").select("cls", F.col("best.least").alias("component_id"), F.col("best.cls").alias("best_cls")), "lookup")
+    scratch.clear()
     return rows, lookup
 
 
@@ -469,8 +510,13 @@ def keep_one(docs: DataFrame, rule: Rule, identifier: str = "doc_id", text: str
     names = docs.columns
     plain = docs.toDF(*(f"__column{i}" for i in range(len(names))))
     own, body = (plain.columns[names.index(c)] for c in (identifier, text))
-    _, lookup = _lookup(plain.select(F.col(own).alias("doc_id"), F.col(body).alias("text")), rule)
-    found = _classified(plain, rule, body).join(if_small(lookup), "cls", "left")
-    alone = found.where(F.col("best_cls").isNull() | (F.col("n_shingles") == 0))
-    best = found.where((F.col("n_shingles") > 0) & (F.col("cls") == F.col("best_cls")) & F.col(own).eqNullSafe(F.col("component_id")))
-    return alone.unionByName(best.dropDuplicates(["cls"])).select(*plain.columns).toDF(*names)
+    rows, lookup = _lookup(plain.select(F.col(own).alias("doc_id"), F.col(body).alias("text")), rule)
+    lookup = if_small(lookup)
+    found = _classified(plain, rule, body).join(lookup, "cls", "left")
+    alone = F.col("best_cls").isNull() | (F.col("n_shingles") == 0)
+    best = (F.col("n_shingles") > 0) & (F.col("cls") == F.col("best_cls"))
+    kept = found.where(alone | (best & F.col(own).eqNullSafe(F.col("component_id"))))
+    twice = rows.join(lookup, "cls").where(best & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("cls").count().where("count > 1")
+    if not twice.isEmpty():  # an identifier came with the same set more than once
+        kept = kept.where(alone).unionByName(kept.where(~alone).dropDuplicates(["cls"]))
+    return kept.select(*plain.columns).toDF(*names)

@@ -8,149 +8,169 @@ where b is the bucket of the history: its longest part that was seen, and the lo
 bucket are learned by expectation-maximisation on texts held out of the counts (deleted from them); final scores then use
 the counts of all training texts.
 
-Counts are looked up in an exchange of packs: each pack of texts sends its distinct n-grams, as sorted hashes, to buckets
-by hash range, with its own counts if it is trained on; each bucket adds up and answers each pack.  Orders take turns, so
-that the disk holds the questions of one order at a time.  Nothing is broadcast but the weights.
+Counts are looked up in an exchange of packs: each pack of texts sends its distinct n-grams, as sorted hashes of 96 bits, to
+buckets by hash range, with its own counts; each bucket adds up those of training texts and answers each pack.  Orders take
+turns, and each asks for what the order before has left open: if all occurrences of an n-gram are in one pack, so are those
+of the longer n-grams that hold it, and that pack counts them by itself.  Nothing is broadcast but the weights.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.bytewords import pair, texts_of, words_of
-from siftline.llm.packs import bucket_bounds, decode, encode, only, packs_of, squeezed, unpacked, unsqueezed
-from siftline.llm.support import parts_of, settle, written
+from siftline.llm.bytewords import distinct, pair, texts_of, words_of
+from siftline.llm.packs import bucket_bounds, buckets_for, decode, encode, only, packs_of, squeezed, unpacked, unsqueezed
+from siftline.llm.support import written
 
 #: Groups of texts: counted while weights are learned; held out of the counts then; never learned from.
 COUNTED, DELETED, HELD_OUT = 0, 1, 2
-#: Rounds of expectation-maximisation, and steps per power of two in which probabilities are gathered for it.
+#: Rounds of expectation-maximisation, and cells per power of two in which probabilities are gathered for it.
 ROUNDS, STEPS = 60, 4
-#: Buckets of n-grams for each part of an exchange; each is a group of its own, so more of them need less memory.
-PER_PART = 4
 _END, _BEGIN = np.uint64(0x7D3A5B1C9E8F6421), np.uint64(0x1F2E3D4C5B6A7988)
 _ORDER_SALT = 0x9FB21C651E98DF25
 
 
 @dataclass
 class Grams:
-    """N-grams of a pack: of each order the sorted distinct hashes, and each token's place among them."""
+    """N-grams of a pack: of each order the sorted distinct hashes in both halves, the place of each token's among them, and
+    one token of each."""
 
-    keys: list[np.ndarray]
+    keys: list[tuple[np.ndarray, np.ndarray]]
     places: list[np.ndarray]
+    some: list[np.ndarray]
     owner: np.ndarray
     begins: np.ndarray
     texts: int
 
 
-def grams_of(column: pa.Array, order: int, only_last: bool = False) -> Grams:
-    """only_last: keys and places of the highest order alone."""
+def grams_of(column: pa.Array, order: int) -> Grams:
     words = words_of(texts_of(column))
     counts = np.diff(words.first)
     n = len(counts)
     ends = np.cumsum(counts + 1) - 1  # of each text's end token
-    tokens = np.empty(len(words.hashes) + n, np.uint64)
-    is_end = np.zeros(len(tokens), bool)
+    is_end = np.zeros(len(words.hashes) + n, bool)
     is_end[ends] = True
-    tokens[is_end], tokens[~is_end] = _END, words.hashes
-    begins = np.zeros(len(tokens), bool)
+    tokens = []
+    for half in (words.hashes, words.more):
+        tokens.append(np.empty(len(is_end), np.uint64))
+        tokens[-1][is_end], tokens[-1][~is_end] = _END, half
+    begins = np.zeros(len(is_end), bool)
     begins[ends - counts] = True
-    keys, places = [], []
+    keys, places, some = [], [], []
     # The hash of order k ends at each token; histories that reach back before the text's start hold a begin mark.
     gram = tokens
-    since = np.arange(len(tokens)) - np.repeat(ends - counts, counts + 1)
+    since = np.arange(len(is_end)) - np.repeat(ends - counts, counts + 1)
     for k in range(1, order + 1):
         if k > 1:
-            earlier = np.concatenate([np.full(k - 1, _BEGIN), tokens])[: len(tokens)]
-            earlier = np.where(since >= k - 1, earlier, _BEGIN)
-            gram = pair(gram, earlier + np.uint64(k * _ORDER_SALT % (1 << 64)))
-        if only_last and k < order:
-            continue
-        u, at = np.unique(gram, return_inverse=True)
-        keys.append(u)
+            earlier = [np.where(since >= k - 1, np.concatenate([np.full(k - 1, _BEGIN), t])[: len(t)], _BEGIN) for t in tokens]
+            gram = [pair(g, e + np.uint64(k * _ORDER_SALT % (1 << 64))) for g, e in zip(gram, earlier)]
+        a, b, at = distinct(gram[0], (gram[1] >> np.uint64(32)).astype(np.uint32))
+        token = np.empty(len(a), np.int64)
+        token[at] = np.arange(len(at))
+        keys.append((a, b))
         places.append(at)
-    return Grams(keys, places, np.repeat(np.arange(n), counts + 1), begins, n)
-
-
-def _answered(packs: DataFrame, k: int) -> DataFrame:
-    """Answers to every pack's n-grams of k + 1 words, written; for single words also rows of totals, with pack -1."""
-    buckets = PER_PART * parts_of(packs.sparkSession)
+        some.append(token)
+    return Grams(keys, places, some, np.repeat(np.arange(n), counts + 1), begins, n)
+
+
+def _counts(g: Grams, grp: int, replies: pa.Table, column: str, orders: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of the first orders, which are answered, the count of every distinct n-gram in all training texts ("total") or in the
+    counted ones ("counted"); and which n-grams of the next order are to be asked for."""
+    rows = sorted(replies.select(["ord", "bucket", "total", "counted", "alone"]).to_pylist(), key=lambda r: (r["ord"], r["bucket"]))
+    counts, asked = [], np.ones(len(g.keys[0][0]), bool)
+    for k in range(orders):
+        mine = [r for r in rows if r["ord"] == k]
+        own = np.bincount(g.places[k], minlength=len(asked))
+        each = {"total": own if grp != HELD_OUT else np.zeros_like(own), "counted": own if grp == COUNTED else np.zeros_like(own), "alone": np.ones_like(own)}
+        for c in {"total", "alone", column}:
+            answers = np.concatenate([unsqueezed(r[c]) for r in mine] or [np.empty(0, "<u4")])
+            if len(answers) != asked.sum():
+                raise RuntimeError(f"{asked.sum()} n-grams asked for, {len(answers)} answered")
+            each[c] = each[c].copy()
+            each[c][asked] = answers
+        counts.append(each[column])
+        if k + 1 < len(g.keys):
+            # All of them are here, or none is in a training text: so it is with each n-gram that ends in it or begins with it.
+            here = ((each["alone"] > 0) | (each["total"] == 0))[g.places[k]]
+            before = np.concatenate([[False], here[:-1]]) & ~g.begins
+            asked = ~(here | before)[g.some[k + 1]]
+    return counts, asked
+
+
+def _answered(packs: DataFrame, k: int, before: DataFrame | None, buckets: int) -> DataFrame:
+    """Answers to every pack's n-grams of k + 1 words that the answers before have left open, written; for single words also
+    rows of totals, with pack -1."""
+
+    def asks(pack: int, grp: int, rows: bytes, replies: pa.Table | None) -> pa.RecordBatch:
+        g = grams_of(unpacked(rows).column("text").combine_chunks(), k + 1)
+        open_ = _counts(g, grp, replies, "total", k)[1] if replies is not None else np.ones(len(g.keys[0][0]), bool)
+        a, b = (x[open_] for x in g.keys[k])
+        mine = np.bincount(g.places[k], minlength=len(open_))[open_]
+        bounds, out = bucket_bounds(a, buckets), []
+        for at in range(buckets):
+            lo, hi = bounds[at], bounds[at + 1]
+            if lo < hi:
+                out.append((at, pack, grp, encode(a[lo:hi]), b[lo:hi].astype("<u4").tobytes(), squeezed(mine[lo:hi])))
+        return pa.RecordBatch.from_pylist([dict(zip(asked.names, r)) for r in out], schema=asked)
+
+    asked = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("grp", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("own", pa.binary())])
+    plain = "bucket int, pack long, grp int, keys binary, more binary, own binary"
 
     def ask(batches):
         for batch in batches:
             for pack, grp, rows in zip(*(batch.column(c).to_pylist() for c in ("pack", "grp", "rows"))):
-                g = grams_of(unpacked(rows).column("text").combine_chunks(), k + 1, only_last=True)
-                keys, out = g.keys[0], []
-                mine = np.bincount(g.places[0], minlength=len(keys)) if grp != HELD_OUT else None
-                bounds = bucket_bounds(keys, buckets)
-                for b in range(buckets):
-                    lo, hi = bounds[b], bounds[b + 1]
-                    if lo < hi:
-                        out.append((b, pack, grp, encode(keys[lo:hi]), squeezed(mine[lo:hi]) if mine is not None else None))
-                yield pa.RecordBatch.from_pylist([dict(zip(asked.names, r)) for r in out], schema=asked)
-
-    asked = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("grp", pa.int32()), ("keys", pa.binary()), ("own", pa.binary())])
+                yield asks(pack, grp, rows, None)
+
+    def ask_on(mine: pa.Table, replies: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([asks(*(mine.column(c)[i].as_py() for c in ("pack", "grp", "rows")), replies) for i in range(mine.num_rows)], schema=asked)
 
     def answer(table: pa.Table) -> pa.Table:
         out, rows = [], table.to_pylist()
         keys = [decode(r["keys"]) for r in rows]
-        u, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total, counted = np.zeros(len(u)), np.zeros(len(u))
-        lo = 0
-        for r, mine in zip(rows, keys):
-            if r["own"] is not None:
-                own = unsqueezed(r["own"])
-                total[at[lo : lo + len(mine)]] += own
-                if r["grp"] == COUNTED:
-                    counted[at[lo : lo + len(mine)]] += own
-            lo += len(mine)
-        lo = 0
-        for r, mine in zip(rows, keys):
-            where = at[lo : lo + len(mine)]
-            out.append((r["pack"], r["bucket"], k, squeezed(total[where]), squeezed(counted[where]) if r["grp"] == DELETED else None, 0, 0, 0, 0))
-            lo += len(mine)
+        u, _, at = distinct(np.concatenate(keys), np.concatenate([np.frombuffer(r["more"], "<u4") for r in rows]))
+        cuts = np.cumsum([0, *map(len, keys)]).tolist()
+        sums = [np.zeros(len(u), np.int64) for _ in range(3)]  # in counted, deleted and held-out texts
+        own = [unsqueezed(r["own"]).astype(np.int64) for r in rows]
+        for r, lo, hi, x in zip(rows, cuts, cuts[1:], own):
+            sums[r["grp"]][at[lo:hi]] += x
+        counted, total = sums[COUNTED], sums[COUNTED] + sums[DELETED]
+        for r, lo, hi, x in zip(rows, cuts, cuts[1:], own):
+            some = at[lo:hi]
+            out.append((r["pack"], r["bucket"], k, squeezed(total[some]), squeezed(counted[some]) if r["grp"] == DELETED else None, squeezed(total[some] + sums[HELD_OUT][some] == x), 0, 0, 0, 0))
         if k == 0:
-            out.append((-1, rows[0]["bucket"], 0, None, None, int(total.sum()), int((total > 0).sum()), int(counted.sum()), int((counted > 0).sum())))
+            out.append((-1, rows[0]["bucket"], 0, None, None, None, int(total.sum()), int((total > 0).sum()), int(counted.sum()), int((counted > 0).sum())))
         return pa.Table.from_pylist([dict(zip(answered.names, r)) for r in out], schema=answered)
 
-    answered = pa.schema([("pack", pa.int64()), ("bucket", pa.int32()), ("ord", pa.int32()), ("total", pa.binary()), ("counted", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("n0", pa.int64()), ("v0", pa.int64())])
-    asks = packs.mapInArrow(ask, "bucket int, pack long, grp int, keys binary, own binary")
-    return written(asks.groupBy("bucket").applyInArrow(answer, "pack long, bucket int, ord int, total binary, counted binary, n long, v long, n0 long, v0 long"), "answers")
+    answered = pa.schema([("pack", pa.int64()), ("bucket", pa.int32()), ("ord", pa.int32()), ("total", pa.binary()), ("counted", pa.binary()), ("alone", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("n0", pa.int64()), ("v0", pa.int64())])
+    if before is None:
+        sent = packs.mapInArrow(ask, plain)
+    else:
+        sent = packs.groupBy("pack").cogroup(before.groupBy("pack")).applyInArrow(ask_on, plain)
+    return written(sent.groupBy("bucket").applyInArrow(answer, "pack long, bucket int, ord int, total binary, counted binary, alone binary, n long, v long, n0 long, v0 long"), "answers")
 
 
 def exchange(packs: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
-    """Answers (pack, bucket, ord, total, counted) to every pack's n-grams, and a row of totals over the training texts.
-
-    One order at a time: the shuffle files of an order are released before the next one asks.
-    """
-    orders = []
+    """Answers (pack, bucket, ord, total, counted, alone) to every pack's n-grams, and a row of totals over the training texts."""
+    answers, sums, buckets = None, None, buckets_for(packs)
     for k in range(order):
-        orders.append(_answered(packs, k))
-        settle(packs.sparkSession)
-    answers = reduce(DataFrame.unionByName, orders)
-    sums = orders[0].where("pack < 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n0", "v0")))
-    return answers.where("pack >= 0").select("pack", "bucket", "ord", "total", "counted"), sums
+        got = _answered(packs, k, answers, buckets)
+        if k == 0:
+            sums = got.where("pack < 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n0", "v0")))
+        got = got.where("pack >= 0").select("pack", "bucket", "ord", "total", "counted", "alone")
+        answers = got if answers is None else answers.unionByName(got)
+    return answers, sums
 
 
-def _looked_up(g: Grams, answers: pa.Table, column: str, texts: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _looked_up(g: Grams, grp: int, replies: pa.Table, column: str, texts: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Counts of every token's n-gram and of its history, by order; texts is the number of training texts."""
-    rows = sorted(answers.select(["ord", "bucket", column]).to_pylist(), key=lambda r: (r["ord"], r["bucket"]))
-    gram, history = [], []
-    for k, keys in enumerate(g.keys):
-        counts = np.concatenate([unsqueezed(r[column]) for r in rows if r["ord"] == k] or [np.empty(0, "<u4")]).astype(np.float64)
-        if len(counts) != len(keys):
-            raise RuntimeError(f"{len(keys)} n-grams asked for, {len(counts)} answered")
-        gram.append(counts[g.places[k]])
-    for k in range(1, len(g.keys)):
-        before = np.concatenate([[0.0], gram[k - 1][:-1]])
-        history.append(np.where(g.begins, float(texts), before))
-    return gram, history
+    gram = [c[at].astype(np.float64) for c, at in zip(_counts(g, grp, replies, column, len(g.keys))[0], g.places)]
+    return gram, [np.where(g.begins, float(texts), np.concatenate([[0.0], c[:-1]])) for c in gram[:-1]]
 
 
 def _bucket(history: list[np.ndarray]) -> np.ndarray:
@@ -169,27 +189,33 @@ def _estimates(gram: list[np.ndarray], history: list[np.ndarray], n: float, v: f
     return p
 
 
-def learned(cells: list[tuple], order: int) -> dict[int, np.ndarray]:
-    """Weights of each bucket by expectation-maximisation; a cell is (bucket, steps of each order, tokens).
-
-    Order 0 is the uniform share.  A step s > 0 stands for the probability 2 ** (-(s - 1) / STEPS), 0 for none.
-    """
+def learned(bucket: np.ndarray, p: np.ndarray, tokens: np.ndarray) -> dict[int, np.ndarray]:
+    """Weights of each bucket by expectation-maximisation, from cells of tokens: the bucket of each, the probabilities that
+    the orders give its tokens (a column each, the uniform share first), and their number."""
     out: dict[int, np.ndarray] = {}
-    for b in sorted({c[0] for c in cells}):
-        rows = [c for c in cells if c[0] == b]
-        steps = np.array([c[1] for c in rows], np.float64)
-        p = np.where(steps > 0, 2.0 ** (-(steps - 1) / STEPS), 0.0)
-        tokens = np.array([c[2] for c in rows], np.float64)
-        w = np.full(order + 1, 1.0 / (order + 1))
+    for b in np.unique(bucket).tolist():
+        mine, n = p[bucket == b], tokens[bucket == b].astype(np.float64)
+        w = np.full(p.shape[1], 1.0 / p.shape[1])
         for _ in range(ROUNDS):
-            share = p * w
+            share = mine * w
             share /= share.sum(1, keepdims=True)
-            w = (share * tokens[:, None]).sum(0) + 1e-3  # no estimate loses all its weight
+            w = (share * n[:, None]).sum(0) + 1e-3  # no estimate loses all its weight
             w /= w.sum()
         out[b] = w
     return out
 
 
+def _cells(bucket: np.ndarray, p: list[np.ndarray], fine: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, steps of each order, tokens, sum of each order's probabilities) of tokens alike: a step s > 0 is a range of
+    probabilities around 2 ** (-(s - 1) / fine), 0 is none.  Sums keep the cell's average exact."""
+    steps = np.stack([np.where(x > 0, 1 + np.rint(-np.log2(np.maximum(x, 1e-300)) * fine), 0).astype(np.int64) for x in p], 1)
+    cell = bucket
+    for k in range(steps.shape[1]):
+        _, cell = np.unique((cell << 20) + steps[:, k], return_inverse=True)
+    _, at, tokens = np.unique(cell, return_index=True, return_counts=True)
+    return bucket[at], steps[at], tokens, np.stack([np.bincount(cell, weights=x, minlength=len(at)) for x in p], 1)
+
+
 def _mixed(p: list[np.ndarray], bucket: np.ndarray, weights: dict[int, np.ndarray]) -> np.ndarray:
     """Buckets without held-out tokens take the weights of the nearest bucket below, or of the lowest."""
     order = len(p) - 1
@@ -201,11 +227,11 @@ def _mixed(p: list[np.ndarray], bucket: np.ndarray, weights: dict[int, np.ndarra
     return sum(p[k] * table[row, k] for k in range(order + 1))
 
 
-def score(docs: DataFrame, group: Column, *, order: int = 2, identifier: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, group: Column, *, order: int = 2, steps: int = STEPS, identifier: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, grp, n_tokens, n_known, train_tokens, base_score, score) of every row; scores are log10 probabilities.
 
     group gives each row COUNTED, DELETED or HELD_OUT; the first two are learned from.  Null and empty texts are one end
-    token.  Repeated rows count each time they occur and get equal scores.  Without training texts every token has the
+    token.  steps cells per power of two gather tokens of like probabilities for the weights.  Repeated rows count each time they occur and get equal scores.  Without training texts every token has the
     uniform share.  An empty table gives no rows.  Columns of docs beside the two are read by group alone.
     """
     slim = docs.select(F.col(identifier).alias("doc_id"), group.cast("int").alias("grp"), F.col(text).alias("text"))
@@ -222,29 +248,24 @@ def score(docs: DataFrame, group: Column, *, order: int = 2, identifier: str = "
             for grp, rows in zip(mine.column("grp").to_pylist(), mine.column("rows").to_pylist()):
                 table = unpacked(rows)
                 g = grams_of(table.column("text").combine_chunks(), order)
-                out.append(found(table, grp, g, *_looked_up(g, replies, column, texts[column])))
+                out.append(found(table, grp, g, *_looked_up(g, grp, replies, column, texts[column])))
             return pa.concat_tables(out)
 
         return run
 
     def gathered(table, grp, g, gram, history):
         p = _estimates(gram, history, sums["n0"], sums["v0"])
-        steps = np.stack([np.where(x > 0, 1 + np.rint(-np.log2(np.maximum(x, 1e-300)) * STEPS), 0).astype(np.int64) for x in p], 1)
-        b = _bucket(history) if history else np.zeros(len(steps), np.int64)
-        cells, tokens = np.unique(np.column_stack([b, steps]), axis=0, return_counts=True)
-        return pa.table({"bucket": pa.array(cells[:, 0]), "steps": pa.array(cells[:, 1:].tolist(), pa.list_(pa.int64())), "tokens": pa.array(tokens, pa.int64())})
+        bucket, step, tokens, sum_ = _cells(_bucket(history) if history else np.zeros(len(gram[0]), np.int64), p, steps)
+        return pa.table({"bucket": pa.array(bucket), "steps": pa.array(step.tolist(), pa.list_(pa.int64())), "tokens": pa.array(tokens, pa.int64()), **{f"p{k}": pa.array(sum_[:, k]) for k in range(order + 1)}})
 
     # A cell per bucket and step of each order: bounded by their ranges, not by the corpus.
     pairs = lambda p: p.groupBy("pack").cogroup(answers.join(p.select("pack"), "pack", "left_semi").groupBy("pack"))
-    cells = pairs(only(packs, DELETED)).applyInArrow(each(gathered, "counted"), "bucket long, steps array<long>, tokens long")
-    cells = cells.groupBy("bucket", "steps").agg(F.sum("tokens").alias("tokens")).toArrow().combine_chunks()
-    settle(docs.sparkSession)
-    of, tokens = np.asarray(cells.column("bucket")), np.asarray(cells.column("tokens"))
-    steps = np.asarray(cells.column("steps").combine_chunks().flatten()).reshape(-1, order + 1)
-    weights: dict[int, np.ndarray] = {}
-    for b in np.unique(of).tolist():  # one bucket's cells at a time are Python objects
-        weights |= learned([(b, s, t) for s, t in zip(steps[of == b].tolist(), tokens[of == b].tolist())], order)
-    del cells, of, tokens, steps
+    names = [f"p{k}" for k in range(order + 1)]
+    cells = pairs(only(packs, DELETED)).applyInArrow(each(gathered, "counted"), "bucket long, steps array<long>, tokens long" + "".join(f", {c} double" for c in names))
+    cells = cells.groupBy("bucket", "steps").agg(*(F.sum(c).alias(c) for c in ("tokens", *names))).drop("steps").toArrow()
+    tokens = np.asarray(cells.column("tokens").combine_chunks())
+    weights = learned(np.asarray(cells.column("bucket").combine_chunks()), np.stack([np.asarray(cells.column(c).combine_chunks()) for c in names], 1) / np.maximum(tokens, 1)[:, None], tokens)
+    del cells, tokens
     n, v = float(sums["n"]), float(sums["v"])
 
     def scored(table, grp, g, gram, history):
@@ -255,5 +276,4 @@ def score(docs: DataFrame, group: Column, *, order: int = 2, identifier: str = "
         tokens = np.bincount(g.owner, minlength=g.texts)
         return pa.table({"doc_id": table.column("doc_id"), "grp": pa.array([grp] * g.texts, pa.int32()), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(add(gram[0] > 0).astype(np.int64)), "train_tokens": pa.array([int(n)] * g.texts, pa.int64()), "base_score": pa.array(add(base)), "score": pa.array(add(np.log10(mixed)))})
 
-    scores = packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(each(scored, "total"), f"doc_id {id_type}, grp int, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return scores
+    return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(each(scored, "total"), f"doc_id {id_type}, grp int, n_tokens long, n_known long, train_tokens long, base_score double, score double")

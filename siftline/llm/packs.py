@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.bytewords import slices
-from siftline.llm.support import written
+from siftline.llm.support import parts_of, written
 
 #: Bytes of text in a pack, about.
 PACK_BYTES = 4 << 20
@@ -69,6 +69,13 @@ def packs_of(df: DataFrame, group: str | None = None) -> DataFrame:
     return written(ordered.mapInArrow(run, "pack long, grp int, rows binary"), "packs")
 
 
+def buckets_for(packs: DataFrame, per_part: int = 4) -> int:
+    """Into how many buckets packs, a written table, deal their keys: some for each part of an exchange, and more of them the
+    more packs there are, so that what meets in a bucket stays within a task.  A pack has no row for a bucket without keys, so
+    rows are never more than the keys themselves would be."""
+    return max(per_part * parts_of(packs.sparkSession), packs.count())
+
+
 def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket begins among sorted keys; buckets cut the range of keys evenly."""
     edges = np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], np.uint64)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -10,34 +9,51 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch that goes to a Python worker, unless a single row is longer.
+BATCH_BYTES = 8 << 20
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session, with two settings that these operators rely on: Arrow batches are bounded by bytes and not by rows alone,
+    and a step's shuffle files go when the step has ended, as every step is written before the next one reads it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return spark
+
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that setting is missing, as in tests."""
-    have = spark.sparkContext.getCheckpointDir()
+    """The shared folder of spark.checkpoint.dir; a temporary one where that is unset and all of Spark is on this machine."""
+    have = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if have is None:
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftline-")
-        spark.sparkContext.setCheckpointDir(root)
-        have = spark.sparkContext.getCheckpointDir()
-    return have
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        have = tempfile.mkdtemp(prefix="siftline-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(have)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: later reads start from its files and not from its lineage."""
-    spark = df.sparkSession
-    path = os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).write(df, name)
+
+
+class Scratch:
+    """Tables of an operator's steps in the shared folder; clear() empties them once nothing will read them again."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark = prepared(spark)
+        self.paths: list[str] = []
 
-def settle(spark: SparkSession) -> None:
-    """After a step with large shuffles whose result is written: their files have served.
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = os.path.join(checkpoint_root(self.spark), f"{name}-{uuid.uuid4().hex}")
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
-    Spark deletes files that nothing refers to when the driver collects its garbage, so the driver is asked to; else a long
-    chain of steps holds the shuffle files of all of them.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    def clear(self) -> None:
+        while self.paths:
+            self.spark.range(0, numPartitions=1).write.mode("overwrite").parquet(self.paths.pop())
 
 
 def if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
@@ -51,4 +67,4 @@ def parts_of(spark: SparkSession) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")

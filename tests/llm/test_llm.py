@@ -111,10 +111,75 @@ def test_lm_estimates_by_hand():
     assert counts[0].tolist() == [3, 1, 3, 2, 3, 2] and counts[1].tolist() == [2, 1, 1, 2, 2, 2]
     p = lm_score._estimates(counts, [np.array([2.0, 3, 1, 3, 2, 3])], 6, 3)
     assert np.allclose(p[2], [1, 1 / 3, 1, 2 / 3, 1, 2 / 3]) and np.allclose(p[0], 0.25)
-    w = lm_score.learned([(64, [9, 0, 1], 90), (64, [9, 5, 0], 10)], 2)[64]
+    w = lm_score.learned(np.array([64, 64]), np.array([[0.25, 0, 1], [0.25, 0.5, 0]]), np.array([90, 10]))[64]
     assert w[2] > 0.8 and math.isclose(w.sum(), 1)
 
 
+def mixture(tokens, group, order, rounds):
+    """Log10 probabilities by the model's definition, one token at a time."""
+
+    def counted(groups):
+        c = [Counter() for _ in range(order + 1)]
+        for i, t in tokens.items():
+            if group(i) in groups:
+                for j in range(len(t)):
+                    for k in range(1, order + 1):
+                        c[k][gram(t, j, k)] += 1
+        return c, sum(group(i) in groups for i in tokens)
+
+    gram = lambda t, j, k: tuple(t[x] if x >= 0 else "BEGIN" for x in range(j - k + 1, j + 1))
+
+    def seen(t, j, c, texts):
+        n, v = sum(c[1].values()), len(c[1])
+        p, bucket = [1 / (v + 1), c[1][gram(t, j, 1)] / max(n, 1)], 0
+        for k in range(2, order + 1):
+            h = c[k - 1][gram(t, j - 1, k - 1)] if j else texts
+            p.append(min(1, c[k][gram(t, j, k)] / h) if h else 0)
+            bucket = 64 * (k - 1) + int(math.log2(h)) if h else bucket
+        return bucket, p
+
+    c0, n0 = counted({0})
+    by = {}
+    for i, t in tokens.items():
+        if group(i) == 1:
+            for j in range(len(t)):
+                b, p = seen(t, j, c0, n0)
+                by.setdefault(b, []).append(p)
+    weights = {}
+    for b, rows in by.items():
+        w = [1 / (order + 1)] * (order + 1)
+        for _ in range(rounds):
+            new = [1e-3] * (order + 1)
+            for p in rows:
+                all_ = sum(x * y for x, y in zip(p, w))
+                for k in range(order + 1):
+                    new[k] += p[k] * w[k] / all_
+            w = [x / sum(new) for x in new]
+        weights[b] = w
+    c, n = counted({0, 1})
+    out = {}
+    for i, t in tokens.items():
+        out[i] = 0
+        for j in range(len(t)):
+            b, p = seen(t, j, c, n)
+            b = max((x for x in weights if x <= b), default=min(weights))
+            out[i] += math.log10(sum(x * y for x, y in zip(p, weights[b])))
+    return out
+
+
+@pytest.mark.parametrize("steps, close", [(4, 5e-3), (4000, 1e-6)])
+def test_lm_scores_by_brute_force(spark, monkeypatch, steps, close):
+    monkeypatch.setattr(packs, "PACK_BYTES", 3000)
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randrange(60), 40) for _ in range(90)] + ["", None, "once only here", "once only there"]
+    texts += [texts[0], texts[1]]
+    group = lambda i: 2 if i % 5 == 1 else 1 if i % 5 == 0 else 0
+    got = lm_score.score(table(spark, texts), F.when(F.col("doc_id") % 5 == 1, 2).when(F.col("doc_id") % 5 == 0, 1).otherwise(0), order=3, steps=steps).collect()
+    want = mixture({i: [*words(t), None] for i, t in enumerate(texts)}, group, 3, lm_score.ROUNDS)
+    assert {r.doc_id for r in got} == set(want)
+    assert all(math.isclose(r.score, want[r.doc_id], rel_tol=close) for r in got)
+
+
 def test_lm_learns_word_order(spark):
     rng = random.Random(2)
     chain = lambda n: " ".join(f"w{(k * 7 + rng.randrange(2)) % 40}" for k in range(n))
@@ -391,7 +456,8 @@ def test_jaccard(spark, monkeypatch, rule, large):
     if large:  # every block takes the passes over tables
         monkeypatch.setattr(jaccard_join, "TASK_CLASSES", 1)
         monkeypatch.setattr(jaccard_join, "AT_ONCE", 3)
-        monkeypatch.setattr(jaccard_join, "PASS_BYTES", 20_000)
+        monkeypatch.setattr(jaccard_join, "TASK_GRAMS", 500)
+        monkeypatch.setattr(jaccard_join, "HELD_SIGNS", 100)
         monkeypatch.setattr(components, "HELD_LINKS", 5)
     texts = near_texts()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.linked(table(spark, texts), jaccard_join.Rule(*rule)).collect()}
@@ -409,6 +475,39 @@ def test_jaccard_repeats_and_nulls(spark):
     assert jaccard_join.linked(df.where("false"), rule).count() == 0
 
 
+def thue_morse(letters):
+    """Words of 1,024 letters that any polynomial hash modulo a power of two takes for one another."""
+    return "".join(letters[bin(i).count("1") % 2] for i in range(1024))
+
+
+def test_words_that_polynomials_confuse(spark):
+    a, b = thue_morse("ab"), thue_morse("ba")
+    w = bytewords.words_of(bytewords.texts_of(pa.array([a, b, a[:60], b[:60], a[:8], b[:8]])))
+    assert len(set(w.hashes.tolist())) == len(set(w.more.tolist())) == 6
+    rule = jaccard_join.Rule(3, 90, 100)
+    assert [(r.doc_id, r.component_id) for r in jaccard_join.linked(table(spark, [a, b]), rule).orderBy("doc_id").collect()] == [(0, 0), (1, 1)]
+    got = lm_score.score(table(spark, [a, b]), F.when(F.col("doc_id") == 0, lm_score.HELD_OUT).otherwise(lm_score.COUNTED)).where("doc_id = 0").first()
+    assert (got.n_tokens, got.n_known) == (2, 1)
+
+
+def test_first_halves_that_agree_are_told_apart():
+    a, b = np.array([5, 5, 5, 1, 5], np.uint64), np.array([1, 2, 1, 9, 2], np.uint64)
+    x, y, place = bytewords.distinct(a, b)
+    assert list(zip(x.tolist(), y.tolist())) == [(1, 9), (5, 1), (5, 2)] and place.tolist() == [1, 2, 1, 0, 2]
+
+
+def test_many_near_copies_of_a_long_text(spark):
+    rng = random.Random(30)
+    base = prose(rng, 400, 9000).split()
+    texts = []
+    for k in range(3000):
+        w = list(base)
+        w[rng.randrange(400)] = f"new{k}"
+        texts.append(" ".join(w))
+    got = jaccard_join.linked(table(spark, [*texts, prose(rng, 400, 9000)]), jaccard_join.Rule(3, 90, 100))
+    assert [(r.component_id, r.n) for r in got.groupBy("component_id").agg(F.count("*").alias("n")).orderBy("component_id").collect()] == [(0, 3000), (3000, 1)]
+
+
 # 8: secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
