@@ -32,10 +32,14 @@ from siftline.llm.support import Scratch, if_small, parts_of, written
 
 #: Parts beyond those that two similar sets can differ in; parts that are empty are left out while they are no more.
 SPARE = 3
-#: Classes and n-grams of a block, or of a share of one, that a task may hold; a single set may have more.
-TASK_CLASSES, TASK_GRAMS = 512, 1 << 19
+#: Classes and n-grams of a block that a task may hold, and n-grams of a share of a larger one; a single set may have more.
+TASK_CLASSES, TASK_GRAMS, SHARE_GRAMS = 512, 1 << 19, 1 << 21
 #: Sets multiplied at once, and turns in which so many of each large block are, before all that are left take theirs.
 AT_ONCE, TURNS = 64, 2
+#: Cells of a product held at once, and n-grams or matches that go into them at once.
+CELLS, MATCHES = 1 << 21, 1 << 20
+#: Turns in which large blocks lose the sets that can link with none.
+SIFTED = 2
 #: Signatures that a task combines before it sends them.
 HELD_SIGNS = 1 << 19
 #: Bytes of texts or sets that a task works on at once.
@@ -154,17 +158,27 @@ def signatures(sets: Sets, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
 
 def overlaps(values: np.ndarray, first: np.ndarray, pivots: list[np.ndarray]) -> np.ndarray:
     """Sparse product: for each pivot set (column) and each set values[first[i]:first[i+1]] (row), n-grams in common."""
-    columns = np.unique(np.concatenate(pivots)) if pivots else np.empty(0, np.uint64)
-    at = np.minimum(np.searchsorted(columns, values), max(0, len(columns) - 1))
-    hit = columns[at] == values if len(columns) else np.zeros(len(values), bool)
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))[hit]
-    at = at[hit]
-    out = np.zeros((len(first) - 1, len(pivots)), np.int64)
-    for j, p in enumerate(pivots):
-        inside = np.zeros(len(columns), bool)
-        inside[np.searchsorted(columns, p)] = True
-        out[:, j] = np.bincount(row[inside[at]], minlength=len(first) - 1)
-    return out
+    n, columns = len(pivots), np.concatenate(pivots)
+    order = np.argsort(columns, kind="stable")
+    columns, whose = columns[order], np.repeat(np.arange(n), [len(p) for p in pivots])[order]
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    out = np.zeros((len(first) - 1) * n, np.int64)
+    for lo in range(0, len(values), MATCHES):
+        some = values[lo : lo + MATCHES]
+        begin = np.searchsorted(columns, some)
+        hit = np.flatnonzero(columns[np.minimum(begin, len(columns) - 1)] == some)
+        begin, many = begin[hit], np.searchsorted(columns, some[hit], "right") - begin[hit]
+        upto = np.cumsum(many)
+        a = 0
+        while a < len(hit):  # as many rows of matches as fit, one at least
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + MATCHES, "right")))
+            m = many[a:b]
+            at = np.repeat(begin[a:b] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            cell = np.repeat(row[lo + hit[a:b]], m) * n + whose[at]
+            low, high = int(row[lo + hit[a]]) * n, (int(row[lo + hit[b - 1]]) + 1) * n
+            out[low:high] += np.bincount(cell - low, minlength=high - low)
+            a = b
+    return out.reshape(-1, n)
 
 
 class Forest:
@@ -207,7 +221,7 @@ def block_components(sets: list[np.ndarray], rule: Rule) -> np.ndarray:
         both = rule.linked(overlaps(values, first, [sets[i] for i in next_]), sizes[:, None], sizes[next_][None, :])
         for i, j in zip(*np.nonzero(both)):
             forest.join(int(i), next_[int(j)])
-        at_once = AT_ONCE
+        at_once = min(8 * at_once, max(AT_ONCE, CELLS // len(sets)))
 
 
 def _joinable(sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
@@ -351,7 +365,7 @@ def _resigned(sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
 
 def _shares(sets: DataFrame, name: str) -> DataFrame:
     """Of each block, into how many shares its sets are dealt."""
-    return sets.groupBy("block").agg(F.ceil(F.sum(F.octet_length("grams")) / 8 / TASK_GRAMS).cast("int").alias(name))
+    return sets.groupBy("block").agg(F.ceil(F.sum(F.octet_length("grams")) / 8 / SHARE_GRAMS).cast("int").alias(name))
 
 
 def _products(rows: DataFrame, pivots: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
@@ -369,8 +383,9 @@ def _products(rows: DataFrame, pivots: DataFrame, rule: Rule, scratch: Scratch)
             grams = texts_of(mine.column("grams"))
             values, begin = np.frombuffer(grams.data.tobytes(), "<u8"), grams.bounds // 8
             sets = [np.frombuffer(g, "<u8") for g in others.column("grams").to_pylist()]
-            for lo in range(0, len(sets), AT_ONCE):
-                some = sets[lo : lo + AT_ONCE]
+            at_once = max(AT_ONCE, CELLS // len(cls))
+            for lo in range(0, len(sets), at_once):
+                some = sets[lo : lo + at_once]
                 both = rule.linked(overlaps(values, begin, some), np.diff(begin)[:, None], np.array([len(p) for p in some])[None, :])
                 for i, j in zip(*(x.tolist() for x in np.nonzero(both))):
                     if i not in linked_to:
@@ -457,13 +472,14 @@ def _lookup(slim: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
 
     across = _linked_in_blocks(sets.where(~F.col("large")), rule)
     big = sets.where("large").drop("large")
-    if not big.isEmpty():
-        # Sets that can link with none hold large blocks together; without them, most fall apart.
-        left = _resigned(_joinable(big, rule, scratch), rule, scratch)
-        across = across.unionByName(_linked_in_blocks(left.where(~F.col("large")), rule))
-        big = left.where("large").drop("large")
+    # Sets that can link with none hold large blocks together; without them, most fall apart, and more such sets show.
+    for _ in range(SIFTED):
         if not big.isEmpty():
-            across = across.unionByName(components(_large_links(big, rule, scratch), scratch))
+            left = _resigned(_joinable(big, rule, scratch), rule, scratch)
+            across = across.unionByName(_linked_in_blocks(left.where(~F.col("large")), rule))
+            big = left.where("large").drop("large")
+    if not big.isEmpty():
+        across = across.unionByName(components(_large_links(big, rule, scratch), scratch))
     across = scratch.write(across, "components")
 
     known = scratch.write(by_class.join(across.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "known")

@@ -456,7 +456,8 @@ def test_jaccard(spark, monkeypatch, rule, large):
     if large:  # every block takes the passes over tables
         monkeypatch.setattr(jaccard_join, "TASK_CLASSES", 1)
         monkeypatch.setattr(jaccard_join, "AT_ONCE", 3)
-        monkeypatch.setattr(jaccard_join, "TASK_GRAMS", 500)
+        monkeypatch.setattr(jaccard_join, "SHARE_GRAMS", 3000)
+        monkeypatch.setattr(jaccard_join, "CELLS", 50)
         monkeypatch.setattr(jaccard_join, "HELD_SIGNS", 100)
         monkeypatch.setattr(components, "HELD_LINKS", 5)
     texts = near_texts()
@@ -464,6 +465,16 @@ def test_jaccard(spark, monkeypatch, rule, large):
     assert [got[i] for i in range(len(texts))] == linked(texts, *rule)
 
 
+def test_overlaps(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 50, rng.integers(1, 40))).astype(np.uint64) for _ in range(30)]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    want = [[len(np.intersect1d(a, b)) for b in sets[5:12]] for a in sets]
+    for most in (1 << 20, 7):
+        monkeypatch.setattr(jaccard_join, "MATCHES", most)
+        assert jaccard_join.overlaps(np.concatenate(sets), first, sets[5:12]).tolist() == want
+
+
 def test_jaccard_repeats_and_nulls(spark):
     t = prose(random.Random(1), 40)
     df = spark.createDataFrame([(4, t), (4, t), (None, t), (2, t), (9, None), (9, ""), (None, "alone here now")], "doc_id long, text string")
