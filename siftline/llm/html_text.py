@@ -2,13 +2,20 @@
 
 The standard library's parser sends its events through one pass.  Block elements cut the page into lines; each line has
 its characters, its tags and the element it lies in.  The text-to-tag ratios of the lines are smoothed by a Gaussian, and
-lines above the smoothed ratios' standard deviation are content.  The lowest element that holds nearly all content characters,
-or the article around it, is the region; its lines are the text, less those in menus, notices, forms and the like.
+lines above the smoothed ratios' standard deviation are clustered as content.  The lowest element that holds nearly all
+clustered characters is the region, or the article around it.
+
+Elements such as menus, forms and scripts are never content.  Names of class, id and role are evidence only: the lines of
+an element whose names speak of notices, adverts or comments count for a fraction of their ratio, and neighbours don't lift
+them; its text stays if most of it is clustered nevertheless.  Within the region all other lines stay, however short; where
+no article bounds it, what lies before and after its clusters in elements of its own goes.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -22,54 +29,83 @@ REGIONS = frozenset("article main section div td body".split())
 NEVER = frozenset("head title script style noscript template nav menu aside footer form button select option textarea input iframe object svg canvas dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of class, id and role that mark an element as not content.
+#: Words of class, id and role that speak against an element, and words that say nothing beside them.
 MARKS = frozenset("ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent notice notices popup modal overlay newsletter subscribe signup nav navbar navigation menu breadcrumb breadcrumbs sidebar related share sharing social comment comments disqus reply replies footer complementary contentinfo search".split())
+PLAIN = frozenset("area bar block blocks body box button buttons container content count form group header heading icons inner item items left link links list main outer panel page post posts right row section site slot thread title top unit user widget wrap wrapper".split())
 #: Ends of these are implied when a like element begins.
 _ALIKE = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 _CLOSES_P = BLOCKS - {"html", "head", "body", "title", "option"}
-#: Share of the content characters that the region holds at least: less than the rest is a stray line.
+#: Share of the clustered characters that the region holds at least: less than the rest is a stray line.
 NEARLY_ALL = 0.95
+#: By how much evidence lowers a line's ratio.
+DOUBT = 64
 #: Reach of the smoothing, in lines.
 RADIUS = 2
 _KERNEL = np.exp(-0.5 * np.arange(-RADIUS, RADIUS + 1) ** 2)
 _KERNEL /= _KERNEL.sum()
 
 
-def _marked(attrs: list[tuple[str, str | None]]) -> bool:
-    for name, value in attrs:
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if value and name in ("class", "id", "role"):
-            words = value.lower().replace("-", " ").replace("_", " ").split()
-            if not MARKS.isdisjoint(words):
-                return True
-        if value and name == "style" and "display:none" in value.replace(" ", "").lower():
+def doubtful(names: str) -> bool:
+    """Whether one of the names, such as cookie-banner, has a word of MARKS and otherwise PLAIN ones and numbers only."""
+    for name in names.lower().split():
+        words = [w for w in name.replace("_", "-").split("-") if w]
+        if not MARKS.isdisjoint(words) and all(w in MARKS or w in PLAIN or w.isdigit() for w in words):
             return True
     return False
 
 
+def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(n == "hidden" or n == "aria-hidden" and v == "true" or v and n == "style" and "display:none" in v.replace(" ", "").lower() for n, v in attrs)
+
+
+@dataclass
+class Line:
+    """A line of a page: text, tags since the line before, region and doubtful element around it (by number, 0 for none),
+    and whether it can't be content."""
+
+    text: str
+    tags: int
+    region: int
+    doubt: int
+    dropped: bool
+
+
+@dataclass
+class Open:
+    """An open element, and what holds for the lines in it."""
+
+    tag: str
+    dropped: bool
+    region: int
+    doubt: int
+    article: bool
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags, region, path of regions, dropped) of every line of a page."""
+    """Collects the lines of a page, and kind and parent of every region; regions are numbered as they begin."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
-        self.kinds: list[str] = ["page"]
-        # Of each open element: tag, whether content is dropped below, number of its region path.
-        self.stack: list[tuple[str, bool, tuple[int, ...]]] = []
+        self.lines: list[Line] = []
+        self.kinds, self.parents = ["page"], [0]
+        self.doubts = 0
+        self.stack = [Open("", False, 0, 0, False)]
+        self.count: Counter[str] = Counter()  # of open elements, by tag
         self.text: list[str] = []
         self.tags = 0
 
     def _line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            dropped, path = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, (0,))
-            self.lines.append((text, self.tags, path, dropped))
+            top = self.stack[-1]
+            self.lines.append(Line(text, self.tags, top.region, top.doubt, top.dropped))
             self.tags = 0
         self.text.clear()
 
     def _close(self, at: int) -> None:
         self._line()
+        for e in self.stack[at:]:
+            self.count[e.tag] -= 1
         del self.stack[at:]
 
     def handle_starttag(self, tag, attrs):
@@ -82,22 +118,28 @@ class Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        dropped, path = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, (0,))
+        top = self.stack[-1]
+        new = Open(tag, top.dropped, top.region, top.doubt, top.article or tag == "article")
         if tag in REGIONS:
             self.kinds.append(tag)
-            path = (*path, len(self.kinds) - 1)
-        inside = any(self.kinds[r] == "article" for r in path)
-        if tag in HEADINGS and self.stack and self.stack[-1][0] == "header" and inside:
-            dropped = len(self.stack) > 1 and self.stack[-2][1]  # the article's own heading
-        elif tag in NEVER or tag == "header" or (tag not in ("article", "main", "body", "html") and _marked(attrs)):
+            self.parents.append(top.region)
+            new.region = len(self.kinds) - 1
+        if tag in HEADINGS and top.tag == "header" and top.article:
+            new.dropped = self.stack[-2].dropped  # the article's own heading
+        elif tag in NEVER or tag == "header" or _hidden(attrs):
+            new.dropped = True
+        if not new.dropped and tag not in ("body", "html") and any(doubtful(v) for n, v in attrs if v and n in ("class", "id", "role")):
+            self.doubts += 1
+            new.doubt = self.doubts
+        if new.dropped != top.dropped or new.doubt != top.doubt:
             self._line()
-            dropped = True
-        self.stack.append((tag, dropped, path))
+        self.stack.append(new)
+        self.count[tag] += 1
 
     def _implied(self, alike: frozenset[str]) -> None:
         """Closes an open element of these tags, if only inline elements are open within it."""
-        for at in range(len(self.stack) - 1, -1, -1):
-            tag = self.stack[at][0]
+        for at in range(len(self.stack) - 1, 0, -1):
+            tag = self.stack[at].tag
             if tag in alike:
                 self._close(at)
                 return
@@ -106,19 +148,25 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                if tag in BLOCKS or tag in NEVER or self.stack[at][1]:
+        if not self.count[tag]:
+            return
+        for at in range(len(self.stack) - 1, 0, -1):
+            own = self.stack[at]
+            if own.tag == tag:
+                if tag in BLOCKS or tag in NEVER or own.dropped or own.doubt:
                     self._close(at)
                 else:
                     del self.stack[at]  # inline elements may be closed in any order
+                    self.count[tag] -= 1
                 return
+            if own.tag in BLOCKS and tag not in BLOCKS:
+                return  # a stray end does not reach out of its block
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_data(self, data):
-        if not (self.stack and self.stack[-1][0] in ("script", "style")):
+        if self.stack[-1].tag not in ("script", "style"):
             self.text.append(data)
 
     def parse_marked_section(self, i, report=1):
@@ -129,6 +177,15 @@ class Lines(HTMLParser):
         self._line()
 
 
+def clustered(lines: list[Line]) -> np.ndarray:
+    """Which lines are content: those whose smoothed text-to-tag ratio is above the standard deviation of all lines', and if
+    they are in doubt their own ratio is too."""
+    doubt = np.array([x.doubt > 0 for x in lines])
+    ratio = np.array([len(x.text) / max(1, x.tags) for x in lines]) / np.where(doubt, DOUBT, 1)
+    smooth = np.convolve(np.pad(ratio, RADIUS, mode="edge"), _KERNEL, "valid")
+    return (smooth > smooth.std()) & (~doubt | (ratio > smooth.std()))
+
+
 def main_text(html: str | None) -> str:
     """The page's main text, blocks joined by line feeds; empty if there is none."""
     if not html:
@@ -136,30 +193,41 @@ def main_text(html: str | None) -> str:
     page = Lines()
     page.feed(html)
     page.ended()
-    lines, kinds = page.lines, page.kinds
-    if not lines:
+    if not page.lines:
         return ""
-    ratio = np.array([len(t) / max(1, tags) for t, tags, _, _ in lines])
-    smooth = np.convolve(np.pad(ratio, RADIUS, mode="edge"), _KERNEL, "valid")
-    content = smooth > smooth.std()
-    kept = [not dropped for _, _, _, dropped in lines]
-    seeds = [i for i in range(len(lines)) if kept[i] and content[i]] or [i for i in range(len(lines)) if kept[i]]
-    if not seeds:
+    content = clustered(page.lines).tolist()
+    lines = [x for x in page.lines if not x.dropped]
+    content = [c for c, x in zip(content, page.lines) if not x.dropped]
+    if not any(content):
+        content = [not x.doubt for x in lines]
+    # Characters of doubtful elements, in all and clustered.
+    chars, certain = Counter(), Counter()
+    for c, x in zip(content, lines):
+        chars[x.doubt] += len(x.text)
+        certain[x.doubt] += len(x.text) * c
+    kept = [not x.doubt or 2 * certain[x.doubt] > chars[x.doubt] for x in lines]
+    # Regions are numbered as they begin, so those within a region follow it; sums go up to the regions around.
+    kinds, parents = page.kinds, page.parents
+    mass, last = [0] * len(kinds), list(range(len(kinds)))
+    for c, k, x in zip(content, kept, lines):
+        mass[x.region] += len(x.text) * (c and k)
+    for r in range(len(kinds) - 1, 0, -1):
+        mass[parents[r]] += mass[r]
+        last[parents[r]] = max(last[parents[r]], last[r])
+    if not mass[0]:
         return ""
-    mass: dict[int, int] = {}
-    for i in seeds:
-        for r in lines[i][2]:
-            mass[r] = mass.get(r, 0) + len(lines[i][0])
     # Regions that hold most of the content lie within each other, and the lowest began last.
-    region = max(r for r in mass if mass[r] >= NEARLY_ALL * mass[0])
-    path = next(lines[i][2] for i in seeds if region in lines[i][2])
-    named = [r for r in path[: path.index(region) + 1] if kinds[r] in ("article", "main")]
-    region = named[-1] if named else region
-    inside = [i for i in range(len(lines)) if kept[i] and region in lines[i][2]]
-    if not named:  # no element says where content begins and ends: the clustered lines do
-        own = [i for i in seeds if region in lines[i][2]]
-        inside = [i for i in inside if own[0] <= i <= own[-1]]
-    return "\n".join(lines[i][0] for i in inside)
+    region = max(r for r in range(len(kinds)) if mass[r] >= NEARLY_ALL * mass[0])
+    named, up = 0, region
+    while up and not named:
+        named, up = up if kinds[up] in ("article", "main") else 0, parents[up]
+    region = named or region
+    inside = [i for i, x in enumerate(lines) if kept[i] and region <= x.region <= last[region]]
+    if not named:  # no element says where content begins and ends: the clusters do
+        own = [i for i in inside if content[i]]
+        loose = kinds[region] in ("page", "body")
+        inside = [i for i in inside if own[0] <= i <= own[-1] or not loose and lines[i].region == region]
+    return "\n".join(lines[i].text for i in inside)
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -324,6 +324,59 @@ def test_main_text_without_article():
     assert html_text.main_text(page).count("\n") == 5
 
 
+def test_clusters_by_brute_force():
+    """Ratios, smoothing and threshold of all pages, one line at a time."""
+    import pyarrow.parquet as pq
+
+    changed = 0
+    for html in pq.read_table(f"{SF.replace('0.001', '0.01')}/pages.parquet").column("html").to_pylist():
+        page = html_text.Lines()
+        page.feed(html)
+        page.ended()
+        ratio = [len(x.text) / max(1, x.tags) / (html_text.DOUBT if x.doubt else 1) for x in page.lines]
+        weight = [math.exp(-d * d / 2) for d in (-2, -1, 0, 1, 2)]
+        at = lambda i: ratio[min(max(i, 0), len(ratio) - 1)]  # noqa: E731, B023
+        smooth = [sum(w * at(i + d) for w, d in zip(weight, (-2, -1, 0, 1, 2))) / sum(weight) for i in range(len(ratio))]
+        mean = sum(smooth) / len(smooth)
+        limit = math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
+        got = html_text.clustered(page.lines).tolist()
+        own = [r if x.doubt else limit + 1 for r, x in zip(ratio, page.lines)]
+        assert all(g == (min(x, y) > limit) for g, x, y in zip(got, smooth, own) if abs(x - limit) > 1e-9)
+        changed += not all(got)
+    assert changed > 100
+
+
+def test_clusters_decide(monkeypatch):
+    rng = random.Random(11)
+    story = "".join(f"<p>{prose(rng, 60)}</p>" for _ in range(5))
+    links = "".join(f"<p><a href=x>{prose(rng, 2)}</a></p>" for _ in range(30))
+    page = f"<body><div>{links}</div><article>{story}</article></body>"
+    assert html_text.main_text(page).count("\n") == 4
+    monkeypatch.setattr(html_text, "clustered", lambda lines: np.ones(len(lines), bool))
+    assert html_text.main_text(page).count("\n") == 34
+
+
+def test_names_are_evidence_only():
+    rng = random.Random(12)
+    p = [prose(rng, 50) for _ in range(4)]
+    assert not html_text.doubtful("social-science") and html_text.doubtful("x cookie-banner") and html_text.doubtful("comment-list-2")
+    page = f'<article><p>{p[0]}</p><div class="social-science"><p>{p[1]}</p></div><div class="comments"><p>{p[2]}</p></div><p>End</p></article>'
+    assert html_text.main_text(page) == f"{p[0]}\n{p[1]}\nEnd"
+    page = f'<body><nav>x</nav><div class="related"><p>{p[0]}</p><p>{p[1]}</p></div><footer>y</footer></body>'
+    assert html_text.main_text(page) == f"{p[0]}\n{p[1]}"
+    page = f"<body><article><h1>T</h1><p>{p[0][:60]}</p></article><section class=comments>{''.join(f'<div><p>{x}</p></div>' for x in p * 5)}</section></body>"
+    assert html_text.main_text(page) == f"T\n{p[0][:60].strip()}"
+
+
+def test_main_text_of_deep_and_long_pages():
+    import time
+
+    began = time.time()
+    assert html_text.main_text("<body>" + "<div>" * 100_000 + "<p>deep text</p>" + "</div>" * 100_000) == "deep text"
+    assert html_text.main_text("<article>" + "<p><b>some words here</i></span>" * 50_000).count("\n") == 49_999
+    assert time.time() - began < 60
+
+
 @pytest.mark.parametrize("split", ["<div>{}</div>", "<section><div>{}</div></section>", "<article>{}</article>", "<article>{}<article>{}</article></article>", "<main>{}</main><div>{}</div>"])
 def test_main_text_of_split_articles(split):
     rng = random.Random(9)
