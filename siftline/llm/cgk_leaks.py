@@ -5,8 +5,10 @@ out the symbol at hand, and moves on if a random bit of (t, symbol) says so.  Tw
 soon walk in step again, so their outputs are near in Hamming distance.  Sampled places of the outputs are LSH keys; each
 repetition has a walk and a sample of its own.  Windows that share a key with an item are verified by edit distance.
 
-An item of n words is found if a passage is within d = n // 5 edits.  Cut into d + 1 pieces, an item then keeps one
-piece whole: only windows around such a piece are embedded, which loses none within reach.
+An item of n words is found if a passage is within d = n // 5 edits; one of under five words, word for word.  Cut into
+d + 1 pieces, an item then keeps one piece whole: only windows around such a piece are embedded, which loses none within
+reach.  Of a text and an item that have met, all places of whole pieces are then compared by edit distance, so what is
+reported is their nearest passage.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 
 from siftline.llm.bytewords import MARKS, Words, mix, pair, slices, texts_of, words_of
 
-#: An item's words for each edit allowed, the fewest words of an item, repetitions, and sampled places in each.
-WORDS_PER_EDIT, LEAST_WORDS, REPETITIONS, PLACES = 5, 5, 40, 3
+#: An item's words for each edit allowed, repetitions, and sampled places in each.
+WORDS_PER_EDIT, REPETITIONS, PLACES = 5, 40, 3
+#: Fewest words of an item that makes a document go: shorter ones are phrases of the language.
+LEAST_WORDS = 5
 #: Items' bytes that one broadcast may hold; more are taken in blocks, a pass over the documents each.
 BLOCK_BYTES = 16 << 20
 #: Windows embedded at once.
@@ -104,18 +108,19 @@ def edits(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def verified(items: Items, words: Words, window: list[int], out: dict[tuple[int, int], tuple[int, int]]) -> bool:
-    """Notes the passage around a (text, item, start) in out, if it is within reach and nearer than the one there."""
-    text, item, start = window
-    d, n, have = int(items.d[item]), int(items.n[item]), out.get((text, item))
-    if have and have[0] == 0 and have[1] <= start + n:
-        return False
-    begin = max(int(words.first[text]), start - d)
-    best, end = edits(items.words[item], words.hashes[begin : min(int(words.first[text + 1]), start + n + d)])
-    if best > d or have and (best, begin + end) >= have:
-        return False
-    out[text, item] = (best, begin + end)
-    return True
+def nearest(items: Items, words: Words, text: int, item: int, starts: np.ndarray) -> tuple[int, int]:
+    """(edits, end) of the passage nearest to an item around the starts that its whole pieces give, the first one of equals."""
+    d, n = int(items.d[item]), int(items.n[item])
+    low, high = int(words.first[text]), int(words.first[text + 1])
+    best, end = n, 0
+    starts = np.sort(starts)
+    new = np.flatnonzero(np.concatenate([[True], np.diff(starts) > n + 2 * d]))
+    for a, b in zip(new.tolist(), [*new[1:].tolist(), len(starts)]):  # starts whose reaches overlap are one stretch
+        begin = max(low, int(starts[a]) - d)
+        got, stop = edits(items.words[item], words.hashes[begin : min(high, int(starts[b - 1]) + n + d)])
+        if got < best:
+            best, end = got, begin + stop
+    return best, end
 
 
 def leaks(items: Items, words: Words) -> list[tuple[int, int, int, int]]:
@@ -136,13 +141,17 @@ def leaks(items: Items, words: Words) -> list[tuple[int, int, int, int]]:
     if not found:
         return []
     hits = np.unique(np.concatenate(found), axis=0)
-    out: dict[tuple[int, int], tuple[int, int]] = {}
+    # The pairs of text and item in order, and which hits are theirs.
+    begin = np.flatnonzero(np.concatenate([[True], (hits[1:, :2] != hits[:-1, :2]).any(1)]))
+    stop = np.append(begin[1:], len(hits))
+    pair_of = np.repeat(np.arange(len(begin)), stop - begin)
+    met: dict[int, tuple[int, int]] = {}
     for lo in range(0, len(hits), 1 << 13):
         block = hits[lo : lo + (1 << 13)]
         reach = items.d[block[:, 1]]
         wide = 2 * reach + 1
         shift = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide) - np.repeat(reach, wide)
-        windows = np.repeat(block, wide, axis=0)
+        windows = np.repeat(np.column_stack([block, pair_of[lo : lo + len(block)]]), wide, axis=0)
         windows[:, 2] += shift
         first, last = words.first[windows[:, 0]], words.first[windows[:, 0] + 1]
         windows[:, 2] = np.clip(windows[:, 2], first, last - 1)
@@ -150,40 +159,39 @@ def leaks(items: Items, words: Words) -> list[tuple[int, int, int, int]]:
         for w in range(0, len(windows), WINDOWS):
             part = windows[w : w + WINDOWS]
             for r in range(REPETITIONS):
+                part = part[~np.isin(part[:, 3], list(met))] if met else part
                 if not len(part):
                     break
                 same = items.embedded(h, part[:, 2], words.first[part[:, 0] + 1], part[:, 1], r) == items.keys[r, part[:, 1]]
                 near, part = part[same], part[~same]
-                new = [x for x in near.tolist() if verified(items, words, x, out)]
-                if new:  # windows around a passage that is found already have nothing to add
-                    done = {(x[0], x[1]): out[x[0], x[1]][1] for x in new}
-                    ends = np.array([done.get((a, b), -1) for a, b in part[:, :2].tolist()], np.int64)
-                    away = np.abs(part[:, 2] + items.n[part[:, 1]] - ends) > 3 * items.d[part[:, 1]] + 1
-                    part = part[(ends < 0) | away]
-    return [(text, item, best, end - int(words.first[text])) for (text, item), (best, end) in sorted(out.items())]
+                for text, item, start, k in near[np.unique(near[:, [0, 1, 3]], axis=0, return_index=True)[1]].tolist():
+                    d, n = int(items.d[item]), int(items.n[item])
+                    low = max(int(words.first[text]), start - d)
+                    if k not in met and edits(items.words[item], h[low : min(int(words.first[text + 1]), start + n + d)])[0] <= d:
+                        met[k] = nearest(items, words, text, item, hits[begin[k] : stop[k], 2])
+    return [(int(hits[begin[k], 0]), int(hits[begin[k], 1]), best, end - int(words.first[hits[begin[k], 0]])) for k, (best, end) in sorted(met.items())]
 
 
-def blocks(items: DataFrame, identifier: str = "item_id", text: str = "text") -> list[Items]:
-    """The items in blocks of about BLOCK_BYTES; items of under LEAST_WORDS words, null ones included, are left out."""
+def blocks(items: DataFrame, least_words: int, identifier: str = "item_id", text: str = "text") -> Iterator[Items]:
+    """The items of so many words or more in blocks of about BLOCK_BYTES, one at a time; null and empty ones are left out."""
     rows = items.select(F.col(identifier).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + total // BLOCK_BYTES
-    out = []
     for b in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b)
         got = sorted(part.distinct().collect(), key=lambda r: (r["id"] is None, r["id"], r["text"]))
         words = _words(pa.array([r["text"] for r in got], pa.string()))
         each = [words.hashes[words.first[i] : words.first[i + 1]] for i in range(len(got))]
-        keep = [i for i in range(len(got)) if len(each[i]) >= LEAST_WORDS]
+        keep = [i for i in range(len(got)) if len(each[i]) >= max(1, least_words)]
         if keep:
-            out.append(Items([got[i]["id"] for i in keep], [each[i] for i in keep]))
-    return out
+            yield Items([got[i]["id"] for i in keep], [each[i] for i in keep])
 
 
 def find(docs: DataFrame, items: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row for each row of docs and item it holds: keep columns, item_id, edits, item_words, end_word.
 
-    end_word counts the text's words up to the passage's end.  Null and empty texts hold nothing; repeated rows give rows
+    Items of any length are found, so a common word among them is found everywhere; item_words tells them apart.  Words are
+    cut at marks and white space: an item without any, as in scripts that have no spaces, is one word.  end_word counts the text's words up to the passage's end.  Null and empty texts hold nothing; repeated rows give rows
     each; ties between passages go to the first.  Columns outside keep do not matter; keep can't hold the new names.
     """
     spark = docs.sparkSession
@@ -191,7 +199,7 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", keep: tuple[str,
     item_type = items.schema["item_id"].dataType
     schema = slim.drop("__text").schema.add("item_id", item_type).add("edits", "integer").add("item_words", "integer").add("end_word", "long")
     out = spark.createDataFrame([], schema)
-    for block in blocks(items):
+    for block in blocks(items, 1):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -208,10 +216,10 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", keep: tuple[str,
     return out
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the rows that hold an item; what stays is unchanged, null and empty texts included."""
+def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """docs without the rows that hold an item of least_words or more; what stays is unchanged, null and empty texts included."""
     spark, schema, at = docs.sparkSession, docs.schema, docs.columns.index(text)
-    for block in blocks(items):
+    for block in blocks(items, least_words):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

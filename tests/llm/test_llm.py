@@ -410,10 +410,27 @@ def test_leaks(spark):
             want.add((len(texts), i))
             texts.append(f"{prose(rng, 50, 2000)}!!! {' '.join(w).upper()}*** {prose(rng, 50, 2000)}")
     texts += [prose(rng, 300, 2000), "", None, " ".join(items[0].split()[: len(items[0].split()) // 2])]
-    bench = spark.createDataFrame([(i, x) for i, x in enumerate(items)] + [(98, None), (99, "the"), (0, items[0])], "item_id long, text string")
+    texts[5] += " Zebra, QUAGGA"
+    texts += ["zebra quagga", "quagga zebra"]
+    bench = spark.createDataFrame([(i, x) for i, x in enumerate(items)] + [(97, "zebra; quagga"), (98, None), (99, ""), (0, items[0])], "item_id long, text string")
+    bench_text = {**dict(enumerate(items)), 97: "zebra quagga"}
     docs = table(spark, texts)
-    got = {(r.doc_id, r.item_id) for r in cgk_leaks.find(docs, bench).collect()}
+    rows = cgk_leaks.find(docs, bench).collect()
+    got = {(r.doc_id, r.item_id) for r in rows if r.item_id != 97}
+    assert {(r.doc_id, r.edits) for r in rows if r.item_id == 97} == {(5, 0), (len(texts) - 2, 0)}
     assert got <= want and len(got) >= 0.95 * len(want)
+    # Edit distances of all windows, one cell at a time.
+    split = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    for r in rows[::7]:
+        item, text = split(bench_text[r.item_id]), split(texts[r.doc_id])
+        column, best = list(range(len(item) + 1)), (len(item), 0)
+        for j, w in enumerate(text):
+            new = [0]
+            for i, x in enumerate(item):
+                new.append(min(column[i] + (x != w), column[i + 1] + 1, new[i] + 1))
+            column = new
+            best = min(best, (column[-1], j + 1))
+        assert (r.edits, r.end_word, r.item_words) == (*best, len(item))
     assert {(d, i) for d, i in want if d % 3 == 0} <= got
     left = cgk_leaks.drop_leaks(docs, bench)
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == set(range(len(texts))) - {d for d, _ in got}
