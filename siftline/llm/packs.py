@@ -6,7 +6,7 @@ they are used, so every later step sees the same packs whatever becomes of the e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +32,11 @@ def unpacked(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all().combine_chunks()
 
 
-def packs_of(df: DataFrame, group: str | None = None) -> DataFrame:
+def packs_of(df: DataFrame, group: str | None = None, extra: Callable[[pa.Table], pa.RecordBatch] | None = None) -> DataFrame:
     """(pack, grp, rows): df's rows in packs, split by an integer column `group` if there is one.
 
     The last column but group is the text, whose bytes fill the packs.  A pack's number is made of its partition's and its
-    place in it; it is fixed once written.
+    place in it; it is fixed once written.  extra makes something of a pack's rows that later steps need, a column more.
     """
     names = [c for c in df.columns if c != group]
     ordered = df.select(*names, *([group] if group else []))
@@ -48,10 +48,11 @@ def packs_of(df: DataFrame, group: str | None = None) -> DataFrame:
 
         def full(g: int) -> pa.RecordBatch:
             nonlocal number
-            rows = packed(pa.Table.from_batches(held.pop(g)).combine_chunks())
+            rows = pa.Table.from_batches(held.pop(g)).combine_chunks()
             filled.pop(g)
             number += 1
-            return pa.RecordBatch.from_arrays([pa.array([number - 1], pa.int64()), pa.array([g], pa.int32()), pa.array([rows], pa.binary())], names=["pack", "grp", "rows"])
+            out = {"pack": pa.array([number - 1], pa.int64()), "grp": pa.array([g], pa.int32()), "rows": pa.array([packed(rows)], pa.binary())}
+            return pa.RecordBatch.from_pydict(out | ({"extra": pa.array([packed(extra(rows))], pa.binary())} if extra else {}))
 
         for batch in batches:
             for part in slices(batch, len(names) - 1, PACK_BYTES // 4):
@@ -66,7 +67,7 @@ def packs_of(df: DataFrame, group: str | None = None) -> DataFrame:
         for g in list(held):
             yield full(g)
 
-    return written(ordered.mapInArrow(run, "pack long, grp int, rows binary"), "packs")
+    return written(ordered.mapInArrow(run, "pack long, grp int, rows binary" + ", extra binary" * bool(extra)), "packs")
 
 
 def buckets_for(packs: DataFrame, per_part: int = 4) -> int:

@@ -7,15 +7,17 @@ strings that hold each window exactly once; a pack sends equal strings once.
 Anchors with too many windows for one index are dealt out again: each of their windows goes by its own digest, and meets its
 equals there.
 
-A bucket indexes its distinct strings: the Burrows-Wheeler transform of their concatenation is cut into runs, and at the
-ends of runs the text position and its match with the neighbouring suffix are sampled.  Within a run the match of
-position j is one longer than that of j + 1, so the matching statistics of all positions stream out of the samples, from
-the text's end to its beginning.  Windows whose match reaches LONG bytes are marked, and each pack is told its marks.
+A bucket indexes its strings, those that came more than once twice: of the Burrows-Wheeler transform of their concatenation
+only the runs are kept, and at both ends of each run the text position and its match with the neighbouring suffix.  Within
+a run the match of position j is one longer than that of j + 1, so the matching statistics of all positions stream out of
+the samples, from the text's end to its beginning.  Windows whose match reaches LONG bytes are marked, and each pack is told
+its marks.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.bytewords import Texts, mix, texts_of
-from siftline.llm.packs import bucket_bounds, decode, encode, packs_of, squeezed, unpacked, unsqueezed
-from siftline.llm.support import parts_of, written
+from siftline.llm.packs import bucket_bounds, buckets_for, decode, encode, packs_of, squeezed, unpacked, unsqueezed
+from siftline.llm.support import Scratch, written
 
 #: Bytes of a string that counts as repeated, and of an anchor's gram, a power of two.
 LONG, GRAM = 200, 32
@@ -102,9 +104,9 @@ def anchored(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def distinct_strings(texts: Texts, first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(representative run of each distinct string, string of each run, runs of each string), strings by anchor."""
-    parts = [texts.data[a : b + LONG].tobytes() for a, b in zip(first.tolist(), last.tolist())]
     number: dict[bytes, int] = {}
-    label = np.array([number.setdefault(p, len(number)) for p in parts], np.int64)
+    label = np.fromiter((number.setdefault(texts.data[a : b + LONG].tobytes(), len(number)) for a, b in zip(first, last)), np.int64, len(first))
+    del number
     _, at, count = np.unique(label, return_index=True, return_counts=True)
     order = np.argsort(anchor[at], kind="stable")
     place = np.empty(len(order), np.int64)
@@ -188,52 +190,83 @@ def _matched(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(out, LONG)
 
 
-def matching_statistics(text: np.ndarray) -> np.ndarray:
-    """For each position the longest match, exact below LONG, with another suffix; matches end at separators."""
-    n = len(text)
-    order, place = suffix_order(text)
-    bwt = text[order - 1]
-    # Separators are signs of their own, so none is in a run with another.
-    change = (bwt[1:] != bwt[:-1]) | (bwt[1:] == _SEPARATOR)
-    places = np.arange(n)
-    ends = np.flatnonzero(text == _SEPARATOR)
-    left = np.repeat(ends, np.diff(ends, prepend=-1)) - places
-    words = words8(np.concatenate([text, np.zeros(LONG + 16, np.uint8)]), n + LONG + 8)
-    out = np.zeros(n, np.int64)
-    for side in (-1, 1):
-        # Run heads if the neighbour is the suffix before, run tails if it is the one after; both run ends are sampled.
-        end = np.ones(n, bool)
-        if side < 0:
-            end[1:] = change
-        else:
-            end[:-1] = change
-        sampled = np.zeros(n, bool)
-        sampled[order[end] - 1] = True
-        sampled[n - 1] = True
-        j = np.flatnonzero(sampled)
-        beside = place[j] + side
-        inside = (beside >= 0) & (beside < n)
-        value = np.zeros(len(j), np.int64)
-        value[inside] = np.minimum(_matched(words, j[inside], order[beside[inside]]), left[j[inside]])
-        # Stream from each sample towards the text's beginning: one byte more at each step.
-        next_ = np.repeat(np.arange(len(j)), np.diff(j, prepend=-1))
-        out = np.maximum(out, value[next_] + (j[next_] - places))
-    return out
+@dataclass
+class RunIndex:
+    """A text's Burrows-Wheeler transform by runs: the sign and length of each, and for both ends of every run the text
+    position that it stands for, in order, and the match there with the neighbouring suffix outside the run."""
+
+    signs: np.ndarray
+    lengths: np.ndarray
+    heads: tuple[np.ndarray, np.ndarray]
+    tails: tuple[np.ndarray, np.ndarray]
+
+    @classmethod
+    def of(cls, text: np.ndarray) -> RunIndex:
+        n = len(text)
+        order, place = suffix_order(text)
+        bwt = text[order - 1]
+        # Separators are signs of their own, so none is in a run with another.
+        change = np.flatnonzero((bwt[1:] != bwt[:-1]) | (bwt[1:] == _SEPARATOR)) + 1
+        begin = np.concatenate([[0], change])
+        ends = np.flatnonzero(text == _SEPARATOR)
+        words = words8(np.concatenate([text, np.zeros(LONG + 16, np.uint8)]), n + LONG + 8)
+        sampled = []
+        for side, at in ((-1, begin), (1, np.append(change, n) - 1)):
+            j = np.unique(np.append(order[at] - 1, n - 1) % n)
+            beside = place[j] + side
+            inside = (beside >= 0) & (beside < n)
+            match = np.zeros(len(j), np.int64)
+            match[inside] = np.minimum(_matched(words, j[inside], order[beside[inside]]), ends[np.searchsorted(ends, j[inside])] - j[inside])
+            sampled.append((j, match))
+        return cls(bwt[begin], np.diff(np.append(begin, n)), *sampled)
+
+    def text(self) -> np.ndarray:
+        """The text again, from the runs alone; for texts with one separator, at the end."""
+        bwt = np.repeat(self.signs, self.lengths)
+        step = np.empty(len(bwt), np.int64)
+        step[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
+        out, at = [_SEPARATOR], len(bwt) - 1  # the separator's suffix comes last
+        for _ in range(len(bwt) - 1):
+            out.append(bwt[at])
+            at = step[at]
+        return np.array(out[::-1], np.uint8)
+
+    def stream(self) -> np.ndarray:
+        """For each position the longest match, exact below LONG, with another suffix; matches end at separators.  From each
+        sample towards the text's beginning a match is one byte longer at each step."""
+        places = np.arange(int(self.lengths.sum()))
+        out = np.zeros(len(places), np.int64)
+        for j, match in (self.heads, self.tails):
+            next_ = np.repeat(np.arange(len(j)), np.diff(j, prepend=-1))
+            out = np.maximum(out, match[next_] + (j[next_] - places))
+        return out
 
 
 def marks_of(strings: list[bytes], counts: np.ndarray) -> list[np.ndarray]:
     """For each distinct string, which of its windows occur more than once among all strings as often as counted."""
+    again = [s for s, c in zip(strings, counts.tolist()) if c > 1]
     size = np.array([len(s) for s in strings])
     begin = np.concatenate([[0], np.cumsum(size + 1)])
-    text = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8)
-    long = matching_statistics(text) >= LONG
-    return [np.ones(n - LONG + 1, bool) if c > 1 else long[a : a + n - LONG + 1] for a, n, c in zip(begin[:-1].tolist(), size.tolist(), counts.tolist())]
+    text = np.frombuffer(b"\xff".join(strings + again) + b"\xff", np.uint8)
+    long = RunIndex.of(text).stream() >= LONG
+    return [long[a : a + n - LONG + 1] for a, n in zip(begin[:-1].tolist(), size.tolist())]
 
 
 def _rows(table: pa.Table) -> tuple[pa.Table, Texts]:
     return table, texts_of(table.column("text").combine_chunks())
 
 
+def _found(table: pa.Table) -> pa.RecordBatch:
+    """The runs of windows of a pack."""
+    first, last, anchor = anchored(_rows(table)[1])
+    return pa.RecordBatch.from_arrays([pa.array(first.astype(np.int32)), pa.array((last - first).astype(np.int16)), pa.array(anchor)], names=["first", "more", "anchor"])
+
+
+def _runs(extra: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    first, more, anchor = (np.asarray(c.combine_chunks()) for c in unpacked(extra).columns)
+    return first.astype(np.int64), first.astype(np.int64) + more, anchor
+
+
 def _flags(replies: pa.Table, column: str) -> np.ndarray:
     """The answers of all buckets in one column, in the order of the questions."""
     some = replies.filter(pa.compute.is_valid(replies.column(column))).select(["bucket", column])
@@ -264,13 +297,14 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...]
     """
     slim = docs.select(*(F.col(k) for k in keep), F.col(text).alias("text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    buckets = PER_PART * parts_of(docs.sparkSession)
-    packs = packs_of(slim).drop("grp")
+    packs = packs_of(slim, extra=_found).drop("grp")
+
+    buckets = buckets_for(packs, PER_PART)
 
     def ask(batches):
         for batch in batches:
-            for pack, rows in zip(batch.column("pack").to_pylist(), batch.column("rows").to_pylist()):
-                _, _, anchor = anchored(_rows(unpacked(rows))[1])
+            for pack, extra in zip(batch.column("pack").to_pylist(), batch.column("extra").to_pylist()):
+                _, _, anchor = _runs(extra)
                 keys, count = np.unique(anchor, return_counts=True)
                 at = bucket_bounds(keys, buckets)
                 out = [(b, pack, encode(keys[at[b] : at[b + 1]]), squeezed(count[at[b] : at[b + 1]])) for b in range(buckets) if at[b] < at[b + 1]]
@@ -289,13 +323,14 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...]
             lo += len(mine)
         return pa.Table.from_pylist(out, schema=pa.schema([("pack", pa.int64()), ("bucket", pa.int32()), ("many", pa.binary())]))
 
-    asks = packs.mapInArrow(ask, "bucket int, pack long, keys binary, own binary")
-    shared = written(asks.groupBy("bucket").applyInArrow(answer, "pack long, bucket int, many binary"), "anchors")
+    asks = packs.select("pack", "extra").mapInArrow(ask, "bucket int, pack long, keys binary, own binary")
+    scratch = Scratch(docs.sparkSession)
+    shared = scratch.write(asks.groupBy("bucket").applyInArrow(answer, "pack long, bucket int, many binary"), "anchors")
 
-    def repeated(rows: bytes, replies: pa.Table):
+    def repeated(rows: bytes, extra: bytes, replies: pa.Table):
         """The pack's runs of windows whose anchors occur more than once, and their distinct strings: of common and of hot anchors."""
         table, texts = _rows(unpacked(rows))
-        first, last, anchor = anchored(texts)
+        first, last, anchor = _runs(extra)
         keys, at = np.unique(anchor, return_inverse=True)
         many = _shared(replies, len(keys))[at]
         found = []
@@ -307,8 +342,8 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...]
 
     def cut(mine: pa.Table, replies: pa.Table) -> pa.Table:
         out = []
-        for pack, rows in zip(mine.column("pack").to_pylist(), mine.column("rows").to_pylist()):
-            _, texts, (first, last, anchor, at, _, count), common = repeated(rows, replies)
+        for pack, rows, extra in zip(*(mine.column(c).to_pylist() for c in ("pack", "rows", "extra"))):
+            _, texts, (first, last, anchor, at, _, count), common = repeated(rows, extra, replies)
             bounds = bucket_bounds(anchor[at], buckets)
             for b in range(buckets):
                 some = at[bounds[b] : bounds[b + 1]]
@@ -378,12 +413,13 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...]
     marked = strings.groupBy("bucket").applyInArrow(index, "pack long, bucket int, marks binary, windows binary")
     replies = shared.unionByName(marked, allowMissingColumns=True)
     replies = written(replies, "marks")
+    scratch.clear()
 
     def finish(mine: pa.Table, replies: pa.Table) -> pa.Table:
         out = []
         many = replies.filter(pa.compute.is_valid(replies.column("many")))
-        for rows in mine.column("rows").to_pylist():
-            table, texts, seldom, common = repeated(rows, many)
+        for rows, extra in zip(*(mine.column(c).to_pylist() for c in ("rows", "extra"))):
+            table, texts, seldom, common = repeated(rows, extra, many)
             starts = []
             for (first, last, _, at, label, count), column in ((seldom, "marks"), (common, "windows")):
                 bits, wide = _flags(replies, column), last[at] - first[at] + 1

@@ -277,7 +277,7 @@ def test_matching_statistics_are_exact():
     rng = random.Random(6)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 40))) for _ in range(30)]
     text = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8)
-    got = rlbwt_dedup.matching_statistics(text)
+    got = rlbwt_dedup.RunIndex.of(text).stream()
     raw = text.tobytes()
     ends = [raw.index(b"\xff", i) for i in range(len(raw))]
     for i in range(len(raw)):
@@ -291,6 +291,20 @@ def test_matching_statistics_are_exact():
             assert got[i] == best
 
 
+def test_run_index_keeps_the_text():
+    rng = random.Random(7)
+    word = bytes(rng.choice(b"abcd") for _ in range(60))
+    text = np.frombuffer(word * 50 + b"x" + word * 30 + b"\xff", np.uint8)
+    index = rlbwt_dedup.RunIndex.of(text)
+    assert (index.text() == text).all() and len(index.signs) < len(text) / 20 and index.lengths.sum() == len(text)
+
+
+def test_long_texts_of_one_byte(spark):
+    texts = ["x" * 300_000, "y" * 200 + "x" * 199]
+    got = rlbwt_dedup.remove_repeats(table(spark, texts)).orderBy("doc_id").collect()
+    assert [(r.n_removed, r.n_spans) for r in got] == [(300_000, 1), (0, 0)]
+
+
 def test_repeats_around_hot_anchors(spark):
     rng = random.Random(8)
     line = prose(rng, 50)
