@@ -39,7 +39,7 @@ AT_ONCE, TURNS = 64, 2
 #: Cells of a product held at once, and n-grams or matches that go into them at once.
 CELLS, MATCHES = 1 << 21, 1 << 20
 #: Turns in which large blocks lose the sets that can link with none.
-SIFTED = 2
+SIFTED = 1
 #: Signatures that a task combines before it sends them.
 HELD_SIGNS = 1 << 19
 #: Bytes of texts or sets that a task works on at once.
@@ -230,7 +230,7 @@ def _joinable(sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     To link, num / den of a set's n-grams must be in another set.  Sets send their fingerprints to buckets, which count
     for each set how many of its own occur in another set of the block.
     """
-    buckets = 4 * parts_of(sets.sparkSession)
+    buckets, shards = 4 * parts_of(sets.sparkSession), parts_of(sets.sparkSession)
     cut = np.uint64(64 - FINGERPRINT)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,10 +257,19 @@ def _joinable(sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
         _, at = np.unique(keys, return_inverse=True)
         many = np.bincount(at)[at] > 1
         node, n = np.unique(nodes[many], return_counts=True)
+        # Nodes are hashes: their ranges are shards, and a bucket has a row for each.
+        cuts = np.searchsorted(node.astype(np.float64), np.linspace(-(2.0**63), 2.0**63, shards + 1)[1:-1])
+        out = [(k, x.tobytes(), squeezed(y)) for k, (x, y) in enumerate(zip(np.split(node, cuts), np.split(n, cuts))) if len(x)]
+        return pa.table([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[k] for r in out], pa.binary()) for k in (1, 2))], names=["shard", "nodes", "counts"])
+
+    def added(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        node, at = np.unique(np.concatenate([np.frombuffer(r["nodes"], "<i8") for r in rows]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([unsqueezed(r["counts"]) for r in rows])).astype(np.int64)
         return pa.table({"node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64())})
 
     asks = sets.select("block", "cls", "grams").mapInArrow(ask, "bucket int, keys binary, owners binary, nodes binary")
-    found = asks.groupBy("bucket").applyInArrow(answer, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    found = asks.groupBy("bucket").applyInArrow(answer, "shard int, nodes binary, counts binary").groupBy("shard").applyInArrow(added, "node long, n long")
     enough = F.col("n") * rule.den >= F.octet_length("grams") / 8 * rule.num
     return sets.withColumn("node", _node()).join(if_small(scratch.write(found, "found")), "node").where(enough).select("block", "cls", "grams")
 
@@ -368,13 +377,22 @@ def _shares(sets: DataFrame, name: str) -> DataFrame:
     return sets.groupBy("block").agg(F.ceil(F.sum(F.octet_length("grams")) / 8 / SHARE_GRAMS).cast("int").alias(name))
 
 
-def _products(rows: DataFrame, pivots: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+def _products(rows: DataFrame, pivots: DataFrame, rule: Rule, scratch: Scratch, alike: bool = False) -> DataFrame:
     """(u, v) links between rows (block, share, shares, cls, grams) and the pivots of their block, enough to connect all that
-    link: the incidence matrix of a share of rows times that of a share of pivots, in a task of its own each."""
-    pivots = scratch.write(pivots, "pivots")
-    turns = if_small(scratch.write(_shares(pivots, "turns"), "turns"))
-    pivots = pivots.join(turns, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.pmod(F.xxhash64(F.lit(1), "cls"), "turns").cast("int").alias("turn"), "cls", "grams")
-    rows = rows.join(turns, "block").select("block", "share", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "cls", "grams")
+    link: the incidence matrix of a share of rows times that of a share of pivots, in a task of its own each.
+
+    alike: rows and pivots are the same sets, so half of the products will do.
+    """
+    if alike:
+        turn, turns = F.col("share"), F.col("share")
+    else:
+        pivots = scratch.write(pivots, "pivots")
+        per = if_small(scratch.write(_shares(pivots, "turns"), "turns"))
+        pivots, rows = pivots.join(per, "block"), rows.join(per, "block")
+        turn, turns = F.pmod(F.xxhash64(F.lit(1), "cls"), "turns").cast("int"), F.col("turns") - 1
+    begin = turn if alike else F.lit(0)
+    pivots = pivots.select("block", F.explode(F.sequence(begin, F.col("shares") - 1)).alias("share"), turn.alias("turn"), "cls", "grams")
+    rows = rows.select("block", "share", F.explode(F.sequence(F.lit(0), turns)).alias("turn"), "cls", "grams")
 
     def link(mine: pa.Table, others: pa.Table) -> pa.Table:
         seen, out, linked_to = set(), [], {}
@@ -421,7 +439,12 @@ def _large_links(sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
         chosen = scratch.write(open_.select("cls"), "pivots")
         if chosen.isEmpty():
             continue
-        found = _products(sets, sets.join(if_small(chosen), "cls"), rule, scratch)
+        chosen = if_small(chosen)
+        if turn < TURNS:
+            found = _products(sets, sets.join(chosen, "cls"), rule, scratch)
+        else:
+            pivots = scratch.write(sets.join(chosen, "cls"), "pivots")
+            found = _products(pivots, pivots, rule, scratch, alike=True).unionByName(_products(sets.join(chosen, "cls", "left_anti"), pivots, rule, scratch))
         links = scratch.write(links.unionByName(found), "links")
         if turn < TURNS:
             roots = components(links, scratch).withColumnRenamed("id", "cls")
