@@ -8,7 +8,7 @@ where b is the bucket of the history: its longest part that was seen, and the lo
 bucket are learned by expectation-maximisation on texts held out of the counts (deleted from them); final scores then use
 the counts of all training texts.
 
-Counts are looked up in an exchange of packs: each pack of texts sends its distinct n-grams, as sorted hashes of 96 bits, to
+Counts are looked up in an exchange of packs: each pack of texts sends its distinct n-grams, as sorted hashes of 80 bits, to
 buckets by hash range, with its own counts; each bucket adds up those of training texts and answers each pack.  Orders take
 turns, and each asks for what the order before has left open: if all occurrences of an n-gram are in one pack, so are those
 of the longer n-grams that hold it, and that pack counts them by itself.  Nothing is broadcast but the weights.
@@ -70,7 +70,7 @@ def grams_of(column: pa.Array, order: int) -> Grams:
         if k > 1:
             earlier = [np.where(since >= k - 1, np.concatenate([np.full(k - 1, _BEGIN), t])[: len(t)], _BEGIN) for t in tokens]
             gram = [pair(g, e + np.uint64(k * _ORDER_SALT % (1 << 64))) for g, e in zip(gram, earlier)]
-        a, b, at = distinct(gram[0], (gram[1] >> np.uint64(32)).astype(np.uint32))
+        a, b, at = distinct(gram[0], (gram[1] >> np.uint64(48)).astype(np.uint16))
         token = np.empty(len(a), np.int64)
         token[at] = np.arange(len(at))
         keys.append((a, b))
@@ -116,7 +116,7 @@ def _answered(packs: DataFrame, k: int, before: DataFrame | None, buckets: int)
         for at in range(buckets):
             lo, hi = bounds[at], bounds[at + 1]
             if lo < hi:
-                out.append((at, pack, grp, encode(a[lo:hi]), b[lo:hi].astype("<u4").tobytes(), squeezed(mine[lo:hi])))
+                out.append((at, pack, grp, encode(a[lo:hi]), b[lo:hi].astype("<u2").tobytes(), squeezed(mine[lo:hi])))
         return pa.RecordBatch.from_pylist([dict(zip(asked.names, r)) for r in out], schema=asked)
 
     asked = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("grp", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("own", pa.binary())])
@@ -133,7 +133,7 @@ def _answered(packs: DataFrame, k: int, before: DataFrame | None, buckets: int)
     def answer(table: pa.Table) -> pa.Table:
         out, rows = [], table.to_pylist()
         keys = [decode(r["keys"]) for r in rows]
-        u, _, at = distinct(np.concatenate(keys), np.concatenate([np.frombuffer(r["more"], "<u4") for r in rows]))
+        u, _, at = distinct(np.concatenate(keys), np.concatenate([np.frombuffer(r["more"], "<u2") for r in rows]))
         cuts = np.cumsum([0, *map(len, keys)]).tolist()
         sums = [np.zeros(len(u), np.int64) for _ in range(3)]  # in counted, deleted and held-out texts
         own = [unsqueezed(r["own"]).astype(np.int64) for r in rows]
