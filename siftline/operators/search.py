@@ -16,6 +16,8 @@ from siftline.operators.predicates import classified
 from siftline.spec import MAX_RESULTS, MAX_SPANS, PREVIEW_MATCH, PREVIEW_SIDE, SearchSpec
 
 ROW = "file_name string, line_number long, column_number long, line_content string, match_preview_before string, match_preview_match string, match_preview_after string, full_path string, relative_path string, match_count long"
+#: The letter whose lower case has two characters, and a code point that is no character.
+LENGTHENED, _MARK = "\u0130", "\ufdd0"
 #: Columns of content rows, in order.
 COLUMNS = [c.split()[0] for c in ROW.split(", ")]
 
@@ -59,9 +61,16 @@ def _places(spec: SearchSpec) -> tuple[Column, Column, Column]:
         head = F.regexp_extract(line, f"(?s){rx[: rx.index(')') + 1]}^(.*?)((?-s:{rx[rx.index(')') + 1 :]}))", 1)
         first = F.regexp_substr(line, F.lit(rx))
         return F.regexp_count(line, F.lit(rx)).cast("long"), F.length(head), F.length(first)
-    text, term = (line, spec.term) if spec.case_sensitive else (F.lower(line), spec.term.lower())
+    if spec.case_sensitive:
+        text, term = line, spec.term
+    else:  # the one letter whose lower case is longer brings a mark, which is taken off its place again
+        text, term = F.lower(F.replace(line, F.lit(LENGTHENED), F.lit(f"i{_MARK}"))), spec.term.lower()
     n = ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("long")
-    return n, F.call_function("instr", text, F.lit(term)) - 1, F.lit(len(spec.term))
+    start = F.call_function("instr", text, F.lit(term)) - 1
+    if not spec.case_sensitive:
+        before = F.substring(text, F.lit(1), start)
+        start = F.length(F.replace(before, F.lit(_MARK), F.lit("")))
+    return n, start, F.lit(len(spec.term))
 
 
 def matching_lines(files: DataFrame, spec: SearchSpec) -> DataFrame:

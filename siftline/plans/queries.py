@@ -77,6 +77,19 @@ def literal_ci(spark, sf_dir):
     return counted(docs(spark, sf_dir), LICENSE)
 
 
+@query(
+    "WITH "
+    + LINES.replace("FROM documents)", "FROM (SELECT * REPLACE ('\u0130\u0130 ' || replace(text, chr(10), chr(10) || '\u0130\u0130 ') AS text) FROM documents))")
+    + """ SELECT relative_path, line_number, strpos(lower(replace(line, '\u0130', 'x')), 'license')::BIGINT AS column_number,
+  substr(line, strpos(lower(replace(line, '\u0130', 'x')), 'license'), 7) AS match_preview_match FROM l WHERE contains(lower(replace(line, '\u0130', 'x')), 'license')"""
+)
+def literal_ci_places(spark, sf_dir):
+    """Places in lines that begin with letters whose lower case is longer than they are."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = F.concat(F.lit("\u0130\u0130 "), F.replace("text", F.lit("\n"), F.lit("\n\u0130\u0130 ")))
+    return search.content_rows(corpus.documents(table.withColumn("text", text)), LICENSE).select("relative_path", "line_number", "column_number", "match_preview_match")
+
+
 @query(rf"WITH {LINES} SELECT relative_path, line_number, len(regexp_extract_all(line, '(?i)li[a-z]+se'))::BIGINT AS match_count, length(regexp_extract(line, '(?is)^(.*?)li[a-z]+se', 1))::BIGINT + 1 AS column_number FROM l WHERE regexp_matches(line, '(?i)li[a-z]+se')")
 def regex_fast(spark, sf_dir):
     rows = search.matching_lines(docs(spark, sf_dir), SearchSpec("li[a-z]+se", regex=True))

@@ -32,6 +32,14 @@ def test_engines_agree(spark):
         assert sorted(map(tuple, a)) == want
 
 
+def test_places_after_letters_that_lower_case_lengthens(spark):
+    f = files(spark, ("x.txt", "\u0130\u0130 LICENSE here\nx\u0130\nplain license"))
+    got = search.content_rows(f, SearchSpec("license")).orderBy("line_number").collect()
+    assert [(r.line_number, r.column_number, r.match_preview_before, r.match_preview_match) for r in got] == [(1, 4, "\u0130\u0130 ", "LICENSE"), (3, 7, "plain ", "license")]
+    got = search.content_rows(f, SearchSpec("xi")).collect()
+    assert [(r.line_number, r.column_number, r.match_preview_match) for r in got] == [(2, 1, "x\u0130")]
+
+
 def test_blank_term_and_limits(spark):
     f = files(spark, ("a.txt", "x\nx\nx"), ("a-b.txt", "x"))
     assert search.content_rows(f, SearchSpec("  ")).count() == 0
