@@ -212,6 +212,25 @@ def test_quality_votes(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= set(range(80))
 
 
+def test_votes_by_brute_force():
+    """Exact cosines with all labelled vectors and weighted votes of the nearest, one document at a time."""
+    rng = random.Random(20)
+    texts = [prose(rng, 30, 200) for _ in range(60)] + [" ## ".join(f"w{rng.randrange(200)}" for _ in range(30)) for _ in range(60)]
+    counts = knn_quality.features(bytewords.texts_of(pa.array([*texts, "", "xy"])))
+    labels = np.array([1] * 60 + [0] * 60)
+    model = knn_quality.fit(counts[:120:2], labels[::2], 0.8)
+    got = knn_quality.scores(model, counts)
+    assert got[120] == got[121] == pytest.approx(0.8)
+    for i in range(120):
+        x = [math.log1p(c) * w for c, w in zip(counts[i].tolist(), model.idf.tolist())]
+        v = np.array(x) @ model.axes.astype(float)
+        v /= math.sqrt(float((v * v).sum()))
+        near = sorted(((float(v @ u), k) for k, u in enumerate(model.vectors.astype(float))), reverse=True)[: knn_quality.NEIGHBOURS]
+        votes = [(max(c, 0) ** 4 * float(model.votes[k]), float(model.labels[k])) for c, k in near]
+        want = (sum(w * y for w, y in votes) + 0.5 * 0.8) / (sum(w for w, _ in votes) + 0.5)
+        assert math.isclose(got[i], want, abs_tol=2e-3)
+
+
 def test_quality_without_labels(spark):
     docs = table(spark, ["a b c", None])
     model = knn_quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"), learn=F.lit(True))
