@@ -46,7 +46,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("near_copies", near_copies), ("benchmark_passages", benchmark_passages), ("secrets", secrets), ("mixture", mixture)]
-#: SQL can't express the first stage; tests hold the pipeline against a brute-force version.
+#: SQL can't express the first stage; the operators of the stages are tested against brute force one by one.
 ORACLE_SQL = None
 
 
