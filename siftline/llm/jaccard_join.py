@@ -7,7 +7,8 @@ document-by-n-gram incidence matrix with its transpose is accumulated for some d
 overlap is below the bound that their sizes set are discarded.
 
 Components need a link to each member, not all links within a group: once most of a block hangs together, only documents
-outside its largest component still need to be multiplied with all.  Blocks too large for a task are multiplied in shares of
+outside its largest component still need to be multiplied with all.  Blocks too large for a task lose the documents that can
+link with none and are formed anew by their documents' rarest n-grams; those still too large are multiplied in shares of
 bounded bytes, first with a few of their documents, then with all that are still outside.
 
 Classes are told apart by 128 bits of all their n-grams.  Within a block, n-grams are compared by 64 bits.
@@ -21,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -38,8 +39,6 @@ TASK_CLASSES, TASK_GRAMS, SHARE_GRAMS = 512, 1 << 19, 1 << 21
 AT_ONCE, TURNS = 64, 2
 #: Cells of a product held at once, and n-grams or matches that go into them at once.
 CELLS, MATCHES = 1 << 21, 1 << 20
-#: Turns in which large blocks lose the sets that can link with none.
-SIFTED = 1
 #: Signatures that a task combines before it sends them.
 HELD_SIGNS = 1 << 19
 #: Bytes of texts or sets that a task works on at once.
@@ -352,21 +351,40 @@ def _linked_in_blocks(sets: DataFrame, rule: Rule) -> DataFrame:
     return sets.select("block", "cls", "grams").groupBy("block").applyInArrow(small, "id binary, root binary").distinct()
 
 
-def _resigned(sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """sets (block, cls, grams) in the blocks that they form among themselves, with large; sets alone in theirs go."""
+def _rarest(sets: DataFrame, rule: Rule) -> DataFrame:
+    """Rows of _combining for sets (block, cls, grams): two sets of a block that link have a key in common.
 
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each():
-            for batch in batches:
-                for part in slices(batch, 1, SLICE):
-                    grams = texts_of(part.column(1))
-                    node = np.array([int.from_bytes(c[:8], "big", signed=True) for c in part.column(0).to_pylist()], np.int64)
-                    whose, sig = signatures(Sets(np.frombuffer(grams.data.tobytes(), "<u8"), grams.bounds // 8), rule)
-                    yield sig, node[whose]
+    N-grams are put in order by the number of sets that have them.  Of two sets that link, the first n-gram in common stands
+    so early in both that the rest still holds num / den of each; so only that many of the rarest are keys, and passages that
+    many sets share are none.  N-grams of one set alone come first and are not sent on.  A set is never gathered: ranks come
+    from a sort by set, and a key that very many sets share is combined within tasks.
+    """
 
-        yield from _combining(each())
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2, SLICE):
+                grams = texts_of(part.column(2))
+                sizes = np.diff(grams.bounds) // 8
+                node = np.array([int.from_bytes(c[:8], "big", signed=True) for c in part.column(1).to_pylist()], np.int64)
+                block = np.asarray(part.column(0)).view(np.uint64)
+                gram = pair(np.frombuffer(grams.data.tobytes(), "<u8"), np.repeat(block, sizes)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, np.repeat(node, sizes), np.repeat(sizes, sizes).astype(np.int64))], names=["gram", "node", "n"])
+
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _combining((np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches)
 
-    blocks = _blocks(sets.select("cls", "grams").mapInArrow(signed, "key long, node long, least long"), scratch)
+    grams = sets.select("block", "cls", "grams").mapInArrow(each, "gram long, node long, n long")
+    often = grams.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1")
+    of_set = Window.partitionBy("node")
+    # Equal ranks for equal n-grams, as a repeated identifier may bring a class twice.
+    ranked = grams.join(often, "gram").withColumn("rank", F.dense_rank().over(of_set.orderBy("sets", "gram"))).withColumn("known", F.max("rank").over(of_set))
+    least = F.ceil(F.col("n") * rule.num / rule.den)
+    return ranked.where(F.col("rank") <= F.col("known") - least + 1).select("gram", "node").mapInArrow(combined, "key long, node long, least long")
+
+
+def _reblocked(sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """sets (block, cls, grams) in the blocks that their rarest n-grams form, with large; sets alone in theirs go."""
+    blocks = _blocks(_rarest(sets, rule), scratch)
     names = sets.select("cls", (F.octet_length("grams") / 8).alias("n")).distinct().withColumn("node", _node()).join(if_small(blocks), "node").drop("node")
     names = scratch.write(_sized(names, scratch), "names")
     return scratch.write(sets.drop("block").join(if_small(names), "cls").select("block", "large", "cls", "grams"), "grams")
@@ -495,12 +513,11 @@ def _lookup(slim: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
 
     across = _linked_in_blocks(sets.where(~F.col("large")), rule)
     big = sets.where("large").drop("large")
-    # Sets that can link with none hold large blocks together; without them, most fall apart, and more such sets show.
-    for _ in range(SIFTED):
-        if not big.isEmpty():
-            left = _resigned(_joinable(big, rule, scratch), rule, scratch)
-            across = across.unionByName(_linked_in_blocks(left.where(~F.col("large")), rule))
-            big = left.where("large").drop("large")
+    # Sets that can link with none, and passages that many sets share, hold large blocks together; without them most fall apart.
+    if not big.isEmpty():
+        left = _reblocked(scratch.write(_joinable(big, rule, scratch), "joinable"), rule, scratch)
+        across = across.unionByName(_linked_in_blocks(left.where(~F.col("large")), rule))
+        big = left.where("large").drop("large")
     if not big.isEmpty():
         across = across.unionByName(components(_large_links(big, rule, scratch), scratch))
     across = scratch.write(across, "components")

@@ -568,6 +568,32 @@ def test_jaccard(spark, monkeypatch, rule, large):
     assert [got[i] for i in range(len(texts))] == linked(texts, *rule)
 
 
+def test_jaccard_of_texts_with_shared_passages(spark, monkeypatch):
+    """Passages that many texts share make one block of them all; their rarest n-grams take it apart, and no link is lost."""
+    rng = random.Random(21)
+    passages = [prose(rng, 25, 5000) for _ in range(6)]
+    texts = []
+    for _ in range(60):
+        base = " ".join([*rng.sample(passages, 3), prose(rng, rng.randrange(1, 40), 5000)])
+        texts.append(base)
+        for _ in range(rng.randrange(3)):
+            w = base.split()
+            w[rng.randrange(len(w))] = "changed"
+            texts.append(" ".join(w))
+    sizes, real = [], jaccard_join._reblocked
+
+    def spied(sets, rule, scratch):
+        out = real(sets, rule, scratch)
+        sizes.append((sets.groupBy("block").count().agg({"count": "max"}).head()[0], out.groupBy("block").count().agg({"count": "max"}).head()[0]))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "TASK_CLASSES", 1)
+    monkeypatch.setattr(jaccard_join, "_reblocked", spied)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.linked(table(spark, texts), jaccard_join.Rule(3, 90, 100)).collect()}
+    assert [got[i] for i in range(len(texts))] == linked(texts, 3, 90, 100)
+    assert sizes and sizes[0][1] < sizes[0][0]
+
+
 def test_overlaps(monkeypatch):
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 50, rng.integers(1, 40))).astype(np.uint64) for _ in range(30)]
