@@ -7,7 +7,8 @@ searches stay in Spark's own expressions.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -20,6 +21,8 @@ from siftline.spec import EXTENDED_SECONDS, MAX_LINE_BYTES, MAX_SPANS, SearchSpe
 SPANS = "array<struct<start:int,end:int>>"
 #: Cultures whose lower case differs from the root's: dotted and dotless i.
 _TURKIC = ("tr", "az")
+#: Folded segments that a worker remembers.
+REMEMBERED = 1 << 16
 
 
 def lower_of(text: str, spec: SearchSpec) -> str:
@@ -32,24 +35,29 @@ def folded(text: str, spec: SearchSpec) -> str:
     """Form, then marks, then case, as the search asks."""
     if spec.normalization:
         text = unicodedata.normalize(spec.normalization, text)
-    if not spec.diacritic_sensitive:
+    if not spec.diacritic_sensitive and not text.isascii():
         text = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
     return text if spec.case_sensitive else lower_of(text, spec)
 
 
-def folded_with_places(text: str, spec: SearchSpec) -> tuple[str, list[int], list[int]]:
+@lru_cache(maxsize=8)
+def _segments(spec: SearchSpec) -> Callable[[str], str]:
+    return lru_cache(maxsize=REMEMBERED)(lambda piece: folded(piece, spec))
+
+
+def folded_with_places(text: str, spec: SearchSpec) -> tuple[str, Sequence[int], Sequence[int]]:
     """The folded text and, for each of its characters, where the segment it came from starts and ends.
 
     A segment is a character and the marks after it; folding one may change its length.
     """
     if text.isascii():
-        return folded(text, spec), list(range(len(text))), list(range(1, len(text) + 1))
-    out, starts, ends, i = [], [], [], 0
+        return folded(text, spec), range(len(text)), range(1, len(text) + 1)
+    fold, out, starts, ends, i = _segments(spec), [], [], [], 0
     while i < len(text):
         j = i + 1
         while j < len(text) and unicodedata.category(text[j]) in ("Mn", "Mc"):
             j += 1
-        piece = folded(text[i:j], spec)
+        piece = fold(text[i:j])
         out.append(piece)
         starts.extend([i] * len(piece))
         ends.extend([j] * len(piece))
