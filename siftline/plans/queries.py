@@ -385,9 +385,9 @@ def bom_detect(spark, sf_dir):
     return d.select("doc_id", decode.mark_label(F.concat(mark, F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("encoding"))
 
 
-@query(f"WITH {LINES} SELECT relative_path, line_number, lower(strip_accents(line)) AS folded FROM l WHERE contains(line, 'é')")
+@query(f"WITH {LINES} SELECT relative_path, line_number, lower(strip_accents(line)) AS folded FROM l")
 def folded_text(spark, sf_dir):
-    lines = search.lines_of(docs(spark, sf_dir)).where(F.contains("line", F.lit("é")))
+    lines = search.lines_of(docs(spark, sf_dir))
     return lines.select("relative_path", "line_number", folding.fold_column(F.col("line"), SearchSpec("x", diacritic_sensitive=False)).alias("folded"))
 
 
@@ -420,21 +420,12 @@ def decode_text(spark, sf_dir):
     return out.select("doc_id", F.md5("t.text").alias("text_md5"), "t.encoding")
 
 
-@query("SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
-def docs_extract(spark, sf_dir):
-    @F.pandas_udf("string")
-    def plain(content: pd.Series) -> pd.Series:
-        return content.map(lambda c: extract.extracted("rtf", c))
+EXTRACTED = "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL"
 
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where(~F.rlike("text", F.lit("[^\\x00-\\x7F]")))
-    body = F.regexp_replace(F.regexp_replace("text", F.lit(r"([\\{}])"), F.lit(r"\\$1")), F.lit("\n"), F.lit(r"\\par "))
-    rtf = F.concat(F.lit(r"{\rtf1{\fonttbl{\f0 Arial;}}"), body, F.lit("}")).cast("binary")
-    return d.select("doc_id", F.md5(plain(rtf)).alias("text_md5"))
 
-
-@query("SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL")
-def docs_extract_all(spark, sf_dir):
-    """docs_extract over the whole table: other characters than ASCII are written as escapes of UTF-16 units."""
+@query(EXTRACTED)
+def docs_extract(spark, sf_dir):
+    """Texts of the whole table, written as RTF and read again."""
 
     @F.pandas_udf("string")
     def plain(content: pd.Series) -> pd.Series:
@@ -444,6 +435,12 @@ def docs_extract_all(spark, sf_dir):
     return d.select("doc_id", F.md5(plain("text")).alias("text_md5"))
 
 
+@query(EXTRACTED)
+def docs_extract_all(spark, sf_dir):
+    """docs_extract under the name it had while that one left texts out."""
+    return docs_extract(spark, sf_dir)
+
+
 @query(f"WITH {ROWS} SELECT to_json({{'path': full_path, 'line': line_number, 'column': column_number, 'match': match_preview_before || match_preview_match || match_preview_after}})::VARCHAR AS row FROM r")
 def view_json(spark, sf_dir):
     return sinks.view_json(hits(spark, sf_dir))
