@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.functions import folding
+from siftline.functions import folding, sql
 from siftline.operators import aggregate, context, evidence, records, replace, search, view
 from siftline.operators import predicates as p
 from siftline.sinks import rows as sinks
@@ -446,6 +446,13 @@ def view_json(spark, sf_dir):
     return sinks.view_json(hits(spark, sf_dir))
 
 
+@query(f"WITH {LINES} SELECT relative_path, line_number, lower(strip_accents(line)) AS folded, ((length(lower(line)) - length(replace(lower(line), 'license', ''))) / 7)::INT AS n FROM l WHERE contains(lower(line), 'license')")
+def sql_functions(spark, sf_dir):
+    sql.register(spark)
+    lines = search.lines_of(docs(spark, sf_dir)).where(F.contains(F.lower("line"), F.lit("license")))
+    return lines.selectExpr("relative_path", "line_number", "fold_text(line) AS folded", "size(literal_spans(line, 'license')) AS n")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: files that hold a term, with their counts and first matches."""
     return file_aggregate(spark, sf_dir)
