@@ -81,17 +81,21 @@ def _cut(text: str) -> str:
 
 
 def finder(spec: SearchSpec) -> Callable[[str], list[tuple[int, int]]]:
-    """A function from a line to its spans: not overlapping, left to right, MAX_SPANS at most, then whole words only."""
+    """A function from a line to its spans: not overlapping, left to right, then whole words only.
+
+    With the search's line_limits, lines are cut, spans are MAX_SPANS at most, and look-around patterns have EXTENDED_SECONDS.
+    """
+    most = MAX_SPANS if spec.line_limits else float("inf")
     if spec.regex:
         pattern = python_regex(spec)
-        limit = EXTENDED_SECONDS if engine_of(spec) == "extended" else None
+        limit = EXTENDED_SECONDS if spec.line_limits and engine_of(spec) == "extended" else None
 
         def found(line: str) -> list[tuple[int, int]]:
             spans = []
             try:
                 for m in pattern.finditer(line, timeout=limit):
                     spans.append(m.span())
-                    if len(spans) >= MAX_SPANS:
+                    if len(spans) >= most:
                         break
             except TimeoutError:
                 pass  # what was found in time counts
@@ -106,14 +110,14 @@ def finder(spec: SearchSpec) -> Callable[[str], list[tuple[int, int]]]:
             else:
                 text, starts, ends = folded_with_places(line, spec)
             spans, at = [], text.find(needle)
-            while at >= 0 and len(spans) < MAX_SPANS:
+            while at >= 0 and len(spans) < most:
                 stop = at + len(needle)
                 spans.append((at, stop) if starts is None else (starts[at], ends[stop - 1]))
                 at = text.find(needle, stop)
             return spans
 
     def spans(line: str) -> list[tuple[int, int]]:
-        line = _cut(line)
+        line = _cut(line) if spec.line_limits else line
         every = found(line) if spec.regex or needle else []
         return [s for s in every if whole(line, *s)] if spec.whole_word else every
 

@@ -88,10 +88,6 @@ def python_regex(spec: SearchSpec) -> regex.Pattern:
     return regex.compile(spec.term, 0 if spec.case_sensitive else regex.IGNORECASE)
 
 
-def word_bounded(pattern: str) -> str:
-    return f"(?<!{WORD})(?:{pattern})(?!{WORD})"
-
-
 def java_template(template: str, groups: dict[str, int], count: int) -> str:
     """A replacement template with $1, $name and ${name}, for Java: unknown groups are empty, names are the longest."""
     out, i = [], 0

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.spec import SearchSpec
+
 #: Rows of a view that become evidence, and the budgets allowed, in bytes.
 MOST_ROWS = 400
 LEAST_BUDGET, MOST_BUDGET = 2_000, 40_000
@@ -61,3 +63,37 @@ def pack_statistics(packs: DataFrame, previews: DataFrame) -> DataFrame:
     there = previews.agg(F.count("*").alias("all"))
     got = packs.agg(F.countDistinct("full_path").alias("files_included"), F.count("*").alias("snippets_included"))
     return got.join(there, F.lit(True)).select("files_included", "snippets_included", (F.col("snippets_included") < F.col("all")).alias("truncated"))
+
+
+def coverage(packs: DataFrame, previews: DataFrame, total: DataFrame) -> DataFrame:
+    """One row: evidence and covered files and matches, all matches, and a notice where rows or budget left some out, else "".
+
+    total is one row with matches, as aggregate.total gives it.
+    """
+    there = previews.agg(F.countDistinct("full_path").alias("evidence_files"), F.count("*").alias("evidence_matches"))
+    got = packs.agg(F.countDistinct("full_path").alias("covered_files"), F.count("*").alias("covered_matches"))
+    rows = there.join(got, F.lit(True)).join(total.select(F.col("matches").alias("total_matches")), F.lit(True))
+    capped = F.format_string("Only the first %d of %d matches were considered, and %d of them fit the budget.", "evidence_matches", "total_matches", "covered_matches")
+    short = F.format_string("Only %d of %d matches, in %d of %d files, fit the budget.", "covered_matches", "evidence_matches", "covered_files", "evidence_files")
+    notice = F.when(F.col("total_matches") > F.col("evidence_matches"), capped).when(F.col("covered_matches") < F.col("evidence_matches"), short).otherwise("")
+    return rows.withColumn("notice", notice)
+
+
+def hints(spec: SearchSpec, path: str = "") -> list[str]:
+    """What a search's options ask for, in words; last, a note on paths that are mounted or not on a disk."""
+    asked = (
+        (spec.respect_ignore, "ignore files are respected"), (spec.case_sensitive, "cases are apart"), (not spec.include_subfolders, "only the folder itself"),
+        (spec.include_hidden, "hidden files and folders too"), (spec.include_binary, "binary files and documents too"), (spec.include_symlinks, "links are followed"),
+        (spec.include_system, "system and dependency folders too"),
+        (spec.match_file_names.strip(), f"file names: {spec.match_file_names.strip()}"), (spec.exclude_dirs.strip(), f"folders left out: {spec.exclude_dirs.strip()}"),
+    )
+    low = path.lower()
+    if path == "/":
+        place = "the whole file system, without its pseudo file systems"
+    elif low.startswith(("/dev", "/proc", "/run", "/sys")):
+        place = f"a pseudo file system: {path}"
+    elif low.startswith(("/media/", "/mnt/")) or "/gvfs/" in low or "/kio-fuse/" in low:
+        place = f"a mounted share or removable medium: {path}"
+    else:
+        place = ""
+    return [words for on, words in asked if on] + ([place] if place else [])

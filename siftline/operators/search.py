@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import folding, patterns
 from siftline.operators.predicates import classified
-from siftline.spec import MAX_RESULTS, MAX_SPANS, PREVIEW_MATCH, PREVIEW_SIDE, SearchSpec
+from siftline.spec import MAX_LINE_BYTES, MAX_RESULTS, MAX_SPANS, PREVIEW_MATCH, PREVIEW_SIDE, SearchSpec
 
 ROW = "file_name string, line_number long, column_number long, line_content string, match_preview_before string, match_preview_match string, match_preview_after string, full_path string, relative_path string, match_count long"
 #: The letter whose lower case has two characters, and a code point that is no character.
@@ -78,11 +78,14 @@ def matching_lines(files: DataFrame, spec: SearchSpec) -> DataFrame:
     spec = spec.checked()
     test = prefilter(spec)
     lines = lines_of(files if test is None else files.where(test))
+    if spec.line_limits:
+        head = F.substring(F.encode("line", "UTF-8"), 1, MAX_LINE_BYTES)
+        lines = lines.withColumn("line", F.when(F.octet_length("line") > MAX_LINE_BYTES, F.regexp_replace(F.decode(head, "UTF-8"), "\uFFFD+$", "")).otherwise(F.col("line")))
     if plain(spec):
         count, start, length = _places(spec)
         if spec.regex:
             lines = lines.where(F.rlike("line", F.lit(patterns.java_regex(spec.term, spec.case_sensitive))))
-        out = lines.withColumn("match_count", F.least(count, F.lit(MAX_SPANS).cast("long"))).where("match_count > 0")
+        out = lines.withColumn("match_count", F.least(count, F.lit(MAX_SPANS).cast("long")) if spec.line_limits else count).where("match_count > 0")
         return out.withColumn("start", start).withColumn("length", length)
     if spec.regex and patterns.engine_of(spec) == "fast":
         # Spark's engine rules out most lines before any reach Python.

@@ -32,11 +32,6 @@ def within(rows: DataFrame, text: str, regex: bool = False) -> DataFrame:
     return rows.where(F.rlike(preview_line(), F.lit(java_regex(text, True))))
 
 
-def in_order(rows: DataFrame) -> DataFrame:
-    """rows with pos, their place in path and line order."""
-    return rows.withColumn("pos", F.row_number().over(Window.orderBy(path_order(), "line_number", "column_number")))
-
-
 def sort_keys(column: str, ascending: bool = True) -> list[Column]:
     """Order by path, line or match; ties keep the search's order either way."""
     keys = {"path": [F.col("relative_path")], "line": [F.col("line_number"), F.col("column_number")], "match": [F.col("match_preview_match")]}[column]

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions import folding, sql
-from siftline.operators import aggregate, context, evidence, records, replace, search, view
+from siftline.operators import aggregate, catalog, context, evidence, records, replace, search, view
 from siftline.operators import predicates as p
 from siftline.sinks import rows as sinks
 from siftline.sources import corpus, decode, extract, grep_output, ignore
 from siftline.spec import SearchSpec
+from siftline.streaming import search as stream
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -53,6 +57,15 @@ def varied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.varied_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one where that is unset and all of Spark is on this machine."""
+    have = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if have is None and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return have or tempfile.mkdtemp(prefix="siftline-")
+
+
 def hits(spark: SparkSession, sf_dir: str, spec: SearchSpec = LICENSE) -> DataFrame:
     return search.content_rows(docs(spark, sf_dir), spec)
 
@@ -129,7 +142,10 @@ def nfkd_fold(spark, sf_dir):
     return counted(docs(spark, sf_dir), SearchSpec("license", normalization="NFKD"))
 
 
-@query()
+LOWER_TR = "lower(replace(replace(replace(line, 'İ', 'i'), 'I', 'ı'), 'İ', 'i'))"
+
+
+@query(f"WITH {LINES}, w AS (SELECT relative_path, line_number, ((length({LOWER_TR}) - length(replace({LOWER_TR}, 'ıs', ''))) / 2)::BIGINT AS match_count FROM l) SELECT * FROM w WHERE match_count > 0")
 def culture_lower_tr(spark, sf_dir):
     return counted(docs(spark, sf_dir), SearchSpec("ıs", comparison="current", culture="tr-TR"))
 
@@ -453,6 +469,91 @@ def sql_functions(spark, sf_dir):
     return lines.selectExpr("relative_path", "line_number", "fold_text(line) AS folded", "size(literal_spans(line, 'license')) AS n")
 
 
+@query(f"WITH {ROWS} SELECT to_json(r)::VARCHAR AS row FROM r")
+def json_rows(spark, sf_dir):
+    return sinks.json_rows(hits(spark, sf_dir))
+
+
+MATCH = "match_preview_before || match_preview_match || match_preview_after"
+
+
+@query(f"WITH {ROWS}, g AS (SELECT *, {MATCH} AS line_content_, {GUARD.replace('line_content', '(' + MATCH + ')')} AS c FROM r) SELECT concat_ws(',', full_path, line_number::VARCHAR, column_number::VARCHAR, {CELL('c')}) AS row FROM g")
+def view_csv(spark, sf_dir):
+    return sinks.view_csv(hits(spark, sf_dir))
+
+
+@query("SELECT doc_id, md5(regexp_replace(chr(27) || text, '[\\x00-\\x08\\x0A-\\x1F\\x7F-\\x{9F}]', '�', 'g')) AS text_md5 FROM documents WHERE text IS NOT NULL")
+def printable(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    return d.select("doc_id", F.md5(sinks.printable(F.concat(F.lit("\x1b"), "text"))).alias("text_md5"))
+
+
+@query(f"WITH {ROWS}, n AS (SELECT least(count(*), 400) AS evidence_matches, count(*) AS all_rows, sum(match_count)::BIGINT AS total_matches FROM r) SELECT evidence_matches, total_matches, total_matches > evidence_matches AS capped FROM n")
+def evidence_coverage(spark, sf_dir):
+    before = previews(spark, sf_dir)
+    out = evidence.coverage(evidence.packed(before, 8_000), before, aggregate.total(hits(spark, sf_dir)))
+    return out.select("evidence_matches", "total_matches", F.startswith("notice", F.lit("Only the first")).alias("capped"))
+
+
+@query()
+def evidence_statistics(spark, sf_dir):
+    before = previews(spark, sf_dir)
+    return evidence.pack_statistics(evidence.packed(before, 8_000), before)
+
+
+@query("SELECT c_custkey AS id, c_name AS term FROM customer WHERE contains(lower(c_name), '7') OR contains(lower(c_mktsegment), '7')")
+def history_matches(spark, sf_dir):
+    entries = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("term"), F.col("c_mktsegment").alias("path"))
+    return records.history_matches(entries, " 7 ").select("id", "term")
+
+
+@query(f"WITH {ROWS} SELECT full_path AS container_path, line_number, sum(match_count)::BIGINT AS n FROM r GROUP BY ALL")
+def grep_output_occurrences(spark, sf_dir):
+    rows = search.matching_lines(docs(spark, sf_dir), LICENSE)
+    out = grep_output.occurrences(rows.select(F.concat("full_path", F.lit("\0"), F.col("line_number").cast("string"), F.lit(":"), "line").alias("line")), LICENSE)
+    return out.groupBy("container_path", "line_number").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {ROWS} SELECT 'Match' AS event, full_path, line_number FROM r UNION ALL SELECT DISTINCT 'FileScanned', full_path, NULL FROM r")
+def progress_events(spark, sf_dir):
+    return stream.progress(hits(spark, sf_dir))
+
+
+@query("SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_events(spark, sf_dir):
+    return stream.windowed_events(events(spark, sf_dir))
+
+
+@query("SELECT event_id, event_type FROM events WHERE json_extract(props, '$.k')::DOUBLE > 50 ORDER BY event_id LIMIT 500")
+def record_browse(spark, sf_dir):
+    return catalog.browsed(records.filtered(events(spark, sf_dir), [("k", "gt", "50")]), "event_id").select("event_id", "event_type")
+
+
+@query("SELECT json_extract_string(props, '$.k') AS group_value, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY ALL")
+def record_materialized_view(spark, sf_dir):
+    """A view in folders by a field, written to the shared folder and read from there."""
+    written = catalog.materialized(events(spark, sf_dir), shared_folder(spark), f"by_k-{uuid.uuid4().hex}", "k")
+    return written.groupBy("group_value").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query(
+    "SELECT c_custkey AS id, json_object('name', c_name, 'segment', c_mktsegment, 'key', c_custkey::VARCHAR)::VARCHAR AS props, coalesce(nullif(lower(c_mktsegment), '') NOT LIKE '.%' AND NOT contains(c_mktsegment, '/') AND NOT contains(c_mktsegment, chr(92)), false) AS safe FROM customer"
+)
+def record_front_matter(spark, sf_dir):
+    """Records written as front matter and read again."""
+    d = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("key"))
+    text = F.concat(catalog.front_matter(d, "name", "segment", "key"), F.lit("text\n"))
+    return d.select(F.col("key").alias("id"), catalog.fields_of(text).alias("props"), catalog.safe_name(F.col("segment")).alias("safe"))
+
+
+@query(
+    "SELECT column_name AS name, CASE WHEN regexp_matches(column_type, '^(BIG|SMALL|TINY)?INT') THEN 'integer' WHEN regexp_matches(column_type, '^(DOUBLE|FLOAT|DECIMAL)') THEN 'number' WHEN column_type = 'BOOLEAN' THEN 'boolean' ELSE 'string' END AS type FROM (DESCRIBE customer)"
+)
+def collection_schema(spark, sf_dir):
+    rules = catalog.schema_json(catalog.schema_rules(spark.read.parquet(f"{sf_dir}/customer.parquet")))
+    return spark.sql("SELECT inline(from_json(:rules, 'array<struct<name:string,type:string>>'))", args={"rules": rules})
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: files that hold a term, with their counts and first matches."""
     return file_aggregate(spark, sf_dir)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftline.sources import charsets
+
 #: Marks in the order in which they are tried, and the label of each.
 MARKS = ((b"\xef\xbb\xbf", "UTF-8 BOM"), (b"\xff\xfe\x00\x00", "UTF-32 LE"), (b"\x00\x00\xfe\xff", "UTF-32 BE"), (b"\xff\xfe", "UTF-16 LE"), (b"\xfe\xff", "UTF-16 BE"))
 _CODECS = {"UTF-8": "utf-8", "UTF-8 BOM": "utf-8-sig", "UTF-16 LE": "utf-16-le", "UTF-16 BE": "utf-16-be"}
@@ -37,7 +39,8 @@ def decoded(data: bytes) -> tuple[str, str]:
             return data.decode("iso2022_jp"), "ISO-2022-JP"
         except UnicodeDecodeError:
             pass
-    return data.decode("windows-1252", "replace"), "windows-1252"
+    label = charsets.guessed(data[:GUESSED_FROM])
+    return data.decode(charsets.CODECS.get(label, label), "replace"), label
 
 
 def encoded(text: str, label: str) -> bytes:
@@ -46,4 +49,4 @@ def encoded(text: str, label: str) -> bytes:
         raise ValueError("UTF-32 files are not written back")
     if label in ("UTF-16 LE", "UTF-16 BE"):
         return dict((name, mark) for mark, name in MARKS)[label] + text.encode(_CODECS[label])
-    return text.encode(_CODECS.get(label, label), "xmlcharrefreplace")
+    return text.encode(_CODECS.get(label) or charsets.CODECS.get(label, label), "xmlcharrefreplace")

@@ -22,8 +22,9 @@ def parsed(output: DataFrame, line: str = "line") -> DataFrame:
 
 
 def occurrences(output: DataFrame, spec: SearchSpec, line: str = "line") -> DataFrame:
-    """A row for each occurrence; a line in which none is found again has one at column 1."""
-    rows = parsed(output, line).withColumn("__spans", folding.spans_column(F.col("content"), spec))
+    """A row for each occurrence; a line in which none is found again has one at column 1; paths that are
+    relative or step upwards are left out."""
+    rows = parsed(output, line).where(safe_path(F.col("container_path"))).withColumn("__spans", folding.spans_column(F.col("content"), spec))
     spans = F.when(F.size("__spans") > 0, F.col("__spans")).otherwise(F.array(F.struct(F.lit(0).alias("start"), F.least(F.length("content"), F.lit(0)).alias("end"))))
     rows = rows.select("container_path", "line_number", "content", F.explode(spans).alias("s"))
     start, end = F.col("s.start"), F.col("s.end")

@@ -46,6 +46,7 @@ class SearchSpec:
     size_unit: str = "KB"
     size_type: str = "less"  # less, greater or equal
     max_results: int | None = None
+    line_limits: bool = False  # lines cut, spans and time of a line bounded, as interactive searches are
 
     def checked(self) -> SearchSpec:
         if len(self.term.encode("utf-8")) > MAX_TERM_BYTES:

@@ -1,3 +1,5 @@
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from siftline.operators import aggregate, context, evidence, records, replace, search, view
@@ -156,3 +158,15 @@ def test_summary_and_exit_code(spark):
     assert (r.files_scanned, r.files_matched, r.matches, r.skipped_files, r.capped) == (1, 1, 2, 1, False)
     assert sinks.exit_code(search.content_rows(f, SearchSpec("x"))) == 0
     assert sinks.exit_code(search.content_rows(f, SearchSpec("zz"))) == 1
+
+
+def test_line_limits_in_both_tiers(spark):
+    """Whole lines count unless limits are asked; then both tiers cut alike."""
+    long = "é" * (1 << 20) + " the"  # the term begins where 2 MiB end
+    f = files(spark, ("x.txt", long + "\n" + "the " * 10_050))
+    for spec in (SearchSpec("the", include_binary=True), SearchSpec("the", whole_word=True), SearchSpec("the", diacritic_sensitive=False)):
+        got = lambda s: {r.line_number: r.match_count for r in search.matching_lines(f, s).select("line_number", "match_count").collect()}
+        assert got(spec) == {1: 1, 2: 10_050}
+        assert got(dataclasses.replace(spec, line_limits=True)) == {2: 10_000}
+    rows = replace.replaced(f, SearchSpec("the", whole_word=True), "a").select("matches").collect()
+    assert [r.matches for r in rows] == [10_051]
