@@ -1,5 +1,7 @@
 """The numbered queries and the pipeline over the smallest tables."""
 
+import itertools
+import re
 import zlib
 from collections import Counter
 
@@ -54,6 +56,54 @@ def test_leaks_against_brute_force(spark):
     assert want and got == want
 
 
+def shingled(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+
+def test_near_copies_by_brute_force(spark):
+    """Every pair of documents, with no part of the library."""
+    docs = table(spark, SF, "documents")
+    sets = {r.doc_id: shingled(r.text) for r in docs.collect()}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            low, high = sorted((top(a), top(b)))
+            root[high] = low
+    want = {i for i in sets if top(i) == i}
+    got = corpus_pipeline.near_copies(spark, docs, SF).collect()
+    assert len(want) < len(sets) and sorted(r.doc_id for r in got) == sorted(want)
+
+
+def edits(item, words):
+    """The least number of words changed, added or left out between the item and any passage."""
+    row = [0] * (len(words) + 1)
+    for i, x in enumerate(item, 1):
+        last, row = row, [i]
+        for j, y in enumerate(words, 1):
+            row.append(min(last[j - 1] + (x != y), last[j] + 1, row[-1] + 1))
+    return min(row)
+
+
+def test_benchmark_passages_by_brute_force(spark):
+    """What goes holds an item within a fifth of its words; what holds one word for word goes."""
+    norm = lambda t: "".join(c if c.isalnum() or ord(c) > 127 else " " for c in (t or "").lower()).split()
+    docs = {r.doc_id: norm(r.text) for r in table(spark, SF, "documents").collect()}
+    items = [norm(r.text) for r in table(spark, SF, "benchmark").collect()]
+    kept = {r.doc_id for r in corpus_pipeline.benchmark_passages(spark, table(spark, SF, "documents"), SF).collect()}
+    whole = {d for d, w in docs.items() if any(f" {' '.join(x)} " in f" {' '.join(w)} " for x in items if len(x) >= 5)}
+    assert whole and not whole & kept and kept <= docs.keys()
+    for d in docs.keys() - kept - whole:
+        assert any(5 * edits(x, docs[d]) <= len(x) for x in items if len(x) >= 5)
+
+
 def test_pipeline(spark):
     docs = table(spark, SF, "documents")
     columns = docs.columns
