@@ -11,7 +11,6 @@ from siftline.spec import SearchSpec, SpecError
 _EXTENDED = re.compile(r"\(\?<?[=!]|\(\?>|\\[1-9]|\\k[<{']|[*+?}]\+|\(\?\(")
 #: Named classes in brackets, and what the Java engine calls them.
 _POSIX = {"alpha": r"\p{IsAlphabetic}", "digit": r"\p{IsDigit}", "alnum": r"\p{IsAlphabetic}\p{IsDigit}", "upper": r"\p{IsUppercase}", "lower": r"\p{IsLowercase}", "space": r"\s", "punct": r"\p{Punct}", "xdigit": r"\p{XDigit}", "word": r"\w"}
-WORD = r"[\p{IsAlphabetic}\p{N}_]"
 
 
 def glob_regex(glob: str) -> str:
