@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe_count, cgk_leaks, html_text, jaccard_join, knn_quality, lm_score, mih_topk, rlbwt_dedup, secret_tests, source_mix
+from siftline.llm import bpe_count, cgk_leaks, html_text, jaccard_join, knn_quality, lm_score, mih_topk, rlbwt_dedup, scaled_sketch, secret_tests, source_mix, spelling, whitening
 from siftline.llm.support import table
 
 TOKEN_LIMIT = 512
@@ -74,6 +74,18 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_scaled_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaled_sketch.compared(table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = """
 WITH c AS (
   SELECT DISTINCT vec_id, list_sum(list_transform(embedding[1:64], lambda x, i: CASE WHEN x > 0 THEN 1::HUGEINT << (i - 1)::INT ELSE 0::HUGEINT END))::HUGEINT AS code
@@ -107,9 +119,36 @@ FROM c
 """
 
 
+#: crc32 is a fold over bytes, and words are near if they share a string of one letter less, or one is that string.  The
+#: letters beyond ASCII become single bytes, as DuckDB's levenshtein() counts bytes.
+OP11_SQL = r"""
+WITH RECURSIVE t AS MATERIALIZED (
+  SELECT list(list_reduce(list_prepend(b::BIGINT, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS crc FROM range(256) r(b)),
+r AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+h AS (
+  SELECT run, times, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), '..'), lambda x: ('0x' || x)::BIGINT)),
+    lambda c, x: xor(c >> 8, t.crc[(xor(c, x) & 255) + 1]))) AS h
+  FROM r, t),
+v AS (
+  SELECT word, sum(times)::BIGINT AS n FROM (
+    SELECT times, CASE WHEN h % 31 = 0 THEN run[1:(h % length(run))] || run[(h % length(run)) + 2:] ELSE run END AS word FROM h) WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+e AS (SELECT *, translate(word, (SELECT string_agg(chr((192 + i)::INT), '' ORDER BY i) FROM range(64) x(i)), (SELECT string_agg(chr((33 + i)::INT), '' ORDER BY i) FROM range(64) x(i))) AS bytes FROM v),
+less AS (SELECT DISTINCT word, n, bytes, key FROM (SELECT word, n, bytes, bytes AS key FROM e UNION ALL SELECT word, n, bytes, bytes[1:i] || bytes[i + 2:] FROM e, range(length(bytes)) x(i))),
+p AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM less a JOIN less b USING (key) WHERE a.word <> b.word AND levenshtein(a.bytes, b.bytes) = 1),
+f AS (
+  SELECT v.word, v.n, count(other) AS n_near, arg_min(other, (-other_n, other)) FILTER (WHERE other IS NOT NULL) AS best, max(other_n) AS best_n
+  FROM v LEFT JOIN p ON p.word = v.word GROUP BY v.word, v.n),
+g AS (SELECT word, n, n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n FROM f),
+s AS (SELECT word, coalesce(form, word) AS here, 0 AS step FROM g UNION ALL SELECT s.word, g.form, step + 1 FROM s JOIN g ON g.word = s.here WHERE g.form IS NOT NULL)
+SELECT g.word, n, n_near, form, form_n, root FROM g JOIN (SELECT word, arg_max(here, step) AS root FROM s GROUP BY word) USING (word)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_score, op2_quality_votes, op3_repeat_removal, op4_html_text, op5_benchmark_leaks, op6_hamming_topk, op7_jaccard_join, op8_secret_scans, op9_token_counts, op10_source_mix)}
+    return {f.__name__: f for f in (op1_lm_score, op2_quality_votes, op3_repeat_removal, op4_html_text, op5_benchmark_leaks, op6_hamming_topk, op7_jaccard_join, op8_secret_scans, op9_token_counts, op10_source_mix, op11_spelling_variants, op12_whitened_vectors, op13_scaled_sketches)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_hamming_topk": OP6_SQL, "op10_source_mix": OP10_SQL}
+    return {"op6_hamming_topk": OP6_SQL, "op10_source_mix": OP10_SQL, "op11_spelling_variants": OP11_SQL}

@@ -25,6 +25,9 @@ COLUMNS = {
     "op8_secret_scans": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op9_token_counts": "doc_id n_bytes n_tokens over_limit",
     "op10_source_mix": "doc_id size source_size target taken",
+    "op11_spelling_variants": "word form root n n_near form_n",
+    "op12_whitened_vectors": "vec_id component n deviation whitened explained identity_error",
+    "op13_scaled_sketches": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
 }
 
 
