@@ -13,7 +13,7 @@ from siftline.functions import folding, sql
 from siftline.operators import aggregate, catalog, context, evidence, records, replace, search, view
 from siftline.operators import predicates as p
 from siftline.sinks import rows as sinks
-from siftline.sources import corpus, decode, extract, grep_output, ignore
+from siftline.sources import corpus, decode, extract, grep_output, ignore, trigram_index
 from siftline.spec import SearchSpec
 from siftline.streaming import search as stream
 
@@ -495,6 +495,33 @@ def evidence_coverage(spark, sf_dir):
     return out.select("evidence_matches", "total_matches", F.startswith("notice", F.lit("Only the first")).alias("capped"))
 
 
+INDEXED = ("license", "the", "sch", "Üb")
+
+
+def new_index(spark: SparkSession, sf_dir: str) -> str:
+    """A trigram index of all documents in the shared folder."""
+    index = f"{shared_folder(spark)}/trigrams-{uuid.uuid4().hex}"
+    trigram_index.build(docs(spark, sf_dir), index)
+    return index
+
+
+@query("WITH " + LINES + " SELECT literal, full_path FROM (VALUES " + ", ".join(f"('{x}')" for x in INDEXED) + ") t(literal), f WHERE contains(lower(text), lower(literal))")
+def index_candidates(spark, sf_dir):
+    """Of some literals, the files that an index proposes and that hold it."""
+    index, files = new_index(spark, sf_dir), docs(spark, sf_dir)
+    found = None
+    for literal in INDEXED:
+        some = trigram_index.candidates(spark, index, literal).select(F.lit(literal).alias("literal"), "full_path")
+        found = some if found is None else found.unionByName(some)
+    return found.join(files.select("full_path", "text"), "full_path").where(F.contains(F.lower("text"), F.lower("literal"))).select("literal", "full_path")
+
+
+@query(f"WITH {ROWS} SELECT * FROM r")
+def index_search(spark, sf_dir):
+    """Content rows by way of an index: only its candidates are searched."""
+    return search.content_rows(trigram_index.searched(docs(spark, sf_dir), new_index(spark, sf_dir), LICENSE), LICENSE)
+
+
 @query()
 def evidence_statistics(spark, sf_dir):
     before = previews(spark, sf_dir)
