@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.folding import SPANS, finder, folded
-from siftline.sources.decode import decoded
+from siftline.sources.decode import decoded_all
 from siftline.spec import SearchSpec
 
 #: What fold_text asks for.
@@ -37,7 +37,7 @@ def register(spark: SparkSession) -> list[str]:
 
     @F.pandas_udf("struct<text:string,encoding:string>")
     def decode_bytes(content: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, None) if c is None else decoded(c) for c in content], columns=["text", "encoding"])
+        return pd.DataFrame(decoded_all(content.tolist()), columns=["text", "encoding"])
 
     named = {"fold_text": fold_text, "literal_spans": spans(False), "regex_spans": spans(True), "decode_bytes": decode_bytes}
     for name, function in named.items():

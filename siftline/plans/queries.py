@@ -451,10 +451,17 @@ def docs_extract(spark, sf_dir):
     return d.select("doc_id", F.md5(plain("text")).alias("text_md5"))
 
 
-@query(EXTRACTED)
-def docs_extract_all(spark, sf_dir):
-    """docs_extract under the name it had while that one left texts out."""
-    return docs_extract(spark, sf_dir)
+@query("SELECT lang, count(*) AS n, true AS good FROM documents WHERE regexp_matches(text, '[^\\x00-\\x7F]') GROUP BY lang")
+def charset_guess(spark, sf_dir):
+    """Whether 0.95 of the documents of each language are read right from bytes that don't say how they are written."""
+
+    @F.pandas_udf("boolean")
+    def right(texts: pd.Series) -> pd.Series:
+        data = [decode.encoded(t, "windows-1252") for t in texts]
+        return pd.Series([text.encode("utf-8") == d.decode("windows-1252").encode("utf-8") for (text, _), d in zip(decode.decoded_all(data), data)])
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.rlike("text", F.lit("[^\\x00-\\x7F]")))
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), (F.avg(right("text").cast("int")) >= 0.95).alias("good"))
 
 
 @query(f"WITH {ROWS} SELECT to_json({{'path': full_path, 'line': line_number, 'column': column_number, 'match': match_preview_before || match_preview_match || match_preview_after}})::VARCHAR AS row FROM r")

@@ -23,8 +23,8 @@ def mark_label(content: Column) -> Column:
     return out.otherwise("UTF-8")
 
 
-def decoded(data: bytes) -> tuple[str, str]:
-    """(text, label).  UTF-32 is labelled, and read as UTF-8 with replacements."""
+def _certain(data: bytes) -> tuple[str, str] | None:
+    """(text, label) by a mark, as UTF-8 or by escape sequences; null where only a guess is left."""
     for mark, label in MARKS:
         if data.startswith(mark):
             if label.startswith("UTF-32"):
@@ -39,8 +39,21 @@ def decoded(data: bytes) -> tuple[str, str]:
             return data.decode("iso2022_jp"), "ISO-2022-JP"
         except UnicodeDecodeError:
             pass
-    label = charsets.guessed(data[:GUESSED_FROM])
-    return data.decode(charsets.CODECS.get(label, label), "replace"), label
+    return None
+
+
+def decoded_all(data: list[bytes | None]) -> list[tuple[str | None, str | None]]:
+    """(text, label) of each; those that need a guess are guessed together.  UTF-32 is labelled, and read as UTF-8 with
+    replacements; null gives nulls."""
+    out = [(None, None) if d is None else _certain(d) for d in data]
+    open_ = [k for k, found in enumerate(out) if found is None]
+    for k, label in zip(open_, charsets.guessed_all([data[k][:GUESSED_FROM] for k in open_])):
+        out[k] = data[k].decode(charsets.codec(label), "replace"), label
+    return out
+
+
+def decoded(data: bytes) -> tuple[str, str]:
+    return decoded_all([data])[0]
 
 
 def encoded(text: str, label: str) -> bytes:
@@ -49,4 +62,4 @@ def encoded(text: str, label: str) -> bytes:
         raise ValueError("UTF-32 files are not written back")
     if label in ("UTF-16 LE", "UTF-16 BE"):
         return dict((name, mark) for mark, name in MARKS)[label] + text.encode(_CODECS[label])
-    return text.encode(_CODECS.get(label) or charsets.CODECS.get(label, label), "xmlcharrefreplace")
+    return text.encode(_CODECS.get(label) or charsets.codec(label), "xmlcharrefreplace")
