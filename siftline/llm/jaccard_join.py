@@ -43,6 +43,8 @@ CELLS, MATCHES = 1 << 21, 1 << 20
 HELD_SIGNS = 1 << 19
 #: Bytes of texts or sets that a task works on at once.
 SLICE = 2 << 20
+#: Bytes of n-grams that meet in a bucket, about.
+BUCKET = 32 << 20
 #: Bits of an n-gram's fingerprint where only whether it occurs twice matters: a collision keeps a set, and loses none.
 FINGERPRINT = 40
 
@@ -229,7 +231,8 @@ def _joinable(sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     To link, num / den of a set's n-grams must be in another set.  Sets send their fingerprints to buckets, which count
     for each set how many of its own occur in another set of the block.
     """
-    buckets, shards = 4 * parts_of(sets.sparkSession), parts_of(sets.sparkSession)
+    held = sets.agg(F.sum(F.octet_length("grams"))).first()[0] or 0
+    buckets, shards = max(4 * parts_of(sets.sparkSession), held // BUCKET), parts_of(sets.sparkSession)
     cut = np.uint64(64 - FINGERPRINT)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +248,11 @@ def _joinable(sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
                 keys, owner = keys[order], owner[order].astype("<u4")
                 node = np.array([int.from_bytes(c[:8], "big", signed=True) for c in part.column(1).to_pylist()], "<i8")
                 at = bucket_bounds(keys << cut, buckets)
-                out = [(b, encode(keys[at[b] : at[b + 1]]), squeezed(owner[at[b] : at[b + 1]]), node.tobytes()) for b in range(buckets) if at[b] < at[b + 1]]
+                out = []
+                for b in np.flatnonzero(np.diff(at)).tolist():
+                    some = slice(at[b], at[b + 1])
+                    whose, which = np.unique(owner[some], return_inverse=True)
+                    out.append((b, encode(keys[some]), squeezed(which), node[whose].tobytes()))  # only nodes that have a key here
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[k] for r in out], pa.binary()) for k in (1, 2, 3))], names=["bucket", "keys", "owners", "nodes"])
 
     def answer(table: pa.Table) -> pa.Table:

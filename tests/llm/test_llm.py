@@ -749,3 +749,36 @@ def test_weights_matter(spark):
     got = source_mix.mix(df, identifier=F.col("doc_id"), source=F.col("source"), size=F.lit(10), weight=F.col("w"), weights=(1, 30), keep=("doc_id", "w")).where("source = 'a'")
     taken = {r.w: r.n for r in got.groupBy("w").agg(F.sum("taken").alias("n")).collect()}
     assert taken[1.0] > 2 * taken[0.1]
+
+
+def test_quality_takes_the_least_text_of_an_identifier(spark):
+    """Whatever the order of rows, an identifier that has several texts is learned from once, by the least of them."""
+    rng = random.Random(3)
+    rows = [(k, prose(rng, 40) if k % 2 else "## $$ || " * 20) for k in range(40)] + [(k, prose(rng, 30, 20)) for k in range(40)] + [(1, None), (2, "a")]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    scores = []
+    for part in (rows, rows[::-1], [*rows, *rows]):
+        docs = spark.createDataFrame(part, "doc_id long, text string").repartition(5)
+        model = knn_quality.train(docs, labels, learn=F.lit(True))
+        scores.append({r.text: r.score for r in knn_quality.score(docs, model, keep=("doc_id", "text")).collect()})
+    assert scores[0] == pytest.approx(scores[1]) and scores[0] == pytest.approx(scores[2])
+    model = knn_quality.train(spark.createDataFrame([(k, t) for k, t in rows if t is not None], "doc_id long, text string").groupBy("doc_id").agg(F.min("text").alias("text")), labels, learn=F.lit(True))
+    alone = {r.text: r.score for r in knn_quality.score(docs, model, keep=("doc_id", "text")).collect()}
+    assert scores[0] == pytest.approx(alone)
+
+
+def test_joinable_sends_only_the_nodes_of_a_bucket(spark, monkeypatch):
+    """Large blocks in very many buckets: the same classes, and no more bytes of nodes than keys have."""
+    monkeypatch.setattr(jaccard_join, "TASK_CLASSES", 4)
+    monkeypatch.setattr(jaccard_join, "BUCKET", 64)
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(60)]
+    texts = [" ".join([*common, *(f"x{rng.randrange(8)}" for _ in range(6))]) for _ in range(60)]
+    rule = jaccard_join.Rule(words=3, num=80, den=100)
+    got = {r.doc_id: r.component_id for r in jaccard_join.linked(table(spark, texts), rule).collect()}
+    sets = [{tuple(words(t)[i : i + 3]) for i in range(len(words(t)) - 2)} for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            root[i] = min(root[j] for j, b in enumerate(sets) if 100 * len(a & b) >= 80 * len(a | b))
+    assert [got[i] for i in range(len(texts))] == root
