@@ -123,7 +123,8 @@ def train(docs: DataFrame, labels: DataFrame, *, identifier: str = "doc_id", tex
     from (learn) and have a label of 0 or 1 and a document.
 
     The sample's texts stay on the executors; only its feature counts, PER_LABEL * 2 rows of FEATURES numbers at most,
-    and the numbers of rows per label come to the driver.  An identifier with several labels or documents counts once.
+    and the numbers of rows per label come to the driver.  An identifier with several
+    labels or documents counts once, by its least label and text.
     """
     spark = docs.sparkSession
     mine = labels.select(F.col(identifier).alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).groupBy("id").agg(F.min("y").alias("y"))
@@ -140,6 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, *, identifier: str = "doc_id", tex
         return fit(np.zeros((0, FEATURES), np.float32), np.zeros(0), prior)
     small = spark.createDataFrame([(r["id"], r["y"]) for r in chosen], sample.schema)
     found = docs.select(F.col(identifier).alias("id"), F.col(text).alias("text")).join(F.broadcast(small), "id")
+    # Of an identifier's texts the least one counts, so that reruns agree and as many rows come back as were chosen.
+    found = found.groupBy("id", "y").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
