@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -14,6 +13,7 @@ from siftline.operators import aggregate, catalog, context, evidence, records, r
 from siftline.operators import predicates as p
 from siftline.sinks import rows as sinks
 from siftline.sources import corpus, decode, extract, grep_output, ignore, trigram_index
+from siftline.sources.shared import shared_folder
 from siftline.spec import SearchSpec
 from siftline.streaming import search as stream
 
@@ -57,15 +57,6 @@ def varied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.varied_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where that is unset and all of Spark is on this machine."""
-    have = spark.conf.get("spark.checkpoint.dir", None)
-    master = spark.sparkContext.master
-    if have is None and (not master.startswith("local") or master.startswith("local-cluster")):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return have or tempfile.mkdtemp(prefix="siftline-")
-
-
 def hits(spark: SparkSession, sf_dir: str, spec: SearchSpec = LICENSE) -> DataFrame:
     return search.content_rows(docs(spark, sf_dir), spec)
 
@@ -414,12 +405,9 @@ RULES = {"": "*.PNG\nvendor/\n/en/src3\n", "en": "!1*.PNG\n"}
     f"""WITH {SKIPS} SELECT concat_ws('/', lang, folder, file_name) AS relative_path, folder = 'vendor' OR (lang = 'en' AND folder = 'src3') OR (file_name LIKE '%.PNG' AND NOT (lang = 'en' AND file_name LIKE '1%')) AS ignored FROM v"""
 )
 def ignore_rules(spark, sf_dir):
-    @F.pandas_udf("boolean")
-    def hidden(paths: pd.Series) -> pd.Series:
-        known = ignore.ignored_in(paths.tolist(), RULES)
-        return paths.map(known)
-
-    return varied(spark, sf_dir).select("relative_path", hidden("relative_path").alias("ignored"))
+    """Rules as a table, joined with the paths."""
+    rules = ignore.rules_table(ignore.files_of(spark, RULES))
+    return ignore.hidden(varied(spark, sf_dir), rules)
 
 
 @query("SELECT doc_id, md5(text) AS text_md5, CASE doc_id % 3 WHEN 0 THEN 'UTF-16 LE' WHEN 1 THEN 'UTF-16 BE' ELSE 'UTF-8' END AS encoding FROM documents WHERE text IS NOT NULL")
