@@ -65,6 +65,64 @@ def folded_with_places(text: str, spec: SearchSpec) -> tuple[str, Sequence[int],
     return "".join(out), starts, ends
 
 
+def coarse(text: str) -> str:
+    """Text without any difference that a search may fold away: what folded() gives, for whatever search, keeps its coarse form."""
+    text = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) != "Mn").lower()
+    text = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) != "Mn")
+    return text.replace("\u03c2", "\u03c3").replace("\u0131", "i")
+
+
+@lru_cache(maxsize=1)
+def _coarse_forms() -> tuple[dict[str, list[int]], list[int], list[tuple[str, int]]]:
+    """Code points by their coarse form of one character; those that have none; (form, code point) of longer forms.  Nothing
+    beyond the third plane has a form other than itself."""
+    one: dict[str, list[int]] = {}
+    none, more = [], []
+    for code in (*range(0xD800), *range(0xE000, 0x30000), *range(0xE0000, 0xE01F0)):
+        form = coarse(chr(code))
+        if len(form) == 1:
+            if form != chr(code):
+                one.setdefault(form, []).append(code)
+        elif form:
+            more.append((form, code))
+        else:
+            none.append(code)
+    return one, none, more
+
+
+def _ranges(codes: list[int]) -> str:
+    """A character class for Java.  What is beyond Latin-1 is behind a single test, as it would be tried range by range."""
+    near = [c for c in codes if c < 256]
+    if len(near) < len(codes):
+        return f"[{_parts(near)}[\\x{{100}}-\\x{{10FFFF}}&&[{_parts(codes[len(near) :])}]]]"
+    return f"[{_parts(codes)}]"
+
+
+def _parts(codes: list[int]) -> str:
+    out, k = [], 0
+    while k < len(codes):
+        j = k
+        while j + 1 < len(codes) and codes[j + 1] == codes[j] + 1:
+            j += 1
+        out.append(f"\\x{{{codes[k]:X}}}" + (f"-\\x{{{codes[j]:X}}}" if j > k else ""))
+        k = j + 1
+    return "".join(out)
+
+
+def superset(needle: str) -> str:
+    """A pattern for Spark that every text matches in which a search finds the folded needle, whatever it folds.
+
+    Each character stands for all that have its coarse form, with marks between them; characters of longer forms that share
+    a letter with the needle stand for a match.
+    """
+    one, none, more = _coarse_forms()
+    form = coarse(needle)
+    between = f"{_ranges(none)}*+"
+    found = between.join(_ranges(sorted({ord(c), *one.get(c, [])})) for c in form)
+    wide = sorted(code for some, code in more if set(some) & set(form))
+    return f"(?s){found}" + (f"|{_ranges(wide)}" if wide else "")
+
+
 def is_word(c: str) -> bool:
     return c.isalnum() or c == "_"
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 
 import regex
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 
 from siftline.spec import SearchSpec, SpecError
 
@@ -13,6 +16,40 @@ _EXTENDED = re.compile(r"\(\?<?[=!]|\(\?>|\\[1-9]|\\k[<{']|[*+?}]\+|\(\?\(")
 _POSIX = {"alpha": r"\p{IsAlphabetic}", "digit": r"\p{IsDigit}", "alnum": r"\p{IsAlphabetic}\p{IsDigit}", "upper": r"\p{IsUppercase}", "lower": r"\p{IsLowercase}", "space": r"\s", "punct": r"\p{Punct}", "xdigit": r"\p{XDigit}", "word": r"\w"}
 
 
+#: Unicode's general categories, by their long names.
+CATEGORIES = {
+    "letter": "L", "casedletter": "LC", "uppercaseletter": "Lu", "lowercaseletter": "Ll", "titlecaseletter": "Lt", "modifierletter": "Lm", "otherletter": "Lo",
+    "mark": "M", "nonspacingmark": "Mn", "spacingmark": "Mc", "enclosingmark": "Me", "number": "N", "decimalnumber": "Nd", "letternumber": "Nl", "othernumber": "No",
+    "punctuation": "P", "connectorpunctuation": "Pc", "dashpunctuation": "Pd", "openpunctuation": "Ps", "closepunctuation": "Pe", "initialpunctuation": "Pi", "finalpunctuation": "Pf", "otherpunctuation": "Po",
+    "symbol": "S", "mathsymbol": "Sm", "currencysymbol": "Sc", "modifiersymbol": "Sk", "othersymbol": "So", "separator": "Z", "spaceseparator": "Zs", "lineseparator": "Zl", "paragraphseparator": "Zp",
+    "other": "C", "control": "Cc", "format": "Cf", "surrogate": "Cs", "privateuse": "Co", "unassigned": "Cn",
+}
+#: Properties that are no categories and no scripts, and what the Java engine calls them.
+PROPERTIES = {"alphabetic": r"\p{IsAlphabetic}", "uppercase": r"\p{IsUppercase}", "lowercase": r"\p{IsLowercase}", "whitespace": r"\p{IsWhite_Space}", "ideographic": r"\p{IsIdeographic}", "hexdigit": r"\p{IsHex_Digit}", "any": r"[\x{0}-\x{10FFFF}]", "ascii": r"\p{ASCII}", "assigned": r"\p{IsAssigned}"}
+_SHORT = {v.lower(): v for v in CATEGORIES.values()}
+
+
+def _class(m: re.Match) -> str:
+    """A Unicode class as the Java engine names it: a category, a property or a script, in braces or a single letter."""
+    if m[2] is None and m[3] is None:
+        return m[0]  # another escape
+    name = m[2] if m[2] is not None else m[3]
+    negated = (m[1] == "P") != name.startswith("^")
+    kind, _, value = name.removeprefix("^").replace(":", "=").rpartition("=")
+    plain = re.sub(r"[\s_-]", "", value).lower()
+    plain = plain.removeprefix("is") if not kind else plain
+    kind = re.sub(r"[\s_-]", "", kind).lower()
+    if kind in ("", "gc", "generalcategory") and (category := CATEGORIES.get(plain) or _SHORT.get(plain)):
+        out = f"\\p{{{category}}}"
+    elif not kind and plain in PROPERTIES:
+        out = PROPERTIES[plain]
+    elif kind in ("", "sc", "script", "scx", "scriptextensions"):
+        out = f"\\p{{Is{re.sub(r'[ -]', '_', value.strip().removeprefix('Is'))}}}"
+    else:
+        raise SpecError(f"unknown class {m[0]}")
+    return out if not negated else f"[^{out[1:]}" if out.startswith("[") else out.replace(r"\p", r"\P", 1)
+
+
 def glob_regex(glob: str) -> str:
     """An anchored regular expression for a file-name glob: * ? [..] [!..] {a,b} and backslash escapes."""
     out, i, depth = [], 0, 0
@@ -63,7 +100,19 @@ def java_regex(pattern: str, case_sensitive: bool) -> str:
     out = re.sub(r"\(\?P<", "(?<", pattern)
     out = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", out)
     out = re.sub(r"\[:(\w+):\]", lambda m: _POSIX.get(m[1], m[0]), out)
-    return ("(?dU)" if case_sensitive else "(?idU)") + out
+    out = re.sub(r"\\(?:([pP])(?:\{([^}]*)\}|([A-Za-z]))|.)", _class, out)
+    return tried(("(?dU)" if case_sensitive else "(?idU)") + out)
+
+
+def tried(pattern: str) -> str:
+    """The pattern, once Spark's engine has taken it; where no session is at hand it is taken as it is."""
+    context = SparkContext._active_spark_context
+    if context is not None and context._jvm is not None:
+        try:
+            context._jvm.java.util.regex.Pattern.compile(pattern)
+        except (IllegalArgumentException, Py4JJavaError) as e:
+            raise SpecError(f"invalid pattern: {e}") from e
+    return pattern
 
 
 def is_extended(pattern: str) -> bool:

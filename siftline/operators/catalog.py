@@ -16,6 +16,8 @@ from siftline.operators.records import BROWSE
 
 #: The folder of views, the file of a schema, and names that YAML reads as something else than text.
 VIEWS, SCHEMA = "views", "schema.md"
+#: Folders of a grouped view, besides that of missing values.
+FOLDERS = 256
 NOT_TEXT = "false|n|no|null|off|on|true|y|yes"
 _SAFE = r"\A[^./\\][^/\\]*\z"
 _MATTER = r"(?s)\A---\r?\n(.*?\n|)---(?:\r?\n|\z)"
@@ -120,18 +122,21 @@ def store(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def materialized(records: DataFrame, root: str, name: str, group: str | None = None, json: str = "props") -> DataFrame:
     """Writes records as the view <root>/views/<name>, in folders by a field of the JSON column if asked, and reads it.
 
-    A written view of that name is replaced.  Records without the field are a group of their own; Spark splits large groups
-    over tasks and gathers small ones.  The read view has the field as group_value.
+    A written view of that name is replaced.  The read view has the field as group_value; records without it are a group of
+    their own, apart from those where it is empty.  Folders are named by a hash of the value, so that there are FOLDERS and one
+    for missing values at most, whatever values hold; within a folder rows are sorted by value.  Spark splits large groups over
+    tasks and gathers small ones.
     """
     if not records.sparkSession.range(1).select(safe_name(F.lit(name))).first()[0]:
         raise ValueError(f"{name!r} is no name of a view")
     path, out = f"{root.rstrip('/')}/{VIEWS}/{name}", records
     if group is None:
         out.write.mode("overwrite").parquet(path)
-    else:
-        out = records.withColumn("group_value", F.get_json_object(json, f"$.{group}")).hint("rebalance", "group_value")
-        out.write.mode("overwrite").partitionBy("group_value").parquet(path)
-    return records.sparkSession.read.schema(out.schema).parquet(path)
+        return records.sparkSession.read.schema(out.schema).parquet(path)
+    value = F.get_json_object(json, f"$.{group}")
+    out = records.withColumn("group_value", value).withColumn("group_folder", F.when(F.col("group_value").isNull(), "none").otherwise(F.lower(F.hex(F.pmod(F.xxhash64("group_value"), F.lit(FOLDERS))))))
+    out.hint("rebalance", "group_folder").sortWithinPartitions("group_folder", "group_value").write.mode("overwrite").partitionBy("group_folder").parquet(path)
+    return records.sparkSession.read.schema(out.schema).parquet(path).drop("group_folder")
 
 
 def views(spark: SparkSession, root: str) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import dataclasses
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import folding, patterns
-from siftline.operators.predicates import classified
-from siftline.operators.search import content_rows, path_order
+from siftline.operators.predicates import SEARCHABLE_TYPES, classified
+from siftline.operators.search import content_rows, file_test, path_order
 from siftline.spec import SearchSpec
 
 
@@ -53,8 +54,6 @@ def _counted(text: Column, spec: SearchSpec, replacement: str, most: int | None
 
 def expanded(template: str, m) -> str:
     """A template's $1, $name and ${name} filled from a match; unknown and empty groups give nothing."""
-    import regex
-
     def group(ref) -> str:
         name = ref[1] if ref[1] is not None else ref[2]
         if ref[3]:
@@ -70,17 +69,19 @@ def expanded(template: str, m) -> str:
 def replaced(files: DataFrame, spec: SearchSpec, replacement: str, *, most_files: int | None = None, most_matches: int | None = None) -> DataFrame:
     """(full_path, matches, new_text, status) of the files that the search finds.
 
-    Files are found line by line, and rewritten as wholes; status is modified, unchanged (no match in the whole text, or
-    the same text), or failed for documents that can't be written back.  With most_files, only so many files are taken, first
+    A file is taken if one of its lines matches, and rewritten as a whole; status is modified, unchanged (no match in the whole
+    text, or the same text), or failed for documents that can't be written back.  With most_files, only so many files are taken, first
     by path, and every row has capped, whether there were more.  With most_matches, only so many of a file's matches are replaced.
     """
-    from siftline.operators.predicates import SEARCHABLE_TYPES
-
-    found = content_rows(files, spec).select("full_path").distinct()
+    looked, test = classified(files, spec).where(F.col("skip_reason").isNull()), file_test(spec)
+    if test is not None:  # one scan finds and rewrites
+        looked = looked.where(test)
+    found = (content_rows(files, spec) if test is None else looked).select("full_path").distinct()
     if most_files is not None:
         capped = found.limit(most_files + 1).agg((F.count(F.lit(1)) > most_files).alias("capped"))
         found = found.orderBy(path_order()).limit(most_files)
-    looked = classified(files, spec).where(F.col("skip_reason").isNull()).join(found, "full_path", "left_semi")
+    if test is None or most_files is not None:
+        looked = looked.join(found, "full_path", "left_semi")
     text, n = _counted(F.col("text"), spec, replacement, most_matches)
     out = looked.select("full_path", "text", F.col("extension").isin(*SEARCHABLE_TYPES).alias("document"), text.alias("new_text"), n.alias("matches"))
     status = F.when(F.coalesce("document", F.lit(False)), "failed").when((F.col("matches") == 0) | F.col("text").eqNullSafe(F.col("new_text")), "unchanged").otherwise("modified")

@@ -16,8 +16,10 @@ from siftline.operators.predicates import classified
 from siftline.spec import MAX_LINE_BYTES, MAX_RESULTS, MAX_SPANS, PREVIEW_MATCH, PREVIEW_SIDE, SearchSpec
 
 ROW = "file_name string, line_number long, column_number long, line_content string, match_preview_before string, match_preview_match string, match_preview_after string, full_path string, relative_path string, match_count long"
-#: The letter whose lower case has two characters, and a code point that is no character.
-LENGTHENED, _MARK = "\u0130", "\ufdd0"
+#: The letter whose lower case has two characters, two code points that are no characters,
+#: and a letter beyond the first plane.
+LENGTHENED, _MARK, _OTHER = "\u0130", "\ufdd0", "\ufdd1"
+_FAR = "\U0001d400"
 #: Columns of content rows, in order.
 COLUMNS = [c.split()[0] for c in ROW.split(", ")]
 
@@ -38,7 +40,9 @@ def plain(spec: SearchSpec) -> bool:
     """Whether Spark's own expressions give the exact spans."""
     if spec.regex:
         return patterns.engine_of(spec) == "fast" and not spec.whole_word and not re.search(r"[$^]|\\[bB]", spec.term)
-    return not spec.folded and not spec.whole_word and (spec.case_sensitive or spec.term.isascii())
+    # A whole word of word characters can't overlap another occurrence, so Spark's engine finds the same.
+    word = not spec.whole_word or re.fullmatch(r"\w+", spec.term, re.ASCII)
+    return not spec.folded and bool(word) and (spec.case_sensitive or spec.term.isascii())
 
 
 def prefilter(spec: SearchSpec) -> Column | None:
@@ -47,12 +51,58 @@ def prefilter(spec: SearchSpec) -> Column | None:
         return None
     if spec.case_sensitive and not spec.folded:
         return F.contains("text", F.lit(spec.term))
+    if spec.folded or not spec.case_sensitive and not spec.term.isascii():
+        return _folded_test(F.col("text"), spec) if folding.folded(spec.term, spec) else None
     # Folding case alone may map other characters to ASCII ones, which lower() does as well.
     if not spec.folded and spec.term.isascii():
         return F.contains(F.lower("text"), F.lit(spec.term.lower()))
     return None
 
 
+def _folded_test(text: Column, spec: SearchSpec) -> Column:
+    """A test that each text passes in which a folding search finds its term, exact for texts within ASCII."""
+    needle = folding.folded(spec.term, spec)
+    same = F.contains(text if spec.case_sensitive else F.lower(text), F.lit(needle)) if needle.isascii() and spec.comparison != "current" else F.rlike(text, F.lit(folding.superset(needle)))
+    return F.when(_within_ascii(text), same).otherwise(F.rlike(text, F.lit(folding.superset(needle))))
+
+
+def _within_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def file_test(spec: SearchSpec) -> Column | None:
+    """A test on whole texts that just the files with matching lines pass, without a row for each line; null where Spark's
+    expressions can't tell."""
+    if spec.blank or spec.line_limits or not plain(spec):
+        return None
+    if spec.regex:
+        rx = patterns.java_regex(spec.term, spec.case_sensitive)
+        return F.exists(line_array(F.col("text")), lambda line: F.rlike(line, F.lit(rx)))
+    # Lines have no line ends, so a literal that has one is in none; any other is in a line if it is in the text.
+    if spec.whole_word:
+        return F.rlike(_compared(F.col("text"), spec), F.lit(_whole(spec)))
+    return F.lit(False) if re.search(r"[\r\n]", spec.term) else prefilter(spec)
+
+
+def _compared(text: Column, spec: SearchSpec) -> Column:
+    """What a plain literal is looked for in.  The one letter whose lower case is longer brings a mark, which is taken off its
+    place again; marks that are there go first."""
+    if spec.case_sensitive:
+        return text
+    return F.lower(F.replace(F.replace(text, F.lit(_MARK), F.lit(_OTHER)), F.lit(LENGTHENED), F.lit(f"i{_MARK}")))
+
+
+def _whole(spec: SearchSpec) -> str:
+    """A plain literal between characters that are in no word.
+
+    Without regard to case, marks behind a letter belong to it, and the mark of _compared() to the letter before.  A letter
+    beyond the first plane is in the pattern itself, as only then the engine looks behind at whole code points.
+    """
+    if spec.case_sensitive:
+        return rf"(?<![\p{{L}}\p{{N}}_{_FAR}]){spec.term}(?![\p{{L}}\p{{N}}_])"
+    return rf"(?<![\p{{L}}\p{{N}}_{_MARK}{_FAR}]){spec.term.lower()}[\p{{Mn}}\p{{Mc}}]*+(?![\p{{L}}\p{{N}}_])"
+
+
 def _places(spec: SearchSpec) -> tuple[Column, Column, Column]:
     """(count, start, length) of a line's matches and its first match, by Spark's expressions; start counts from 0."""
     line = F.col("line")
@@ -61,16 +111,18 @@ def _places(spec: SearchSpec) -> tuple[Column, Column, Column]:
         head = F.regexp_extract(line, f"(?s){rx[: rx.index(')') + 1]}^(.*?)((?-s:{rx[rx.index(')') + 1 :]}))", 1)
         first = F.regexp_substr(line, F.lit(rx))
         return F.regexp_count(line, F.lit(rx)).cast("long"), F.length(head), F.length(first)
-    if spec.case_sensitive:
-        text, term = line, spec.term
-    else:  # the one letter whose lower case is longer brings a mark, which is taken off its place again
-        text, term = F.lower(F.replace(line, F.lit(LENGTHENED), F.lit(f"i{_MARK}"))), spec.term.lower()
-    n = ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("long")
-    start = F.call_function("instr", text, F.lit(term)) - 1
+    text, term = _compared(line, spec), spec.term if spec.case_sensitive else spec.term.lower()
+    if spec.whole_word:
+        n = F.regexp_count(text, F.lit(_whole(spec))).cast("long")
+        start = F.length(F.regexp_extract(text, f"(?s)^(.*?){_whole(spec)}", 1))
+        length = F.length(F.regexp_substr(text, F.lit(_whole(spec))))
+    else:
+        n = ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("long")
+        start, length = F.call_function("instr", text, F.lit(term)) - 1, F.lit(len(spec.term))
     if not spec.case_sensitive:
         before = F.substring(text, F.lit(1), start)
         start = F.length(F.replace(before, F.lit(_MARK), F.lit("")))
-    return n, start, F.lit(len(spec.term))
+    return n, start, length
 
 
 def matching_lines(files: DataFrame, spec: SearchSpec) -> DataFrame:
@@ -85,13 +137,16 @@ def matching_lines(files: DataFrame, spec: SearchSpec) -> DataFrame:
         count, start, length = _places(spec)
         if spec.regex:
             lines = lines.where(F.rlike("line", F.lit(patterns.java_regex(spec.term, spec.case_sensitive))))
+        elif spec.whole_word:
+            lines = lines.where(F.contains(_compared(F.col("line"), spec), F.lit(spec.term if spec.case_sensitive else spec.term.lower())))
         out = lines.withColumn("match_count", F.least(count, F.lit(MAX_SPANS).cast("long")) if spec.line_limits else count).where("match_count > 0")
         return out.withColumn("start", start).withColumn("length", length)
     if spec.regex and patterns.engine_of(spec) == "fast":
         # Spark's engine rules out most lines before any reach Python.
         lines = lines.where(F.rlike("line", F.lit(patterns.java_regex(spec.term, spec.case_sensitive))))
     elif test is not None:
-        lines = lines.where(F.contains(F.lower("line"), F.lit(spec.term.lower())))
+        folds = spec.folded or not spec.case_sensitive and not spec.term.isascii()
+        lines = lines.where(_folded_test(F.col("line"), spec) if folds else F.contains(F.lower("line"), F.lit(spec.term.lower())))
     out = lines.withColumn("__spans", folding.spans_column(F.col("line"), spec)).where(F.size("__spans") > 0)
     first = F.element_at("__spans", 1)
     return out.select("*", F.size("__spans").cast("long").alias("match_count"), first["start"].alias("start"), (first["end"] - first["start"]).alias("length")).drop("__spans")

@@ -83,14 +83,14 @@ def literal_ci(spark, sf_dir):
 
 @query(
     "WITH "
-    + LINES.replace("FROM documents)", "FROM (SELECT * REPLACE ('\u0130\u0130 ' || replace(text, chr(10), chr(10) || '\u0130\u0130 ') AS text) FROM documents))")
+    + LINES.replace("FROM documents)", "FROM (SELECT * REPLACE ('\u0130\ufdd0\u0130 ' || replace(text, chr(10), chr(10) || '\u0130\ufdd0\u0130 ') AS text) FROM documents))")
     + """ SELECT relative_path, line_number, strpos(lower(replace(line, '\u0130', 'x')), 'license')::BIGINT AS column_number,
   substr(line, strpos(lower(replace(line, '\u0130', 'x')), 'license'), 7) AS match_preview_match FROM l WHERE contains(lower(replace(line, '\u0130', 'x')), 'license')"""
 )
 def literal_ci_places(spark, sf_dir):
-    """Places in lines that begin with letters whose lower case is longer than they are."""
+    """Places in lines that begin with letters whose lower case is longer than they are, and a code point that is no character."""
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    text = F.concat(F.lit("\u0130\u0130 "), F.replace("text", F.lit("\n"), F.lit("\n\u0130\u0130 ")))
+    text = F.concat(F.lit("\u0130\ufdd0\u0130 "), F.replace("text", F.lit("\n"), F.lit("\n\u0130\ufdd0\u0130 ")))
     return search.content_rows(corpus.documents(table.withColumn("text", text)), LICENSE).select("relative_path", "line_number", "column_number", "match_preview_match")
 
 
@@ -551,10 +551,12 @@ def record_browse(spark, sf_dir):
     return catalog.browsed(records.filtered(events(spark, sf_dir), [("k", "gt", "50")]), "event_id").select("event_id", "event_type")
 
 
-@query("SELECT json_extract_string(props, '$.k') AS group_value, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY ALL")
+@query("SELECT CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 7 = 1 THEN '' ELSE json_extract_string(props, '$.k') END AS group_value, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY ALL")
 def record_materialized_view(spark, sf_dir):
-    """A view in folders by a field, written to the shared folder and read from there."""
-    written = catalog.materialized(events(spark, sf_dir), shared_folder(spark), f"by_k-{uuid.uuid4().hex}", "k")
+    """A view in folders by a field, written to the shared folder and read from there; the field is missing or empty in some."""
+    k = F.col("event_id") % 7
+    rows = events(spark, sf_dir).withColumn("props", F.when(k == 0, F.lit("{}")).when(k == 1, F.lit('{"k": ""}')).otherwise(F.col("props")))
+    written = catalog.materialized(rows, shared_folder(spark), f"by_k-{uuid.uuid4().hex}", "k")
     return written.groupBy("group_value").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
 
 

@@ -133,3 +133,13 @@ def test_coverage_and_hints(spark):
     assert evidence.hints(SearchSpec("x", respect_ignore=False)) == []
     assert evidence.hints(SearchSpec("x", exclude_dirs=" a "), "/mnt/x") == ["ignore files are respected", "folders left out: a", "a mounted share or removable medium: /mnt/x"]
     assert aggregate is not None
+
+
+def test_groups_of_empty_and_missing_values(spark, tmp_path):
+    rows = [("a", '{"k": ""}'), ("b", "{}"), ("c", '{"k": "x/y=z %"}'), ("d", '{"k": "__HIVE_DEFAULT_PARTITION__"}'), ("e", None), ("f", '{"k": ""}')]
+    view = catalog.materialized(spark.createDataFrame(rows, "record string, props string"), str(tmp_path), "v", "k")
+    got = {r.record: r.group_value for r in view.collect()}
+    assert got == {"a": "", "b": None, "c": "x/y=z %", "d": "__HIVE_DEFAULT_PARTITION__", "e": None, "f": ""}
+    many = spark.range(3000).select(F.col("id").cast("string").alias("record"), F.format_string('{"k": "%s"}', F.col("id")).alias("props"))
+    view = catalog.materialized(many, str(tmp_path), "many", "k")
+    assert view.select("group_value").distinct().count() == 3000 and len(list((tmp_path / "views/many").glob("group_folder=*"))) == catalog.FOLDERS

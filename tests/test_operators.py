@@ -1,7 +1,10 @@
 import dataclasses
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from siftline.functions import folding
 from siftline.operators import aggregate, context, evidence, records, replace, search, view
 from siftline.operators import predicates as p
 from siftline.sinks import rows as sinks
@@ -170,3 +173,65 @@ def test_line_limits_in_both_tiers(spark):
         assert got(dataclasses.replace(spec, line_limits=True)) == {2: 10_000}
     rows = replace.replaced(f, SearchSpec("the", whole_word=True), "a").select("matches").collect()
     assert [r.matches for r in rows] == [10_051]
+
+
+def test_places_beside_code_points_that_are_no_characters(spark):
+    lines = ["﷐﷐ license here", "İ﷐İ license", "﷑ LICENSE ﷐", "ﷰ license"]
+    table = spark.createDataFrame([(f"{k}.txt", t) for k, t in enumerate(lines)], "p string, t string")
+    rows = search.content_rows(corpus.as_files(table, F.col("p"), F.col("t")), SearchSpec("license")).collect()
+    assert {r.file_name: (r.column_number, r.match_preview_match) for r in rows} == {f"{k}.txt": (t.lower().replace("i̇", "i").index("license") + 1, t[t.lower().replace("i̇", "i").index("license") :][:7]) for k, t in enumerate(lines)}
+
+
+@pytest.mark.parametrize("spec", [SearchSpec("b\nc"), SearchSpec("a[^x]b", regex=True), SearchSpec("b$", regex=True), SearchSpec("B", case_sensitive=True), SearchSpec("b"), SearchSpec("b", whole_word=True), SearchSpec(" ")])
+def test_replacing_takes_files_whose_lines_match(spark, spec):
+    """In one scan where Spark's expressions tell, and the same files as by lines."""
+    texts = ["a\nb", "a b\r\nc", "B", "xb", None, "", "a-b", "c\nb\nc"]
+    files = corpus.as_files(spark.createDataFrame([(f"{k}.txt", t) for k, t in enumerate(texts)], "p string, t string"), F.col("p"), F.col("t"))
+    got = {r.full_path for r in replace.replaced(files, spec, "z").collect()}
+    assert got == {r.full_path for r in search.content_rows(files, spec).select("full_path").distinct().collect()}
+    assert {r.full_path for r in replace.replaced(files, spec, "z", most_files=2).collect()} == set(sorted(got)[:2])
+    if search.file_test(spec) is not None:
+        plan = replace.replaced(files, spec, "z")._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+
+
+FOLDS = [SearchSpec(t, **o) for t in ("ete", "É", "straße", "ς", "i", "ﬁ", "가", "½", "ée") for o in ({"diacritic_sensitive": False}, {"normalization": "NFC"}, {"normalization": "NFKD"}, {"normalization": "NFKC", "diacritic_sensitive": False}, {"comparison": "current", "culture": "tr"}, {"diacritic_sensitive": False, "case_sensitive": True}, {"diacritic_sensitive": False, "whole_word": True}, {})]
+
+
+def test_coarse_forms_keep_what_searches_fold():
+    """For every code point, folding it by any search changes nothing of its coarse form; the forms are those of all planes."""
+    specs = {dataclasses.replace(s, term="x") for s in FOLDS}
+    one, none, more = folding._coarse_forms()
+    known = {c: f for f, codes in one.items() for c in codes} | dict.fromkeys(none, "") | {c: f for f, c in more}
+    for code in (*range(0xD800), *range(0xE000, 0x110000)):
+        char = chr(code)
+        form = folding.coarse(char)
+        assert known.get(code, char) == form and folding.coarse(form) == form
+        if form != char or char.lower() != char:
+            assert all(folding.coarse(folding.folded(char, s)) == form for s in specs), hex(code)
+
+
+def test_folded_searches_lose_nothing(spark):
+    """Spark's test before Python's matching, against matching every line."""
+    rng = random.Random(6)
+    alphabet = ["e", "t", "E", "é", "É", "é", "ı", "I", "İ", "i̇", "ß", "ẞ", "s", "S", "Σ", "ς", "σ", "ﬁ", "f", "i", "가", "ᄀ", "ᅡ", "½", "1⁄2", " ", "ｅ", "𝐞", "̣", "ṭ", "straße", "STRASSE", "-", "été"]
+    lines = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 9))) for _ in range(1500)]
+    table = corpus.as_files(spark.createDataFrame([(f"{k}.txt", t) for k, t in enumerate(lines)], "p string, t string"), F.col("p"), F.col("t")).cache()
+    for spec in (s for s in FOLDS if not search.plain(s)):
+        got = {r.file_name: (r.match_count, r.start, r.length) for r in search.matching_lines(table, spec).collect()}
+        spans = {f"{k}.txt": folding.finder(spec)(t) for k, t in enumerate(lines)}
+        assert got == {n: (len(s), s[0][0], s[0][1] - s[0][0]) for n, s in spans.items() if s}, spec
+
+
+@pytest.mark.parametrize("options", [{}, {"case_sensitive": True}])
+def test_whole_words_in_spark(spark, options):
+    rng = random.Random(2)
+    alphabet = ["the", "The", "THE", " ", "_", "é", "İ", "i", "-", "3", "²", "﷐", "𝐞", "x", "́", "字"]
+    lines = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 10))) for _ in range(1500)]
+    table = corpus.as_files(spark.createDataFrame([(f"{k}.txt", t) for k, t in enumerate(lines)], "p string, t string"), F.col("p"), F.col("t"))
+    spec = SearchSpec("the", whole_word=True, **options)
+    assert search.plain(spec)
+    got = {r.file_name: (r.match_count, r.start, r.length) for r in search.matching_lines(table, spec).collect()}
+    spans = {f"{k}.txt": folding.finder(spec)(t) for k, t in enumerate(lines)}
+    assert got == {n: (len(s), s[0][0], s[0][1] - s[0][0]) for n, s in spans.items() if s}
+    assert {r.full_path for r in replace.replaced(table, spec, "z").collect()} == {f"/corpus/{n}" for n, s in spans.items() if s}

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftline.functions import folding, patterns
 from siftline.operators.replace import expanded
@@ -72,3 +73,25 @@ def test_spec_checks():
         SearchSpec("é" * 3000).checked()
     with pytest.raises(SpecError):
         SearchSpec("a", engine="other").checked()
+
+
+CLASSES = [r"\p{Greek}+", r"\p{Cyrillic}", r"\p{Latin}+", r"\p{Script=Han}", r"\p{sc=Hiragana}", r"\p{L}+", r"\pL", r"\p{Lu}", r"\p{Letter}", r"\p{Uppercase_Letter}", r"\p{gc=Nd}", r"\P{Greek}", r"\p{^Greek}", r"[\p{Greek}\d]+", r"[^\p{Latin}\s]+", r"\p{Alphabetic}+", r"\p{White_Space}", r"\\p", r"\PN", r"\p{Any}", r"\p{Currency_Symbol}"]
+
+
+@pytest.mark.parametrize("pattern", CLASSES)
+def test_unicode_classes_in_spark(spark, pattern):
+    """Names of classes mean in Spark's engine what they mean in Python's."""
+    import regex
+
+    lines = ["Ωmega αβγ 12", "Привет мир", "漢字 ひらがな", "plain Text x", "€ 5 ٣", "", "\\p", "É É"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, line string")
+    got = {r.i: r.n for r in df.select("i", F.regexp_count("line", F.lit(patterns.java_regex(pattern, True))).alias("n")).collect()}
+    assert got == {i: len(regex.findall(pattern, t)) for i, t in enumerate(lines)}
+
+
+def test_patterns_that_one_engine_refuses(spark):
+    for pattern in (r"\p{Klingon}", r"[[:alpha:]&&", "(?<n>a)(?<n>b)"):
+        with pytest.raises(SpecError):
+            spec = SearchSpec(pattern, regex=True)
+            patterns.engine_of(spec)
+            patterns.java_regex(spec.term, True)
