@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,7 +108,7 @@ def test_feed_and_index(spark, tmp_path):
 
     def run():
         feed.followed(feed.changed_records(spark, str(root)), index, str(tmp_path / "cp")).awaitTermination(120)
-        return {(r.collection, r.record, r.props) for r in feed.current(spark.read.parquet(index)).collect()}
+        return {(r.collection, r.record, r.props) for r in feed.current(feed.entries(spark, index)).collect()}
 
     assert run() == {("notes", "a.md", '{"k":"1"}')}
     write(root, "notes/b.md", "---\nk: 2\n---\n")
@@ -143,3 +145,30 @@ def test_groups_of_empty_and_missing_values(spark, tmp_path):
     many = spark.range(3000).select(F.col("id").cast("string").alias("record"), F.format_string('{"k": "%s"}', F.col("id")).alias("props"))
     view = catalog.materialized(many, str(tmp_path), "many", "k")
     assert view.select("group_value").distinct().count() == 3000 and len(list((tmp_path / "views/many").glob("group_folder=*"))) == catalog.FOLDERS
+
+
+def test_feed_follows_edits_deletions_and_renames(spark, tmp_path):
+    root, index = tmp_path / "db", str(tmp_path / "index")
+
+    def run():
+        feed.followed(feed.changed_records(spark, str(root)), index, str(tmp_path / "cp")).awaitTermination(120)
+        return {(r.record, r.props) for r in feed.swept(spark, str(root), index).collect()}
+
+    for k in range(4):
+        write(root, f"notes/{k}.md", f"---\nk: {k}\n---\n")
+    assert run() == {(f"{k}.md", f'{{"k":"{k}"}}') for k in range(4)}
+    (root / "notes/0.md").unlink()
+    assert run() == {(f"{k}.md", f'{{"k":"{k}"}}') for k in (1, 2, 3)}
+    (root / "notes/1.md").rename(root / "notes/one.md")
+    assert run() == {("one.md", '{"k":"1"}'), ("2.md", '{"k":"2"}'), ("3.md", '{"k":"3"}')}
+    assert feed.merged(spark, index).count() == 3 and len(list((tmp_path / "index").iterdir())) == 1
+    write(root, "notes/0.md", "---\nk: again\n---\n")
+    (root / "notes/2.md").unlink()
+    assert run() == {("0.md", '{"k":"again"}'), ("one.md", '{"k":"1"}'), ("3.md", '{"k":"3"}')}
+    assert feed.merged(spark, index).count() == 3 == feed.merged(spark, index).count()
+    (root / "notes/3.md").unlink()
+    assert {r.record for r in feed.swept(spark, str(root), index).collect()} == {"0.md", "one.md"}
+    assert {r.record for r in feed.merged(spark, index).collect()} == {"0.md", "one.md"}
+    time.sleep(1.1)  # so that the time of change differs
+    write(root, "notes/one.md", "---\nk: edited\n---\n")
+    assert run() == {("0.md", '{"k":"again"}'), ("one.md", '{"k":"edited"}')}
