@@ -104,6 +104,67 @@ def schema_json(rules: list[dict]) -> str:
     return json.dumps([{"name": r["name"], "type": r.get("type", "string"), "required": bool(r.get("required")), "range": r.get("range")} for r in rules], ensure_ascii=False)
 
 
+RULES = "array<struct<name:string,type:string,required:boolean,range:array<double>>>"
+_BLOCK = r"(?s)```json\r?\n(.*?)```"
+#: What the values of each type look like, and what is said of others.
+TYPES = {"integer": (r"\A-?\d+\z", "not a number"), "number": (r"\A-?\d+(\.\d+)?([eE][+-]?\d+)?\z", "not a number"), "boolean": (r"\A(true|false)\z", "not a boolean"), "array": (r"(?s)\A\[.*\]\z", "not an array")}
+
+
+def write_schema(spark: SparkSession, root: str, collection: str, rules: list[dict], about: str = "") -> str:
+    """Writes a collection's schema.md, its rules as a block of JSON, by way of Spark's file systems; its path."""
+    if not spark.range(1).select(safe_name(F.lit(collection))).first()[0]:
+        raise ValueError(f"{collection!r} is no name of a collection")
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{collection}/{SCHEMA}")
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(f"# {collection}\n\n{about}\n\n```json\n{schema_json(rules)}\n```\n".encode())
+    finally:
+        out.close()
+    return where.toString()
+
+
+def schemas_of(spark: SparkSession, root: str) -> DataFrame:
+    """(collection, rules) of the schema files below a root; rules are null where a file has no block that can be read."""
+    raw = spark.read.option("pathGlobFilter", SCHEMA).option("recursiveFileLookup", True).text(root, wholetext=True)
+    path = F.url_decode(F.replace(F.regexp_replace(F.col("_metadata.file_path"), F.lit("^file:/*"), F.lit("/")), F.lit("+"), F.lit("%2B")))
+    clean = root.rstrip("/") + "/"
+    rest = F.when(F.startswith(path, F.lit(clean)), F.substring(path, F.lit(len(clean) + 1), F.length(path)))
+    name = F.regexp_extract(rest, rf"\A([^/]+)/{SCHEMA}\z", 1)
+    out = raw.select(name.alias("collection"), F.from_json(F.regexp_extract("value", _BLOCK, 1), RULES).alias("rules"))
+    return out.where((F.col("collection") != "") & ~F.startswith("collection", F.lit(".")) & (F.col("collection") != VIEWS))
+
+
+def _fields(props: Column) -> Column:
+    return F.from_json(props, "map<string,string>")
+
+
+def validated(records: DataFrame, schemas: DataFrame) -> DataFrame:
+    """(collection, record, severity, field, message) of each rule of its own collection's schema that a record breaks.
+
+    records has collection, record and props.  Collections without a schema, or with one that can't be read, break none.  A
+    value out of range is a warning, all else is an error; one rule says one thing of a record.
+    """
+    rules = schemas.select("collection", F.explode("rules").alias("rule"))
+    each = records.select("collection", "record", _fields(F.col("props")).alias("fields")).join(rules, "collection")
+    value, rule = F.try_element_at("fields", F.col("rule.name")), F.col("rule")
+    said = F.when(value.isNull(), F.when(F.coalesce(rule["required"], F.lit(False)), F.struct(F.lit("error").alias("severity"), F.lit("missing").alias("message"))))
+    for kind, (looks, message) in TYPES.items():
+        said = said.when((rule["type"] == kind) & ~F.rlike(value, F.lit(looks)), F.struct(F.lit("error").alias("severity"), F.lit(message).alias("message")))
+    number = value.try_cast("double")
+    outside = number.isNotNull() & (F.size(rule["range"]) == 2) & ~number.between(F.get(rule["range"], 0), F.get(rule["range"], 1))
+    said = said.when(outside, F.struct(F.lit("warning").alias("severity"), F.lit("out of range").alias("message")))
+    return each.select("collection", "record", rule["name"].alias("field"), said.alias("said")).where("said IS NOT NULL").select("collection", "record", "said.severity", "field", "said.message")
+
+
+def typed(records: DataFrame, rules: list[dict]) -> DataFrame:
+    """collection, record and a column for each rule, of its type; null where a value is none of that type."""
+    kinds = {"integer": "long", "number": "double", "boolean": "boolean"}
+    fields = records.select("collection", "record", _fields(F.col("props")).alias("__fields"))
+    value = lambda r: F.try_element_at("__fields", F.lit(r["name"]))
+    column = lambda r: F.from_json(value(r), "array<string>") if r.get("type") == "array" else value(r).try_cast(kinds.get(r.get("type"), "string"))
+    return fields.select("collection", "record", *(column(r).alias(r["name"]) for r in rules))
+
+
 def browsed(records: DataFrame, by: str, most: int = BROWSE) -> DataFrame:
     """The first records in order of their paths, as many as a browser shows."""
     return records.orderBy(by).limit(most)

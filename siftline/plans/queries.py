@@ -578,6 +578,40 @@ def collection_schema(spark, sf_dir):
     return spark.sql("SELECT inline(from_json(:rules, 'array<struct<name:string,type:string>>'))", args={"rules": rules})
 
 
+@query(
+    """WITH c AS (SELECT *, CASE WHEN c_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS collection FROM customer)
+SELECT collection, c_custkey::VARCHAR AS record, 'warning' AS severity, 'balance' AS field, 'out of range' AS message FROM c WHERE collection = 'even' AND NOT c_acctbal BETWEEN 0 AND 5000
+UNION ALL SELECT collection, c_custkey::VARCHAR, 'error', 'segment', 'missing' FROM c WHERE collection = 'even' AND c_custkey % 5 = 0
+UNION ALL SELECT collection, c_custkey::VARCHAR, 'error', 'name', 'not a number' FROM c WHERE collection = 'odd'
+UNION ALL SELECT collection, c_custkey::VARCHAR, 'warning', 'key', 'out of range' FROM c WHERE collection = 'odd' AND c_custkey > 100"""
+)
+def record_schemas(spark, sf_dir):
+    """Records of two collections by the rules of their own schema files."""
+    root = f"{shared_folder(spark)}/collections-{uuid.uuid4().hex}"
+    catalog.write_schema(spark, root, "even", [{"name": "segment", "required": True}, {"name": "balance", "type": "number", "range": [0, 5000]}])
+    catalog.write_schema(spark, root, "odd", [{"name": "name", "type": "integer"}, {"name": "key", "type": "integer", "range": [0, 100]}])
+    d = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    segment = F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment"))
+    props = F.to_json(F.struct(F.col("c_name").alias("name"), segment.alias("segment"), F.col("c_acctbal").cast("string").alias("balance"), F.col("c_custkey").cast("string").alias("key")))
+    rows = d.select(F.when(F.col("c_custkey") % 2 == 0, "even").otherwise("odd").alias("collection"), F.col("c_custkey").cast("string").alias("record"), props.alias("props"))
+    return catalog.validated(rows, catalog.schemas_of(spark, root))
+
+
+@query("SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g') || ' ' || chr(10) WHEN doc_id % 3 = 1 THEN '# Entries' || chr(10) || 'a.txt' || chr(10) || '# Contents' || chr(10) || '--- a.txt ---' || chr(10) || text || chr(10) ELSE text END) AS text_md5 FROM documents WHERE text IS NOT NULL")
+def docs_extract_all(spark, sf_dir):
+    """Texts of the whole table as office files, archives and rich text, read again by the table function of SQL."""
+
+    @F.pandas_udf("binary")
+    def as_file(ids: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([extract.office_file(t) if i % 3 == 0 else extract.archive({"a.txt": t}) if i % 3 == 1 else extract.rich_text_of(t).encode("ascii") for i, t in zip(ids, texts)])
+
+    sql.register_tables(spark)
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    path = F.concat(F.lit("a."), F.element_at(F.array(*map(F.lit, ("docx", "zip", "rtf"))), (F.col("doc_id") % 3 + 1).cast("int")))
+    d.select("doc_id", path.alias("path"), as_file("doc_id", "text").alias("content")).createOrReplaceTempView("files_to_extract")
+    return spark.sql("SELECT doc_id, md5(e.text) AS text_md5 FROM files_to_extract, LATERAL extract_text(path, content) e")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: files that hold a term, with their counts and first matches."""
     return file_aggregate(spark, sf_dir)

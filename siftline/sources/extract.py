@@ -127,6 +127,22 @@ def rich_text_of(text: str) -> str:
     return r"{\rtf1\uc0{\fonttbl{\f0 Arial;}}" + re.sub(r"[\\{}\r\n]|[^\x00-\x7F]", escaped, text) + "}"
 
 
+def archive(entries: dict[str, str]) -> bytes:
+    """Texts as an archive."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in entries.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def office_file(text: str) -> bytes:
+    """A text as a word processor's file of one paragraph; characters that XML has no place for are left out."""
+    clean = re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", "", text)
+    escaped = clean.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace("\r", "&#13;")
+    return archive({"word/document.xml": f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="x"><w:p>{escaped}</w:p></w:document>'})
+
+
 def pdf_text(content: bytes) -> str:
     """By the pdftotext program, if there is one."""
     try:

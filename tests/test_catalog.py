@@ -172,3 +172,23 @@ def test_feed_follows_edits_deletions_and_renames(spark, tmp_path):
     time.sleep(1.1)  # so that the time of change differs
     write(root, "notes/one.md", "---\nk: edited\n---\n")
     assert run() == {("0.md", '{"k":"again"}'), ("one.md", '{"k":"edited"}')}
+
+
+def test_schema_files(spark, tmp_path):
+    root = str(tmp_path)
+    rules = [{"name": "k", "type": "integer", "required": True, "range": [0, 9]}, {"name": "t", "type": "array"}, {"name": "b", "type": "boolean"}, {"name": "a.b", "type": "string"}]
+    catalog.write_schema(spark, root, "notes", rules, "What notes hold.")
+    write(tmp_path, "broken/schema.md", "```json\n[{\n```")
+    write(tmp_path, "plain/schema.md", "no rules")
+    write(tmp_path, "views/schema.md", "```json\n[]\n```")
+    write(tmp_path, "notes/deep/schema.md", "```json\n[]\n```")
+    got = {r.collection: r.rules and [x.asDict() for x in r.rules] for r in catalog.schemas_of(spark, root).collect()}
+    assert got == {"notes": [{"range": None, "required": False, "type": "string"} | r for r in rules], "broken": None, "plain": None}
+    values = ['{"k": 5}', "{}", '{"k": "x", "t": "y", "b": "yes"}', '{"k": 10, "t": "[1]", "b": true, "a.b": "z"}', None, '{"k": null, "t": [2]}']
+    records = spark.createDataFrame([("notes", str(i), v) for i, v in enumerate(values)] + [("plain", "p", "{}"), ("none", "n", "{}")], "collection string, record string, props string")
+    said = {(r.record, r.severity, r.field, r.message) for r in catalog.validated(records, catalog.schemas_of(spark, root)).collect()}
+    assert said == {("1", "error", "k", "missing"), ("2", "error", "k", "not a number"), ("2", "error", "t", "not an array"), ("2", "error", "b", "not a boolean"), ("3", "warning", "k", "out of range"), ("4", "error", "k", "missing"), ("5", "error", "k", "missing")}
+    rows = {r.record: tuple(r)[2:] for r in catalog.typed(records.where("collection = 'notes'"), rules).collect()}
+    assert rows["3"] == (10, ["1"], True, "z") and rows["2"] == (None, None, True, None) and rows["4"] == (None,) * 4
+    with pytest.raises(ValueError):
+        catalog.write_schema(spark, root, "../x", rules)
