@@ -258,14 +258,20 @@ def score(docs: DataFrame, group: Column, *, order: int = 2, steps: int = STEPS,
         bucket, step, tokens, sum_ = _cells(_bucket(history) if history else np.zeros(len(gram[0]), np.int64), p, steps)
         return pa.table({"bucket": pa.array(bucket), "steps": pa.array(step.tolist(), pa.list_(pa.int64())), "tokens": pa.array(tokens, pa.int64()), **{f"p{k}": pa.array(sum_[:, k]) for k in range(order + 1)}})
 
-    # A cell per bucket and step of each order: bounded by their ranges, not by the corpus.
+    # A cell per bucket and step of each order: bounded by their ranges, not by the corpus.  Each bucket's weights are learned
+    # in a task of their own; only they come to the driver.
     pairs = lambda p: p.groupBy("pack").cogroup(answers.join(p.select("pack"), "pack", "left_semi").groupBy("pack"))
     names = [f"p{k}" for k in range(order + 1)]
     cells = pairs(only(packs, DELETED)).applyInArrow(each(gathered, "counted"), "bucket long, steps array<long>, tokens long" + "".join(f", {c} double" for c in names))
-    cells = cells.groupBy("bucket", "steps").agg(*(F.sum(c).alias(c) for c in ("tokens", *names))).drop("steps").toArrow()
-    tokens = np.asarray(cells.column("tokens").combine_chunks())
-    weights = learned(np.asarray(cells.column("bucket").combine_chunks()), np.stack([np.asarray(cells.column(c).combine_chunks()) for c in names], 1) / np.maximum(tokens, 1)[:, None], tokens)
-    del cells, tokens
+    cells = cells.groupBy("bucket", "steps").agg(*(F.sum(c).alias(c) for c in ("tokens", *names))).select("bucket", "tokens", *names)
+
+    def mixture(table: pa.Table) -> pa.Table:
+        tokens = table.column("tokens").to_numpy()
+        shares = np.stack([table.column(c).to_numpy() for c in names], 1) / np.maximum(tokens, 1)[:, None]
+        rows = sorted(learned(table.column("bucket").to_numpy(), shares, tokens).items())
+        return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int64()), "weights": pa.array([w.tolist() for _, w in rows], pa.list_(pa.float64()))})
+
+    weights = {r["bucket"]: np.array(r["weights"]) for r in cells.groupBy("bucket").applyInArrow(mixture, "bucket long, weights array<double>").collect()}
     n, v = float(sums["n"]), float(sums["v"])
 
     def scored(table, grp, g, gram, history):

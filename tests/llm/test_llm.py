@@ -782,3 +782,11 @@ def test_joinable_sends_only_the_nodes_of_a_bucket(spark, monkeypatch):
         for i, a in enumerate(sets):
             root[i] = min(root[j] for j, b in enumerate(sets) if 100 * len(a & b) >= 80 * len(a | b))
     assert [got[i] for i in range(len(texts))] == root
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5000])
+def test_order_of_hashes(n):
+    """As a stable sort of places, also where hashes differ in their lowest bits only."""
+    rng = np.random.default_rng(n)
+    for a in (rng.integers(0, 1 << 63, n, dtype=np.uint64), rng.integers(0, 9, n).astype(np.uint64), np.uint64((1 << 64) - 1) - rng.integers(0, 50, n).astype(np.uint64)):
+        assert (bytewords.order_of(a) == np.argsort(a, kind="stable")).all() and (bytewords.order_of(a, alike=True) == np.argsort(a, kind="stable")).all()
