@@ -36,3 +36,8 @@ def total(rows: DataFrame) -> DataFrame:
 
 def distinct_files(rows: DataFrame) -> DataFrame:
     return rows.select("full_path").distinct()
+
+
+def files_in_order(rows: DataFrame) -> DataFrame:
+    """The files that have rows, each once, in order of their paths' components."""
+    return distinct_files(rows).orderBy(F.split("full_path", "/"))

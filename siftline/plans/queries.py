@@ -12,6 +12,7 @@ from siftline.functions import folding, sql
 from siftline.operators import aggregate, catalog, context, evidence, records, replace, search, view
 from siftline.operators import predicates as p
 from siftline.sinks import rows as sinks
+from siftline.sinks import saved
 from siftline.sources import corpus, decode, extract, grep_output, ignore, trigram_index
 from siftline.sources.shared import shared_folder
 from siftline.spec import SearchSpec
@@ -612,6 +613,25 @@ def docs_extract_all(spark, sf_dir):
     return spark.sql("SELECT doc_id, md5(e.text) AS text_md5 FROM files_to_extract, LATERAL extract_text(path, content) e")
 
 
+@query(
+    """WITH c AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer)
+SELECT id, name, segment FROM c WHERE id % 3 = 1 UNION ALL SELECT id + 1000000, upper(name), 'new' FROM c WHERE id % 3 = 0"""
+)
+def saved_records(spark, sf_dir):
+    """Rows saved by name, a third of them put again under a name of other case, a third removed."""
+    schema, path = "id long, name string, segment string", f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    saved.put(rows, path, schema, "name")
+    saved.put(rows.where("id % 3 = 0").select((F.col("id") + 1_000_000).alias("id"), F.upper("name").alias("name"), F.lit("new").alias("segment")), path, schema, "name")
+    saved.remove(rows.where("id % 3 = 2").select(F.lower("name").alias("name")), path, schema, "name")
+    return saved.saved(spark, path, schema, "name")
+
+
+@query(f"WITH {ROWS}, j AS (SELECT full_path, line_number, to_json(r)::VARCHAR AS row, row_number() OVER (ORDER BY string_split(full_path, '/'), line_number) AS k FROM r) SELECT CASE WHEN k = 1 THEN '[' ELSE ',' END || row AS line FROM j UNION ALL SELECT CASE WHEN count(*) = 0 THEN '[]' ELSE ']' END FROM j")
+def json_array(spark, sf_dir):
+    return sinks.json_array(hits(spark, sf_dir))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: files that hold a term, with their counts and first matches."""
     return file_aggregate(spark, sf_dir)

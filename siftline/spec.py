@@ -58,6 +58,12 @@ class SearchSpec:
             raise SpecError("max_results is negative")
         return self
 
+    def for_command(self) -> SearchSpec:
+        """checked(), and not without a term: a command has to say what it looks for; other searches for nothing find nothing."""
+        if not self.term:
+            raise SpecError("the term is empty")
+        return self.checked()
+
     @property
     def blank(self) -> bool:
         return not self.term.strip()

@@ -1,4 +1,5 @@
 import dataclasses
+import json
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from siftline.functions import folding
 from siftline.operators import aggregate, context, evidence, records, replace, search, view
 from siftline.operators import predicates as p
 from siftline.sinks import rows as sinks
+from siftline.sinks import saved
 from siftline.sources import corpus, grep_output
 from siftline.spec import SearchSpec
 
@@ -235,3 +237,43 @@ def test_whole_words_in_spark(spark, options):
     spans = {f"{k}.txt": folding.finder(spec)(t) for k, t in enumerate(lines)}
     assert got == {n: (len(s), s[0][0], s[0][1] - s[0][0]) for n, s in spans.items() if s}
     assert {r.full_path for r in replace.replaced(table, spec, "z").collect()} == {f"/corpus/{n}" for n, s in spans.items() if s}
+
+
+def test_rows_as_whole_outputs(spark):
+    f = files(spark, ("b.txt", "x\nno\nx"), ("a/c.txt", "x"), ("a.txt", "x,"))
+    rows = search.content_rows(f, SearchSpec("x"))
+    got = json.loads("\n".join(r.line for r in sinks.json_array(rows).collect()))
+    assert [(r["relative_path"], r["line_number"]) for r in got] == [("d/a/c.txt", 1), ("d/a.txt", 1), ("d/b.txt", 1), ("d/b.txt", 3)]
+    assert [r.line for r in sinks.json_array(rows.limit(0)).collect()] == ["[]"]
+    table = [r.row for r in sinks.csv_table(rows).collect()]
+    assert table[0] == "File,Line,Column,Content,FullPath,MatchCount" and sorted(table[1:]) == sorted(r.row for r in sinks.csv_rows(rows).collect()) and '"x,"' in table[2]
+    assert [r.full_path for r in aggregate.files_in_order(rows).collect()] == ["/r/d/a/c.txt", "/r/d/a.txt", "/r/d/b.txt"]
+    assert sinks.exit_code_of(lambda: search.content_rows(f, SearchSpec("x").for_command())) == 0
+    assert sinks.exit_code_of(lambda: search.content_rows(f, SearchSpec("zz").for_command())) == 1
+    for bad in (lambda: search.content_rows(f, SearchSpec("").for_command()), lambda: search.content_rows(f, SearchSpec("(", regex=True)), lambda: spark.read.parquet("/none/there")):
+        assert sinks.exit_code_of(bad) == 2
+    with pytest.raises(ZeroDivisionError):
+        sinks.exit_code_of(lambda: 1 // 0)
+
+
+def test_saved_records(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(saved, "FOLDERS", 4)
+    schema, path = "name string, n long", str(tmp_path / "saved")
+    put = lambda *rows: saved.put(spark.createDataFrame(list(rows), schema), path, schema, "name", "n")
+    all_ = lambda: sorted(tuple(r) for r in saved.saved(spark, path, schema, "name").collect())
+    put(*[(f"name {k}", k) for k in range(20)], ("", 1), (None, 2), ("  ", 3), ("Ä", 4), ("ä", 5))
+    assert all_() == sorted([*((f"name {k}", k) for k in range(20)), ("Ä", 4), ("ä", 5)])
+    before = {p.name: {f.name for f in p.iterdir()} for p in (tmp_path / "saved").glob("folder=*")}
+    put(("NAME 3", 30), ("Name 3", 31))
+    after = {p.name: {f.name for f in p.iterdir()} for p in (tmp_path / "saved").glob("folder=*")}
+    assert sum(before[f] != after[f] for f in before) == 1 and ("Name 3", 31) in all_() and len(all_()) == 22
+    saved.remove(spark.createDataFrame([("nAME 4",), ("none",), (None,), ("",)], "name string"), path, schema, "name")
+    assert len(all_()) == 21 and not any(n == "name 4" for n, _ in all_())
+    for k in range(20):
+        if k % 2:
+            saved.remove(spark.createDataFrame([(f"name {k}",)], "name string"), path, schema, "name")
+    assert {n.lower() for n, _ in all_()} == {"ä"} | {f"name {k}" for k in range(0, 20, 2) if k != 4}
+    saved.clear(spark, path, schema, "name")
+    assert all_() == []
+    put(("again", 1))
+    assert all_() == [("again", 1)]
