@@ -19,15 +19,28 @@ from siftline.functions.patterns import engine_of, python_regex
 from siftline.spec import EXTENDED_SECONDS, MAX_LINE_BYTES, MAX_SPANS, SearchSpec
 
 SPANS = "array<struct<start:int,end:int>>"
-#: Cultures whose lower case differs from the root's: dotted and dotless i.
-_TURKIC = ("tr", "az")
+#: Cultures whose lower case differs from the root's: dotted and dotless i, and a dot that stays below accents.
+_TURKIC, _DOTTED = ("tr", "az"), "lt"
+#: Letters with an accent that keep their dot in Lithuanian.
+_ACCENTED = {"\u00cc": "i\u0307\u0300", "\u00cd": "i\u0307\u0301", "\u0128": "i\u0307\u0303"}
 #: Folded segments that a worker remembers.
 REMEMBERED = 1 << 16
 
 
+def _dotted(m: regex.Match) -> str:
+    """I, J or Į, and the marks behind: a dot comes first if one of them is above."""
+    above = any(unicodedata.combining(c) == 230 for c in m[2])
+    return m[1].lower() + ("\u0307" if above else "") + m[2]
+
+
 def lower_of(text: str, spec: SearchSpec) -> str:
-    if spec.comparison == "current" and (spec.culture or "").lower().split("-")[0] in _TURKIC:
+    culture = (spec.culture or "").lower().split("-")[0] if spec.comparison == "current" else ""
+    if culture in _TURKIC:
         text = text.replace("I\u0307", "i").replace("I", "\u0131").replace("\u0130", "i")
+    elif culture == _DOTTED:
+        for letter, lower in _ACCENTED.items():
+            text = text.replace(letter, lower)
+        text = regex.sub(r"([IJ\u012e])(\p{Mn}+)", _dotted, text)
     return text.lower()
 
 

@@ -197,7 +197,7 @@ def test_replacing_takes_files_whose_lines_match(spark, spec):
         assert "Join" not in plan and "Exchange" not in plan
 
 
-FOLDS = [SearchSpec(t, **o) for t in ("ete", "É", "straße", "ς", "i", "ﬁ", "가", "½", "ée") for o in ({"diacritic_sensitive": False}, {"normalization": "NFC"}, {"normalization": "NFKD"}, {"normalization": "NFKC", "diacritic_sensitive": False}, {"comparison": "current", "culture": "tr"}, {"diacritic_sensitive": False, "case_sensitive": True}, {"diacritic_sensitive": False, "whole_word": True}, {})]
+FOLDS = [SearchSpec(t, **o) for t in ("ete", "É", "straße", "ς", "i", "ﬁ", "가", "½", "ée") for o in ({"diacritic_sensitive": False}, {"normalization": "NFC"}, {"normalization": "NFKD"}, {"normalization": "NFKC", "diacritic_sensitive": False}, {"comparison": "current", "culture": "tr"}, {"comparison": "current", "culture": "lt-LT"}, {"diacritic_sensitive": False, "case_sensitive": True}, {"diacritic_sensitive": False, "whole_word": True}, {})]
 
 
 def test_coarse_forms_keep_what_searches_fold():
@@ -277,3 +277,8 @@ def test_saved_records(spark, tmp_path, monkeypatch):
     assert all_() == []
     put(("again", 1))
     assert all_() == [("again", 1)]
+
+
+@pytest.mark.parametrize(("culture", "text", "want"), [("lt", "\u00cc\u00cd\u0128", "i\u0307\u0300i\u0307\u0301i\u0307\u0303"), ("lt", "J\u0301", "j\u0307\u0301"), ("lt", "\u012e\u0323\u0300x", "\u012f\u0307\u0323\u0300x"), ("lt", "I J I\u0323", "i j i\u0323"), ("tr", "I\u0130", "\u0131i"), ("de", "I\u0301", "i\u0301")])
+def test_lower_case_of_cultures(culture, text, want):
+    assert folding.lower_of(text, SearchSpec("x", comparison="current", culture=culture)) == want
