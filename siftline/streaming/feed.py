@@ -12,8 +12,8 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from siftline.operators.catalog import fields_of, located
 
-#: Seconds between reports of counters, and rows that a view takes at once.
-COUNTERS_EVERY, ROWS_AT_ONCE = 0.25, 4096
+#: Fixed value: seconds between reports of counters.
+COUNTERS_EVERY = 0.25
 #: What an index has of a record; the batch and whether the record was gone are in its files' folders.
 ROWS = "collection string, record string, modified timestamp, props string"
 
