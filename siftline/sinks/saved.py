@@ -5,8 +5,6 @@ Names are told apart without regard to ASCII case.  Blank names and nulls are ne
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,9 +62,8 @@ def _changed(touched: DataFrame, path: str, schema: str, key: str, change) -> No
     spark = touched.sparkSession
     folders = sorted(r["f"] for r in touched.select(_folder(F.col(key)).alias("f")).distinct().collect())  # FOLDERS at most
     if folders:
-        there = [f for f in folders if _is_there(spark, f"{path}/folder={f}")]
-        parts = [spark.read.schema(schema).parquet(f"{path}/folder={f}") for f in there]
-        old = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+        there = [folder for f in folders if _is_there(spark, folder := f"{path}/folder={f}")]
+        old = spark.read.schema(schema).parquet(*there) if there else spark.createDataFrame([], schema)
         _write(change(old.where(F.col(key).isNotNull())), path, key, folders)
 
 
