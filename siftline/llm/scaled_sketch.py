@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,9 +135,9 @@ def _in_order(docs: DataFrame, identifier: str, text: str) -> DataFrame:
     rows = docs.select(F.col(identifier).alias("id"), F.col(text).alias("text")).withColumns({"known": F.col("id").isNotNull(), "h": F.xxhash64("text")})
     bounds = _bounds(rows, parts)
 
-    @F.pandas_udf("int")
-    def part_of(known: pd.Series, identifiers: pd.Series, hashes: pd.Series) -> pd.Series:
-        return pd.Series([bisect.bisect_right(bounds, _key(*k)) for k in zip(known.tolist(), identifiers.tolist(), hashes.tolist())], dtype="int32")
+    @F.arrow_udf("int")
+    def part_of(known: pa.Array, identifiers: pa.Array, hashes: pa.Array) -> pa.Array:
+        return pa.array([bisect.bisect_right(bounds, _key(*k)) for k in zip(known.to_pylist(), identifiers.to_pylist(), hashes.to_pylist())], pa.int32())
 
     rows = rows.withColumn("part", part_of("known", "id", "h"))
     heads = rows.groupBy("part").agg(F.min(F.struct("known", "id", "h")).alias("head")).orderBy("part").collect()  # a row for each part

@@ -277,6 +277,12 @@ def test_repeated_identifiers_and_rows(spark):
     assert scaled_sketch.compared(table(spark, rows).limit(0)).count() == 0
     alone = scaled_sketch.compared(table(spark, rows[-1:])).collect()
     assert len(alone) == 1 and alone[0].near_next == 1.0
+    big = [(2**60 + k, f"{k} " * 12) for k in range(60)] + [(None, "null " * 12)]
+    spark.conf.set("spark.sql.shuffle.partitions", 9)
+    after = {r.doc_id: r for r in scaled_sketch.compared(table(spark, big)).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    for i, t, e, _ in followed([(i or 0, t) for i, t in big]):
+        assert after[i or None].edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
     no_ids = scaled_sketch.compared(table(spark, [(None, "p q r s t"), (None, None)])).collect()
     assert len(no_ids) == 2
 
