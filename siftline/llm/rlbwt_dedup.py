@@ -1,6 +1,6 @@
 """Removal of long byte strings that occur elsewhere, with run-compressed Burrows-Wheeler indexes.
 
-Every window of LONG bytes has an anchor, the least of its 16-byte grams by hash; equal windows have equal anchors.
+Every window of LONG bytes has an anchor, the least of its 32-byte grams by hash; equal windows have equal anchors.
 Anchors that occur once in the corpus end the matter for their windows.  The others' windows go to buckets by anchor, as
 strings that hold each window exactly once; a pack sends equal strings once.
 
@@ -25,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.bytewords import Texts, mix, texts_of
+from siftline.llm.bytewords import Texts, mix, order_of, texts_of
 from siftline.llm.packs import bucket_bounds, buckets_for, decode, encode, packs_of, squeezed, unpacked, unsqueezed
 from siftline.llm.support import Scratch, written
 
@@ -108,7 +108,7 @@ def distinct_strings(texts: Texts, first: np.ndarray, last: np.ndarray, anchor:
     label = np.fromiter((number.setdefault(texts.data[a : b + LONG].tobytes(), len(number)) for a, b in zip(first, last)), np.int64, len(first))
     del number
     _, at, count = np.unique(label, return_index=True, return_counts=True)
-    order = np.argsort(anchor[at], kind="stable")
+    order = order_of(anchor[at])
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     return at[order], place[label], count[order]
@@ -145,7 +145,7 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cut = np.flatnonzero(text[k:] == _SEPARATOR)
         near[cut] = True
         key[cut] &= np.uint64((1 << 64) - (1 << (56 - 8 * k)))
-    order = np.argsort(key, kind="stable")
+    order = order_of(key, alike=True)
     sorted_ = key[order]
     new = np.ones(n, bool)
     new[1:] = sorted_[1:] != sorted_[:-1]
@@ -157,10 +157,14 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     last = np.ones(n, bool)
     last[:-1] = new[1:]
     open_ = np.flatnonzero(~(new & last))
-    depth = 8
+    # A round sorts by as many stretches of `depth` bytes as ranks fit into 63 bits.
+    depth, bits = 8, int(n + 1).bit_length()
+    stretches = max(2, min(4, 63 // bits))
     while len(open_):
         mine = order[open_]
-        key = rank[mine] << 32 | (rank[np.minimum(mine + depth, n)] + 1)
+        key = rank[mine]
+        for k in range(1, stretches):
+            key = key << bits | (rank[np.minimum(mine + k * depth, n)] + 1)
         by = np.argsort(key)
         key, mine = key[by], mine[by]
         order[open_] = mine
@@ -170,7 +174,7 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         last = np.ones(len(open_), bool)
         last[:-1] = new[1:]
         open_ = open_[~(new & last)]
-        depth *= 2
+        depth *= stretches
     return order, rank[:n]
 
 
@@ -212,7 +216,9 @@ class RunIndex:
         words = words8(np.concatenate([text, np.zeros(LONG + 16, np.uint8)]), n + LONG + 8)
         sampled = []
         for side, at in ((-1, begin), (1, np.append(change, n) - 1)):
-            j = np.unique(np.append(order[at] - 1, n - 1) % n)
+            here = np.zeros(n, bool)
+            here[order[at] - 1] = here[n - 1] = True
+            j = np.flatnonzero(here)
             beside = place[j] + side
             inside = (beside >= 0) & (beside < n)
             match = np.zeros(len(j), np.int64)
@@ -391,7 +397,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...]
         anchor = np.zeros(len(strings), np.uint64)
         anchor[label] = np.concatenate(anchors)
         # Whole anchors at a time, as windows of different anchors can't be equal.
-        order = np.argsort(anchor, kind="stable")
+        order = order_of(anchor)
         upto = np.cumsum([len(strings[i]) for i in order.tolist()])
         marks: list[np.ndarray] = [None] * len(strings)
         lo = 0
