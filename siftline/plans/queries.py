@@ -14,7 +14,7 @@ from siftline.operators import predicates as p
 from siftline.sinks import rows as sinks
 from siftline.sinks import saved
 from siftline.sources import corpus, decode, extract, grep_output, ignore, trigram_index
-from siftline.sources.shared import shared_folder
+from siftline.sources.shared import bounded_batches, shared_folder
 from siftline.spec import SearchSpec
 from siftline.streaming import search as stream
 
@@ -50,6 +50,11 @@ def query(sql: str | None = None):
     return add
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for Python functions over whole texts."""
+    return bounded_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -445,11 +450,11 @@ def charset_guess(spark, sf_dir):
     """Whether 0.95 of the documents of each language are read right from bytes that don't say how they are written."""
 
     @F.pandas_udf("boolean")
-    def right(texts: pd.Series) -> pd.Series:
-        data = [decode.encoded(t, "windows-1252") for t in texts]
+    def right(some: pd.Series) -> pd.Series:
+        data = [decode.encoded(t, "windows-1252") for t in some]
         return pd.Series([text.encode("utf-8") == d.decode("windows-1252").encode("utf-8") for (text, _), d in zip(decode.decoded_all(data), data)])
 
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.rlike("text", F.lit("[^\\x00-\\x7F]")))
+    d = texts(spark, sf_dir).where(F.rlike("text", F.lit("[^\\x00-\\x7F]")))
     return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), (F.avg(right("text").cast("int")) >= 0.95).alias("good"))
 
 

@@ -2,6 +2,7 @@
 
 import gettext
 import glob
+import tracemalloc
 from collections import defaultdict
 
 import pytest
@@ -131,3 +132,16 @@ def test_guess_never_fails():
     assert decode.decoded(bytes(range(256)))[0]
     long = "検索エンジンは".encode("cp932") * 20_000
     assert decode.decoded(long)[1] == "Shift_JIS"  # cut inside a character after 64 KiB
+
+
+def test_memory_of_a_guess_does_not_follow_the_batch():
+    text = "La rivière débordait après les pluies d'été, où l'on répétait qu'il fallait réfléchir. ".encode("cp1252") * 180
+    charsets.models()
+    peaks = []
+    for n in (60, 600):
+        data = [text] * n
+        tracemalloc.start()
+        assert set(charsets.guessed_all(data)) == {"windows-1252"}
+        peaks.append(tracemalloc.get_traced_memory()[1] - 2 * n * len(text))  # the bytes themselves are joined
+        tracemalloc.stop()
+    assert max(peaks) < 32 << 20

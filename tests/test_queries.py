@@ -3,9 +3,12 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from siftline.plans import queries as plans
+from siftline.sources.shared import BATCH_BYTES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "customer events documents pages labels conversations".split()
@@ -40,3 +43,17 @@ def test_query(spark, duck, name):
 
 def test_entry_has_rows(spark):
     assert plans.entry(spark, SF).count() == 3
+
+
+@pytest.mark.parametrize("name", ["charset_guess"])
+def test_batches_of_whole_texts_are_bounded_by_bytes(spark, name):
+    """What a Python function is given at once, after a query over whole texts was built."""
+
+    @F.pandas_udf("long")
+    def given(texts: pd.Series) -> pd.Series:
+        return pd.Series([texts.str.len().sum()] * len(texts))
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    plans.QUERIES[name](spark, SF)
+    wide = spark.range(0, 600, 1, 1).select(F.repeat(F.lit("x"), 50_000).alias("text"))
+    assert wide.select(given("text").alias("n")).agg(F.max("n")).head()[0] <= BATCH_BYTES + 50_000
