@@ -11,6 +11,7 @@ from siftline.operators.evidence import pack
 from siftline.sources import extract
 from siftline.sources.decode import decoded, decoded_all
 from siftline.sources.ignore import ignored_in
+from siftline.sources.shared import bounded_batches
 from siftline.spec import SearchSpec
 
 #: What fold_text asks for.
@@ -73,6 +74,7 @@ def register(spark: SparkSession) -> list[str]:
     def decode_bytes(content: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(decoded_all(content.tolist()), columns=["text", "encoding"])
 
+    bounded_batches(spark)
     named = {"fold_text": fold_text, "literal_spans": spans(False), "regex_spans": spans(True), "decode_bytes": decode_bytes}
     for name, function in named.items():
         spark.udf.register(name, function)
@@ -87,6 +89,7 @@ def register_tables(spark: SparkSession) -> list[str]:
     def ignore_eval(paths: pd.Series, rules: pd.Series) -> pd.Series:
         return pd.Series([None if p is None or r is None else ignored_in([p], {"": r})[p] for p, r in zip(paths, rules)], dtype="object")
 
+    bounded_batches(spark)
     tables = {"extract_text": ExtractText, "pack": Pack}
     for name, function in tables.items():
         spark.udtf.register(name, function)

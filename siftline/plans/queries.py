@@ -422,7 +422,7 @@ def decode_text(spark, sf_dir):
     def decoded(content: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([decode.decoded(c) for c in content], columns=["text", "encoding"])
 
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    d = texts(spark, sf_dir).where("text IS NOT NULL")
     k, text = F.col("doc_id") % 3, F.col("text")
     little = F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))
     big = F.concat(F.unhex(F.lit("FEFF")), F.encode(text, "UTF-16BE"))
@@ -441,7 +441,7 @@ def docs_extract(spark, sf_dir):
     def plain(content: pd.Series) -> pd.Series:
         return content.map(lambda c: extract.extracted("rtf", extract.rich_text_of(c).encode("ascii")))
 
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    d = texts(spark, sf_dir).where("text IS NOT NULL")
     return d.select("doc_id", F.md5(plain("text")).alias("text_md5"))
 
 
@@ -608,11 +608,11 @@ def docs_extract_all(spark, sf_dir):
     """Texts of the whole table as office files, archives and rich text, read again by the table function of SQL."""
 
     @F.pandas_udf("binary")
-    def as_file(ids: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([extract.office_file(t) if i % 3 == 0 else extract.archive({"a.txt": t}) if i % 3 == 1 else extract.rich_text_of(t).encode("ascii") for i, t in zip(ids, texts)])
+    def as_file(ids: pd.Series, some: pd.Series) -> pd.Series:
+        return pd.Series([extract.office_file(t) if i % 3 == 0 else extract.archive({"a.txt": t}) if i % 3 == 1 else extract.rich_text_of(t).encode("ascii") for i, t in zip(ids, some)])
 
     sql.register_tables(spark)
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    d = texts(spark, sf_dir).where("text IS NOT NULL")
     path = F.concat(F.lit("a."), F.element_at(F.array(*map(F.lit, ("docx", "zip", "rtf"))), (F.col("doc_id") % 3 + 1).cast("int")))
     d.select("doc_id", path.alias("path"), as_file("doc_id", "text").alias("content")).createOrReplaceTempView("files_to_extract")
     return spark.sql("SELECT doc_id, md5(e.text) AS text_md5 FROM files_to_extract, LATERAL extract_text(path, content) e")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.sources.shared import bounded_batches
+
 
 def file_name_of(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
@@ -17,6 +19,7 @@ def extension_of(file_name: Column) -> Column:
 
 def as_files(df: DataFrame, relative_path: Column, text: Column, root: str = "/corpus", mtime: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row of df as a file; null texts are files whose size is unknown."""
+    bounded_batches(df.sparkSession)
     out = df.select(relative_path.alias("relative_path"), text.alias("text"), (mtime if mtime is not None else F.lit(None)).cast("long").alias("mtime"), *keep)
     name = file_name_of(F.col("relative_path"))
     return out.select(F.concat(F.lit(root.rstrip("/") + "/"), "relative_path").alias("full_path"), "relative_path", name.alias("file_name"), extension_of(name).alias("extension"), F.octet_length("text").cast("long").alias("size"), "mtime", "text", F.lit("UTF-8").alias("encoding"), *keep)

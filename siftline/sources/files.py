@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 
 from siftline.sources import decode, extract, ignore
 from siftline.sources.corpus import extension_of, file_name_of
-from siftline.sources.shared import shared_folder
+from siftline.sources.shared import bounded_batches, shared_folder
 from siftline.spec import MAX_DEPTH, MAX_FILE_BYTES, SearchSpec, SpecError
 
 #: Rows of a walk: entries that were found, and directories that are still to be looked at.
@@ -168,12 +168,12 @@ def read(files: DataFrame) -> DataFrame:
 
 def tree(spark: SparkSession, root: str, spec: SearchSpec) -> DataFrame:
     """Every file of a tree with its text."""
-    return read(listed(spark, root, spec).repartition("full_path"))
+    return read(listed(bounded_batches(spark), root, spec).repartition("full_path"))
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
     """Files of a store by Spark's reader: full_path, relative_path, size, mtime, text and so on."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= MAX_FILE_BYTES)
+    raw = bounded_batches(spark).read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= MAX_FILE_BYTES)
     relative = F.regexp_replace("path", F.lit("^.*?" + path.rstrip("/").replace(".", r"\.") + "/"), F.lit(""))
     name = file_name_of(F.col("path"))
 

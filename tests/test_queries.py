@@ -45,7 +45,7 @@ def test_entry_has_rows(spark):
     assert plans.entry(spark, SF).count() == 3
 
 
-@pytest.mark.parametrize("name", ["charset_guess"])
+@pytest.mark.parametrize("name", ["charset_guess", "docs_extract", "docs_extract_all", "decode_text", "replace_regex", "folded_text", "sql_functions"])
 def test_batches_of_whole_texts_are_bounded_by_bytes(spark, name):
     """What a Python function is given at once, after a query over whole texts was built."""
 
